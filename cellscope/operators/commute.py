@@ -33,8 +33,30 @@ def merge_home_work(home: DataFrame, work: DataFrame) -> DataFrame:
                     "WORK_INDEX_1KM", "WORK_APPEARANCE_COUNT"))
 
 
-def home_work(locations: DataFrame) -> DataFrame:
-    """``merge_home_work`` of the HOME_HOUR and WORK_HOUR rows of one
-    location table that carries HW_TIME_FILTER."""
-    return merge_home_work(class_counts(locations, S.HOME_HOUR),
-                           class_counts(locations, S.WORK_HOUR))
+def home_work(locations: DataFrame, one_per_subscriber: bool = True) -> DataFrame:
+    """Home and work side by side from one location table that carries
+    HW_TIME_FILTER (the output of ``top_location``); same columns as
+    ``merge_home_work``.
+
+    With one row per subscriber and class, a conditional aggregation by
+    subscriber puts both classes in one row: one pass over the input, and no
+    exchange when the input is already partitioned by subscriber (a
+    self-join would get the class filter pushed into each side and read the
+    CDR twice). With ties kept, the full outer join produces the
+    home x work rows.
+    """
+    if not one_per_subscriber:
+        return merge_home_work(class_counts(locations, S.HOME_HOUR),
+                               class_counts(locations, S.WORK_HOUR))
+    cls = F.col(S.HW_TIME_FILTER)
+
+    def pick(hw: str, c: str):
+        return F.max(F.when(cls == hw, F.col(c)))
+
+    return (locations.filter(cls.isin(S.HOME_HOUR, S.WORK_HOUR)
+                             & F.col(S.SUBSCRIBER_ID).isNotNull())
+            .groupBy(S.SUBSCRIBER_ID)
+            .agg(pick(S.HOME_HOUR, S.INDEX_1KM).alias("HOME_INDEX_1KM"),
+                 pick(S.HOME_HOUR, S.MAX_APPEARANCE_COUNT).alias("HOME_APPEARANCE_COUNT"),
+                 pick(S.WORK_HOUR, S.INDEX_1KM).alias("WORK_INDEX_1KM"),
+                 pick(S.WORK_HOUR, S.MAX_APPEARANCE_COUNT).alias("WORK_APPEARANCE_COUNT")))

@@ -21,49 +21,57 @@ def adjacency_slots(adjacency: DataFrame) -> DataFrame:
             .filter(F.col("_cell").isNotNull() & F.col("_nbr").isNotNull()))
 
 
+def credited_cells(adjacency: DataFrame) -> DataFrame:
+    """For every cell Y, the (cell X, slot i) pairs with ADJ_i(X) = Y: the
+    cells that earn credit from a count in Y. One row per Y, bounded by the
+    number of cells (the adjacency is a dimension, not a fact table)."""
+    return (adjacency_slots(adjacency)
+            .groupBy("_nbr")
+            .agg(F.collect_list(F.struct(F.col("_cell").alias("_target"), "_slot")).alias("_credits")))
+
+
 def spatial_appearance(counts: DataFrame, adjacency: DataFrame,
                        weight: float = 0.5) -> DataFrame:
     """Counts with neighbour credit.
 
     Input: appearance counts ([HW_TIME_FILTER,] SUBSCRIBER_ID, INDEX_1KM,
-    APPEARANCE_COUNT) and an adjacency table with unique ADJ_INDEX_1KM.
-    Output: [HW_TIME_FILTER,] SUBSCRIBER_ID, INDEX_1KM,
-    ADJ_1..ADJ_4_APPEARANCE_COUNT (the subscriber's count in each neighbour,
-    0 when unseen), ADJ_APPEARANCE (their sum) and APPEARANCE_COUNT (double)
-    = own count + weight x ADJ_APPEARANCE.
+    APPEARANCE_COUNT) and an adjacency table (ADJ_INDEX_1KM, ADJ_1..ADJ_4)
+    with unique ADJ_INDEX_1KM. Output: [HW_TIME_FILTER,] SUBSCRIBER_ID,
+    INDEX_1KM, ADJ_1..ADJ_4_APPEARANCE_COUNT (the subscriber's count in each
+    neighbour, 0 when unseen), ADJ_APPEARANCE (their sum) and
+    APPEARANCE_COUNT (double) = own count + weight x ADJ_APPEARANCE.
 
     Only cells the subscriber was seen in are candidates; a cell missing
-    from the adjacency keeps its own count.
+    from the adjacency (or the null cell) keeps its own count.
 
-    Instead of four lookups of the counts table (one per neighbour slot),
-    every count is sent once to the cells that list its cell as neighbour
-    (a map-side join with the small, unpivoted adjacency), summed per slot,
-    and attached to the own count. Both aggregations and the final join run
-    inside the SUBSCRIBER_ID partitioning of ``appearance_counts``: no
-    exchange of the counts table at all when the adjacency is broadcast.
+    Instead of four lookups of the counts table (one join per neighbour
+    slot), each count row is looked up once in the small reverse-adjacency
+    map (map-side, broadcast when the planner finds it small) and exploded
+    into its own row plus one credit row per cell that names it as a
+    neighbour; a single aggregation per (subscriber, class, cell) then sums
+    them. Generate and the aggregation keep the SUBSCRIBER_ID partitioning
+    of ``appearance_counts``, so this adds no exchange at all.
     """
     has_class = S.HW_TIME_FILTER in counts.columns
+    cls = [S.HW_TIME_FILTER] if has_class else []
     n = F.col(S.APPEARANCE_COUNT)
-    slots = adjacency_slots(adjacency)
-    credit_keys = ["_sub"] + (["_cls"] if has_class else []) + ["_cell"]
-    credit = (counts.join(slots, counts[S.INDEX_1KM] == slots["_nbr"])
-              .select(F.col(S.SUBSCRIBER_ID).alias("_sub"),
-                      *([F.col(S.HW_TIME_FILTER).alias("_cls")] if has_class else []),
-                      "_cell", "_slot", n.alias("_n"))
-              .groupBy(*credit_keys)
-              .agg(*[F.sum(F.when(F.col("_slot") == i, F.col("_n"))).alias(c)
-                     for i, c in enumerate(SLOT_COUNTS, start=1)]))
-    cond = (counts[S.SUBSCRIBER_ID] == credit["_sub"]) & \
-           (counts[S.INDEX_1KM] == credit["_cell"])
-    if has_class:
-        cond = cond & (counts[S.HW_TIME_FILTER] == credit["_cls"])
-    joined = counts.join(credit, cond, "left")
-    slot_cols = [F.coalesce(F.col(c), F.lit(0).cast("bigint")).alias(c) for c in SLOT_COUNTS]
-    adj_sum = sum((F.coalesce(F.col(c), F.lit(0)) for c in SLOT_COUNTS[1:]),
-                  F.coalesce(F.col(SLOT_COUNTS[0]), F.lit(0)))
-    return joined.select(
-        *([S.HW_TIME_FILTER] if has_class else []), S.SUBSCRIBER_ID, S.INDEX_1KM,
-        *slot_cols,
-        adj_sum.cast("bigint").alias(S.ADJ_APPEARANCE),
-        (n + adj_sum * F.lit(float(weight))).cast("double").alias(S.APPEARANCE_COUNT),
+    credits = credited_cells(adjacency)
+    own = F.struct(F.col(S.INDEX_1KM).alias("_target"), F.lit(0).alias("_slot"))
+    targets = F.concat(F.array(own),
+                       F.coalesce(F.col("_credits"), F.array().cast(credits.schema["_credits"].dataType)))
+    rows = (counts.join(credits, counts[S.INDEX_1KM] == credits["_nbr"], "left")
+            .select(S.SUBSCRIBER_ID, *cls, n.alias("_n"), F.inline(targets)))
+    slot = F.col("_slot")
+    agg = (rows.groupBy(S.SUBSCRIBER_ID, *cls, "_target")
+           .agg(F.sum(F.when(slot == 0, F.col("_n"))).alias("_own"),
+                *[F.sum(F.when(slot == i, F.col("_n"))).alias(c)
+                  for i, c in enumerate(SLOT_COUNTS, start=1)])
+           .filter(F.col("_own").isNotNull()))
+    slot_cols = [F.coalesce(F.col(c), F.lit(0).cast("bigint")) for c in SLOT_COUNTS]
+    adj_sum = slot_cols[0] + slot_cols[1] + slot_cols[2] + slot_cols[3]
+    return agg.select(
+        *cls, S.SUBSCRIBER_ID, F.col("_target").alias(S.INDEX_1KM),
+        *[c.alias(name) for c, name in zip(slot_cols, SLOT_COUNTS)],
+        adj_sum.alias(S.ADJ_APPEARANCE),
+        (F.col("_own") + adj_sum * F.lit(float(weight))).cast("double").alias(S.APPEARANCE_COUNT),
     )

@@ -73,7 +73,7 @@ QUERIES: dict[str, Query] = {
     "top_location": lambda spark, d: top_location(counts(spark, d)),
     "residents_per_cell": lambda spark, d: residents_per_cell(top_location(counts(spark, d))),
     "home_work_joined": lambda spark, d: home_work(top_location(counts(spark, d))),
-    "home_work_with_ties": lambda spark, d: home_work(top_location(counts(spark, d), False)),
+    "home_work_with_ties": lambda spark, d: home_work(top_location(counts(spark, d), False), False),
     "spatial_appearance": spatial,
     "spatial_top_location": lambda spark, d: top_location(spatial(spark, d)),
     "spatial_home_work": lambda spark, d: home_work(top_location(spatial(spark, d))),
