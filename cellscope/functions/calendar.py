@@ -15,60 +15,64 @@ from .. import schemas as S
 
 # Fixed value: layout of CALL_TIME text.
 CALL_TIME_FORMAT = "%Y%m%d%H%M%S"
-_DIGITS_14 = r"^[0-9]{14}$"
 
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# Zone-less times are parsed as UTC instants and mapped onto this NTZ epoch,
+# so the result never depends on the session time zone (no DST gaps).
+_EPOCH_NTZ = "1970-01-01 00:00:00"
+
+
 def parse_call_time(call_time: Column | str = S.CALL_TIME) -> Column:
     """``yyyyMMddHHmmss`` text to a zone-less ``TIMESTAMP_NTZ``.
 
     Only the first 14 characters are read, so trailing text is ignored;
-    anything that is not 14 digits forming a real date and time (month 13,
-    30 February, hour 24, short text, null) becomes null instead of failing
-    the query under ANSI mode. Building the value from its fields keeps the
-    result independent of the session time zone (no daylight-saving gaps).
+    anything that is not a real date and time (month 13, 30 February,
+    hour 24, short text, null) becomes null instead of failing the query
+    under ANSI mode. The text is referenced once, so the expression stays
+    cheap wherever the optimizer copies it.
     """
-    s = F.substring(_col(call_time), 1, 14)
-
-    def field(pos: int, n: int) -> Column:
-        return F.substring(s, pos, n).try_cast("int")
-
-    return F.when(
-        s.rlike(_DIGITS_14),
-        F.try_make_timestamp_ntz(field(1, 4), field(5, 2), field(7, 2),
-                                 field(9, 2), field(11, 2), field(13, 2)),
-    )
+    text = F.concat(F.substring(_col(call_time), 1, 14), F.lit("+0000"))
+    instant = F.try_to_timestamp(text, F.lit("yyyyMMddHHmmssZ"))
+    return F.timestamp_add("SECOND", F.unix_seconds(instant),
+                           F.lit(_EPOCH_NTZ).cast("timestamp_ntz"))
 
 
 def us_week_of_year(ts: Column | str) -> Column:
     """Week of year under the US rule: weeks start on Sunday and week 1 is
     the week holding 1 January, so the last days of December can be week 1.
 
-    The week is numbered by the Saturday that ends it: that Saturday's day of
-    year, divided by 7 and rounded up. (ISO ``weekofyear`` is a different rule.)
+    The week is numbered by the Saturday that ends it (the first Saturday
+    on or after the date): that Saturday's day of year divided by 7,
+    rounded up. (ISO ``weekofyear`` is a different rule.)
     """
-    d = F.to_date(_col(ts))
-    saturday = F.date_add(d, F.lit(7) - F.dayofweek(d))
+    saturday = F.next_day(F.date_sub(F.to_date(_col(ts)), 1), "Sat")
     return F.ceil(F.dayofyear(saturday) / F.lit(7)).cast("int")
 
 
 def enrich(raw: "DataFrame", with_year: bool = True) -> "DataFrame":  # noqa: F821
     """Raw CDR (SUBSCRIBER_ID, CALL_TIME, INDEX_1KM) to the enriched form
-    with the parsed timestamp and the four calendar columns."""
+    with the parsed timestamp and the four calendar columns.
+
+    The time is parsed once per row inside a one-row generator. Without it,
+    a later filter on a calendar column (week range, hour class, day) is
+    pushed below this projection with the parse expression substituted for
+    every reference, so each row is parsed several times; a generator's
+    output cannot be substituted, so filters read the parsed value.
+    Filters on SUBSCRIBER_ID / INDEX_1KM still reach the scan.
+    """
+    parsed = raw.select(
+        S.SUBSCRIBER_ID, S.INDEX_1KM,
+        F.inline(F.array(F.struct(parse_call_time(S.CALL_TIME).alias(S.CALL_TIMESTAMP)))))
     ts = F.col(S.CALL_TIMESTAMP)
-    cols = [F.col(S.SUBSCRIBER_ID), parse_call_time(S.CALL_TIME).alias(S.CALL_TIMESTAMP),
-            F.col(S.INDEX_1KM)]
-    out = raw.select(*cols)
-    derived = []
-    if with_year:
-        derived.append(F.year(ts).alias(S.YEAR))
+    derived = [F.year(ts).alias(S.YEAR)] if with_year else []
     derived += [us_week_of_year(ts).alias(S.WEEK_OF_YEAR),
                 F.dayofyear(ts).alias(S.DATE_OF_YEAR),
                 F.hour(ts).alias(S.HOUR_OF_DAY)]
-    return out.select("*", *derived)
+    return parsed.select(S.SUBSCRIBER_ID, S.CALL_TIMESTAMP, S.INDEX_1KM, *derived)
 
 
 def call_time_range(start: dt.datetime, end_exclusive: dt.datetime,
