@@ -2,6 +2,7 @@
 
 from .audit import audit_parquet, decode_parquet_file, failed_files, oversized_ids
 from .commute import home_work, merge_home_work
+from .joins import MAX_BROADCAST_ROWS, checked_broadcast
 from .hourly import hourly_cell_counts, hourly_top_cell, hourly_trajectory
 from .location import residents_map, residents_per_cell, top_location
 from .presence import appearance_counts, class_counts, daily_presence
@@ -15,5 +16,5 @@ __all__ = [
     "residents_map", "residents_per_cell", "top_location",
     "appearance_counts", "class_counts", "daily_presence",
     "regional_records", "sample_users", "sampling_key", "user_sample",
-    "adjacency_slots", "spatial_appearance",
+    "adjacency_slots", "spatial_appearance", "checked_broadcast", "MAX_BROADCAST_ROWS",
 ]

@@ -1,0 +1,23 @@
+"""Broadcast only what is proven small."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Dimension tables (cells, areas, adjacency) up to this many rows are
+# broadcast; a country of 1 km cells has tens of thousands.
+MAX_BROADCAST_ROWS = 2_000_000
+
+
+def checked_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """``F.broadcast(df)`` if ``df`` has at most ``max_rows`` rows, else ``df``
+    unchanged, so the planner falls back to a shuffle join.
+
+    The check counts the rows of the small side (it stops after
+    ``max_rows + 1``) instead of trusting the optimizer's size estimate,
+    which for derived or CSV tables can be far off in either direction.
+    Use it on dimension tables only, never on the fact side.
+    """
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from .joins import MAX_BROADCAST_ROWS, checked_broadcast
 
 # A sample of at most this many ids is small enough to broadcast.
 MAX_BROADCAST_SAMPLE = 1_000_000
@@ -26,17 +27,21 @@ def ntz(value: dt.datetime | dt.date | str) -> Column:
 
 def regional_records(cdr: DataFrame, areas: DataFrame, province: str,
                      start: dt.datetime | dt.date | str,
-                     end: dt.datetime | dt.date | str) -> DataFrame:
+                     end: dt.datetime | dt.date | str,
+                     max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Calls made in cells of ``province`` with start <= CALL_TIMESTAMP <= end
     (both ends inclusive; a date means its midnight), joined to the area
     attributes. Columns: SUBSCRIBER_ID, CALL_TIMESTAMP, INDEX_1KM and the
     eight area columns.
 
-    The areas table is small and filtered first; no hint, so the planner
-    broadcasts it by size and keeps the CDR side in place (no CDR shuffle).
+    The areas of the province are broadcast after a row-count check, so
+    the CDR side is joined in place (no CDR shuffle); beyond the limit the
+    planner's shuffle join takes over.
     """
     recs = cdr.filter(F.col(S.CALL_TIMESTAMP).between(ntz(start), ntz(end)))
-    area = areas.filter(F.col("PROVINCE_NAME") == province).select(*S.AREA_COLUMNS)
+    area = checked_broadcast(
+        areas.filter(F.col("PROVINCE_NAME") == province).select(*S.AREA_COLUMNS),
+        max_broadcast_rows)
     return (recs.join(area, recs[S.INDEX_1KM] == area[S.LOCATION_ID], "inner")
             .select(*S.SAMPLE_COLUMNS))
 
@@ -66,8 +71,11 @@ def sample_users(users: DataFrame, n: int, seed: int | str = 42) -> DataFrame:
              .filter(F.col(S.SUBSCRIBER_ID).isNotNull())
              .distinct()
              .select(S.SUBSCRIBER_ID, key.alias("_key"))
-             .withColumn("_bucket",
-                         F.conv(F.substring("_key", 1, _BUCKET_HEX), 16, 10).cast("int")))
+             # Never null (md5 of a non-null id). Saying so keeps the join below
+             # from adding a not-null filter to one of the two uses of this
+             # table, so both stay identical and its exchange is reused.
+             .withColumn("_bucket", F.coalesce(
+                 F.conv(F.substring("_key", 1, _BUCKET_HEX), 16, 10).cast("int"), F.lit(0))))
     sizes = keyed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_size"))
     # A window over the bucket table only (<= 65,536 rows): bounded.
     before = F.sum("_size").over(Window.orderBy("_bucket")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from .joins import MAX_BROADCAST_ROWS, checked_broadcast
 
 SLOT_COUNTS = tuple(f"{s}_APPEARANCE_COUNT" for s in S.ADJ_SLOTS)
 
@@ -31,7 +32,8 @@ def credited_cells(adjacency: DataFrame) -> DataFrame:
 
 
 def spatial_appearance(counts: DataFrame, adjacency: DataFrame,
-                       weight: float = 0.5) -> DataFrame:
+                       weight: float = 0.5,
+                       max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Counts with neighbour credit.
 
     Input: appearance counts ([HW_TIME_FILTER,] SUBSCRIBER_ID, INDEX_1KM,
@@ -46,7 +48,7 @@ def spatial_appearance(counts: DataFrame, adjacency: DataFrame,
 
     Instead of four lookups of the counts table (one join per neighbour
     slot), each count row is looked up once in the small reverse-adjacency
-    map (map-side, broadcast when the planner finds it small) and exploded
+    map (map-side: broadcast after a row-count check) and exploded
     into its own row plus one credit row per cell that names it as a
     neighbour; a single aggregation per (subscriber, class, cell) then sums
     them. Generate and the aggregation keep the SUBSCRIBER_ID partitioning
@@ -55,7 +57,7 @@ def spatial_appearance(counts: DataFrame, adjacency: DataFrame,
     has_class = S.HW_TIME_FILTER in counts.columns
     cls = [S.HW_TIME_FILTER] if has_class else []
     n = F.col(S.APPEARANCE_COUNT)
-    credits = credited_cells(adjacency)
+    credits = checked_broadcast(credited_cells(adjacency), max_broadcast_rows)
     own = F.struct(F.col(S.INDEX_1KM).alias("_target"), F.lit(0).alias("_slot"))
     targets = F.concat(F.array(own),
                        F.coalesce(F.col("_credits"), F.array().cast(credits.schema["_credits"].dataType)))
