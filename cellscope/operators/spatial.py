@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from .joins import MAX_BROADCAST_ROWS, checked_broadcast
+from .joins import MAX_BROADCAST_ROWS, has_at_most
 
 SLOT_COUNTS = tuple(f"{s}_APPEARANCE_COUNT" for s in S.ADJ_SLOTS)
 
@@ -48,7 +48,7 @@ def spatial_appearance(counts: DataFrame, adjacency: DataFrame,
 
     Instead of four lookups of the counts table (one join per neighbour
     slot), each count row is looked up once in the small reverse-adjacency
-    map (map-side: broadcast after a row-count check) and exploded
+    map (map-side: broadcast after a row-count check of the adjacency) and exploded
     into its own row plus one credit row per cell that names it as a
     neighbour; a single aggregation per (subscriber, class, cell) then sums
     them. Generate and the aggregation keep the SUBSCRIBER_ID partitioning
@@ -57,7 +57,11 @@ def spatial_appearance(counts: DataFrame, adjacency: DataFrame,
     has_class = S.HW_TIME_FILTER in counts.columns
     cls = [S.HW_TIME_FILTER] if has_class else []
     n = F.col(S.APPEARANCE_COUNT)
-    credits = checked_broadcast(credited_cells(adjacency), max_broadcast_rows)
+    credits = credited_cells(adjacency)
+    # The map holds at most 4 entries per adjacency row: bound it by the
+    # (cheaply counted) source instead of counting the aggregated map.
+    if has_at_most(adjacency, max_broadcast_rows // len(S.ADJ_SLOTS)):
+        credits = F.broadcast(credits)
     own = F.struct(F.col(S.INDEX_1KM).alias("_target"), F.lit(0).alias("_slot"))
     targets = F.concat(F.array(own),
                        F.coalesce(F.col("_credits"), F.array().cast(credits.schema["_credits"].dataType)))

@@ -9,17 +9,25 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The session's checkpoint folder (from ``spark.checkpoint.dir``); only
+    when none is configured, as in a bare local session, a local temporary
+    one is registered."""
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None)
+                        or tempfile.mkdtemp(prefix="cellscope-"))
+    return sc.getCheckpointDir()
+
+
 def scratch_dir(spark: SparkSession, name: str = "scratch") -> str:
     """A fresh directory under the cluster's shared checkpoint folder
     (``spark.checkpoint.dir``, read from the session). Only when none is
     configured, as in a bare local test session, a local temporary folder is
     created and registered as the checkpoint folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or \
-        spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="cellscope-")
-        spark.sparkContext.setCheckpointDir(base)
-    base = base.rstrip("/")
+    base = (spark.conf.get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark)).rstrip("/")
     if base.startswith("file:"):
         base = base[len("file:"):]
     path = f"{base}/cellscope-{name}-{uuid.uuid4().hex[:12]}"
