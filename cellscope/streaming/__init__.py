@@ -1,0 +1,5 @@
+"""Structured Streaming entry points."""
+
+from .cdr_stream import daily_presence_stream, read_cdr_stream
+
+__all__ = ["daily_presence_stream", "read_cdr_stream"]

@@ -1,0 +1,28 @@
+from pyspark.sql import functions as F
+
+from cellscope import schemas as S
+from cellscope.operators import daily_presence
+from cellscope.session import scratch_dir
+from cellscope.sources import demo, read_cdr
+from cellscope.streaming import daily_presence_stream, read_cdr_stream
+from conftest import rows
+
+
+def test_stream_presence_equals_batch(spark):
+    root = scratch_dir(spark, "stream")
+    raw = demo.cdr_from_events(demo.load(spark, "/root/testdata/sf0.001", "events"))
+    # Files land in time order, one week each.
+    for i, (lo, hi) in enumerate([("20240101", "20240108"), ("20240108", "20240115"),
+                                  ("20240115", "20240122"), ("20240122", "20240201")]):
+        part = raw.filter((F.col(S.CALL_TIME) >= lo) & (F.col(S.CALL_TIME) < hi))
+        part.coalesce(1).write.parquet(f"{root}/in/w{i}")
+    src = f"{root}/in/*"
+    q = (daily_presence_stream(read_cdr_stream(spark, src, max_files_per_trigger=1))
+         .writeStream.format("memory").queryName("presence_stream")
+         .option("checkpointLocation", f"{root}/chk").outputMode("append")
+         .trigger(availableNow=True).start())
+    q.awaitTermination(120)
+    got = spark.sql("SELECT * FROM presence_stream")
+    want = daily_presence(read_cdr(spark, src)).filter(F.col(S.HW_TIME_FILTER) != "")
+    assert got.count() == want.count() > 0
+    assert rows(got) == rows(want)
