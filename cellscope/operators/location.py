@@ -27,6 +27,9 @@ def top_location(counts: DataFrame, one_per_subscriber: bool = True,
     A ranking window replaces "max per subscriber, join back, deduplicate":
     one sort within the subscriber partition instead of three shuffles, and
     Spark adds a WindowGroupLimit so only the first row of each group is kept.
+    The counts are repartitioned by SUBSCRIBER_ID alone (at most cells x 2
+    rows each), so the home / work merge that follows needs no exchange;
+    Spark drops the repartition when the input is already partitioned so.
     """
     keys = _keys(counts)
     n = F.col(count_col)
@@ -37,6 +40,7 @@ def top_location(counts: DataFrame, one_per_subscriber: bool = True,
         pick = F.rank().over(Window.partitionBy(*keys).orderBy(n.desc()))
     out = [c for c in keys if c != S.SUBSCRIBER_ID]
     return (counts.filter(F.col(S.SUBSCRIBER_ID).isNotNull())
+            .repartition(S.SUBSCRIBER_ID)
             .withColumn("_pick", pick)
             .filter(F.col("_pick") == 1)
             .select(*out, S.SUBSCRIBER_ID, S.INDEX_1KM,

@@ -1,12 +1,12 @@
 """Daily presence and appearance counts (days seen per subscriber and cell).
 
-Plan shape: one exchange on the full presence key (with a map-side partial
-distinct in front of it, so repeated calls of a subscriber in a cell on one
-day are merged before they travel), then one exchange on SUBSCRIBER_ID.
-Every later per-subscriber step (count, ranking, home/work merge, spatial
-credit) reuses that partitioning without shuffling again. Hash-partitioning
-the raw calls by subscriber alone would send a hot subscriber's calls to one
-task; after the distinct, a subscriber holds at most cells x days rows.
+Plan shape, chosen for skew: the distinct runs on the full presence key
+(with a map-side partial distinct in front of the exchange, so repeated
+calls of a subscriber in a cell on one day merge before they travel), so a
+subscriber or cell holding a third of all calls is spread over many tasks by
+day. The counts are aggregated on (class, subscriber, cell), again spreading
+a hot subscriber by cell. Only the counts table, at most cells x 2 rows per
+subscriber, is later repartitioned by subscriber for the ranking.
 """
 
 from __future__ import annotations
@@ -40,12 +40,11 @@ def appearance_counts(presence: DataFrame,
     """Days seen per (hour class, subscriber, cell): HW_TIME_FILTER,
     SUBSCRIBER_ID, INDEX_1KM, APPEARANCE_COUNT (bigint).
 
-    Both classes are counted in one pass; the result is hash-partitioned by
-    SUBSCRIBER_ID.
+    Both classes are counted in one pass (map-side partial counts, one
+    exchange on the grouping key).
     """
     return (presence
             .filter(F.col(S.HW_TIME_FILTER).isin(*classes))
-            .repartition(S.SUBSCRIBER_ID)
             .groupBy(S.HW_TIME_FILTER, S.SUBSCRIBER_ID, S.INDEX_1KM)
             .agg(F.count(F.lit(1)).alias(S.APPEARANCE_COUNT)))
 

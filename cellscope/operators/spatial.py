@@ -51,8 +51,10 @@ def spatial_appearance(counts: DataFrame, adjacency: DataFrame,
     map (map-side: broadcast after a row-count check of the adjacency) and exploded
     into its own row plus one credit row per cell that names it as a
     neighbour; a single aggregation per (subscriber, class, cell) then sums
-    them. Generate and the aggregation keep the SUBSCRIBER_ID partitioning
-    of ``appearance_counts``, so this adds no exchange at all.
+    them. The counts are repartitioned by SUBSCRIBER_ID (at most cells x 2
+    rows per subscriber) and the lookup, Generate and the aggregation all keep
+    that partitioning, which ``top_location`` then reuses: one exchange of
+    the counts table for spatial credit and ranking together.
     """
     has_class = S.HW_TIME_FILTER in counts.columns
     cls = [S.HW_TIME_FILTER] if has_class else []
@@ -65,6 +67,7 @@ def spatial_appearance(counts: DataFrame, adjacency: DataFrame,
     own = F.struct(F.col(S.INDEX_1KM).alias("_target"), F.lit(0).alias("_slot"))
     targets = F.concat(F.array(own),
                        F.coalesce(F.col("_credits"), F.array().cast(credits.schema["_credits"].dataType)))
+    counts = counts.repartition(S.SUBSCRIBER_ID)
     rows = (counts.join(credits, counts[S.INDEX_1KM] == credits["_nbr"], "left")
             .select(S.SUBSCRIBER_ID, *cls, n.alias("_n"), F.inline(targets)))
     slot = F.col("_slot")
