@@ -1,7 +1,7 @@
 """DataFrame -> DataFrame operators."""
 
 from .audit import audit_parquet, decode_parquet_file, failed_files, oversized_ids
-from .commute import home_work, merge_home_work
+from .commute import cells_as_text, home_work, merge_home_work
 from .joins import MAX_BROADCAST_ROWS, checked_broadcast
 from .hourly import hourly_cell_counts, hourly_top_cell, hourly_trajectory
 from .location import residents_map, residents_per_cell, top_location
@@ -11,7 +11,7 @@ from .spatial import adjacency_slots, spatial_appearance
 
 __all__ = [
     "audit_parquet", "decode_parquet_file", "failed_files", "oversized_ids",
-    "home_work", "merge_home_work",
+    "cells_as_text", "home_work", "merge_home_work",
     "hourly_cell_counts", "hourly_top_cell", "hourly_trajectory",
     "residents_map", "residents_per_cell", "top_location",
     "appearance_counts", "class_counts", "daily_presence",

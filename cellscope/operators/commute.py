@@ -2,61 +2,83 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from .presence import class_counts
 
+_SIDES = (("HOME", S.HOME_HOUR), ("WORK", S.WORK_HOUR))
 
-def merge_home_work(home: DataFrame, work: DataFrame) -> DataFrame:
-    """Full outer join of two location tables on SUBSCRIBER_ID.
 
-    Output: SUBSCRIBER_ID (the first non-null of both sides), HOME_INDEX_1KM,
-    HOME_APPEARANCE_COUNT, WORK_INDEX_1KM, WORK_APPEARANCE_COUNT. A subscriber
-    seen on one side only keeps nulls on the other; with ties kept on both
-    sides a subscriber gets (home ties) x (work ties) rows.
+def _side_aggregates(is_side, keep_ties: bool) -> list[Column]:
+    """Per subscriber: the cell and the count of the rows where
+    ``is_side(label, hw_class)`` holds, one pair of columns per side.
 
-    When both inputs come from ``top_location`` over the same counts, both
-    sides are already hash-partitioned and sorted by subscriber, so the join
-    adds no exchange.
+    Without ties a side has at most one row, so ``max`` returns it. With ties
+    a side's cells are listed: an array sorted ascending, a null cell kept
+    and placed last, null when the side is absent. Every tied row of a side
+    carries the same (maximal) count.
     """
-    h = home.select(F.col(S.SUBSCRIBER_ID).alias("_h_id"),
-                    F.col(S.INDEX_1KM).alias("HOME_INDEX_1KM"),
-                    F.col(S.MAX_APPEARANCE_COUNT).alias("HOME_APPEARANCE_COUNT"))
-    w = work.select(F.col(S.SUBSCRIBER_ID).alias("_w_id"),
-                    F.col(S.INDEX_1KM).alias("WORK_INDEX_1KM"),
-                    F.col(S.MAX_APPEARANCE_COUNT).alias("WORK_APPEARANCE_COUNT"))
-    return (h.join(w, h["_h_id"] == w["_w_id"], "full_outer")
-            .select(F.coalesce("_h_id", "_w_id").alias(S.SUBSCRIBER_ID),
-                    "HOME_INDEX_1KM", "HOME_APPEARANCE_COUNT",
-                    "WORK_INDEX_1KM", "WORK_APPEARANCE_COUNT"))
+    cell, cnt = F.col(S.INDEX_1KM), F.col(S.MAX_APPEARANCE_COUNT)
+    out = []
+    for label, hw in _SIDES:
+        mine = is_side(label, hw)
+        if keep_ties:
+            # array(cell) keeps a null cell, which collect_list would skip.
+            cells = F.array_sort(F.flatten(F.collect_list(F.when(mine, F.array(cell)))))
+            out.append(F.when(F.size(cells) > 0, cells).alias(f"{label}_INDEX_1KM"))
+        else:
+            out.append(F.max(F.when(mine, cell)).alias(f"{label}_INDEX_1KM"))
+        out.append(F.max(F.when(mine, cnt)).alias(f"{label}_APPEARANCE_COUNT"))
+    return out
+
+
+def merge_home_work(home: DataFrame, work: DataFrame, keep_ties: bool = False) -> DataFrame:
+    """Home and work location tables (SUBSCRIBER_ID, INDEX_1KM,
+    MAX_APPEARANCE_COUNT) side by side, one row per subscriber seen on either
+    side: SUBSCRIBER_ID, HOME_INDEX_1KM, HOME_APPEARANCE_COUNT,
+    WORK_INDEX_1KM, WORK_APPEARANCE_COUNT. A subscriber seen on one side only
+    keeps nulls on the other.
+
+    Without ``keep_ties`` each input holds at most one row per subscriber
+    (``top_location`` output). With ``keep_ties`` the cell columns are sorted
+    arrays of every tied cell: the home x work pairs of a full outer join in
+    factored form, linear in the number of ties instead of their product.
+
+    A union and one aggregation by subscriber, not a join: the merge holds
+    no pair of rows, so a subscriber with many tied cells stays small.
+    """
+    def side(df: DataFrame, label: str) -> DataFrame:
+        return df.select(S.SUBSCRIBER_ID, F.lit(label).alias("_side"),
+                         S.INDEX_1KM, S.MAX_APPEARANCE_COUNT)
+
+    tagged = side(home, "HOME").unionByName(side(work, "WORK"))
+    return (tagged.filter(F.col(S.SUBSCRIBER_ID).isNotNull())
+            .groupBy(S.SUBSCRIBER_ID)
+            .agg(*_side_aggregates(lambda label, hw: F.col("_side") == label, keep_ties)))
 
 
 def home_work(locations: DataFrame, one_per_subscriber: bool = True) -> DataFrame:
     """Home and work side by side from one location table that carries
     HW_TIME_FILTER (the output of ``top_location``); same columns as
-    ``merge_home_work``.
-
-    With one row per subscriber and class, a conditional aggregation by
-    subscriber puts both classes in one row: one pass over the input, and no
-    exchange when the input is already partitioned by subscriber (a
-    self-join would get the class filter pushed into each side and read the
-    CDR twice). With ties kept, the full outer join produces the
-    home x work rows.
+    ``merge_home_work``, whose ``keep_ties`` is ``not one_per_subscriber``.
+
+    A conditional aggregation by subscriber puts both classes in one row:
+    one pass over the input, and no exchange when the input is already
+    partitioned by subscriber (a self-join would get the class filter pushed
+    into each side and read the CDR twice).
     """
-    if not one_per_subscriber:
-        return merge_home_work(class_counts(locations, S.HOME_HOUR),
-                               class_counts(locations, S.WORK_HOUR))
     cls = F.col(S.HW_TIME_FILTER)
-
-    def pick(hw: str, c: str):
-        return F.max(F.when(cls == hw, F.col(c)))
-
     return (locations.filter(cls.isin(S.HOME_HOUR, S.WORK_HOUR)
                              & F.col(S.SUBSCRIBER_ID).isNotNull())
             .groupBy(S.SUBSCRIBER_ID)
-            .agg(pick(S.HOME_HOUR, S.INDEX_1KM).alias("HOME_INDEX_1KM"),
-                 pick(S.HOME_HOUR, S.MAX_APPEARANCE_COUNT).alias("HOME_APPEARANCE_COUNT"),
-                 pick(S.WORK_HOUR, S.INDEX_1KM).alias("WORK_INDEX_1KM"),
-                 pick(S.WORK_HOUR, S.MAX_APPEARANCE_COUNT).alias("WORK_APPEARANCE_COUNT")))
+            .agg(*_side_aggregates(lambda label, hw: cls == hw, not one_per_subscriber)))
+
+
+def cells_as_text(home_work_df: DataFrame, sep: str = ",", null_cell: str = "null") -> DataFrame:
+    """The tie-keeping form with each cell array rendered as text (cells in
+    order, joined by ``sep``, a null cell written as ``null_cell``), for CSV
+    sinks, which cannot hold arrays."""
+    return home_work_df.select(*[
+        F.array_join(c, sep, null_cell).alias(c) if c.endswith("_INDEX_1KM") else F.col(c)
+        for c in home_work_df.columns])

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions.calendar import day_bounds
-from ..operators import (appearance_counts, audit_parquet, class_counts, daily_presence,
-                         failed_files, home_work, hourly_cell_counts, hourly_top_cell,
+from ..operators import (appearance_counts, audit_parquet, cells_as_text, class_counts,
+                         daily_presence, failed_files, home_work, hourly_cell_counts, hourly_top_cell,
                          hourly_trajectory, regional_records, residents_map,
                          residents_per_cell, spatial_appearance, top_location, user_sample)
 from ..operators.spatial import credited_cells
@@ -85,7 +85,8 @@ def home_work_job(spark: SparkSession, data_root: str, version: str | int = 1,
             write_csv(residents_per_cell(per_class),
                       versioned_path(out_root, family, version, sub, CELL_COUNTS_CSV), mode=mode)
         merged = home_work(loc, one_per_subscriber)
-        write_csv(merged, versioned_path(out_root, family, version, HOME_WORK_CSV),
+        # With ties kept the cell columns are arrays; CSV gets them as text.
+        write_csv(merged if one_per_subscriber else cells_as_text(merged), versioned_path(out_root, family, version, HOME_WORK_CSV),
                   single_file=True, mode=mode)
         results["home_work"] = merged
         return results

@@ -128,6 +128,26 @@ FULL OUTER JOIN (SELECT * FROM {loc} WHERE HW_TIME_FILTER = 'WORK_HOUR') w
   ON h.SUBSCRIBER_ID = w.SUBSCRIBER_ID"""
 
 
+def _home_work_factored(loc: str) -> str:
+    """The full-outer-join pair rows of ``_home_work``, then per subscriber
+    the distinct cells of each side, sorted (null last, written 'null') and
+    joined by ','; a side absent from the pairs stays null."""
+    def side(label: str) -> str:
+        return f"""
+  string_agg(coalesce(cell, 'null'), ',' ORDER BY cell NULLS LAST) FILTER (WHERE side = '{label}')
+    AS {label}_INDEX_1KM,
+  max(cnt) FILTER (WHERE side = '{label}') AS {label}_APPEARANCE_COUNT"""
+    return f"""
+SELECT SUBSCRIBER_ID,{side("HOME")},{side("WORK")}
+FROM (
+  SELECT DISTINCT SUBSCRIBER_ID, 'HOME' AS side, HOME_INDEX_1KM AS cell, HOME_APPEARANCE_COUNT AS cnt
+  FROM ({_home_work(loc)}) pairs WHERE HOME_APPEARANCE_COUNT IS NOT NULL
+  UNION ALL
+  SELECT DISTINCT SUBSCRIBER_ID, 'WORK', WORK_INDEX_1KM, WORK_APPEARANCE_COUNT
+  FROM ({_home_work(loc)}) pairs WHERE WORK_APPEARANCE_COUNT IS NOT NULL) sides
+GROUP BY SUBSCRIBER_ID"""
+
+
 _RESIDENTS_TIES = """
   (SELECT HW_TIME_FILTER, INDEX_1KM AS LOCATION_ID, CAST(count(*) AS BIGINT) AS COUNT_IN_1KM_CELL
    FROM ties GROUP BY HW_TIME_FILTER, INDEX_1KM)"""
@@ -144,7 +164,7 @@ _BODIES = {
 SELECT HW_TIME_FILTER, INDEX_1KM AS LOCATION_ID, CAST(count(*) AS BIGINT) AS COUNT_IN_1KM_CELL
 FROM top1 GROUP BY HW_TIME_FILTER, INDEX_1KM""",
     "home_work_joined": _home_work("top1"),
-    "home_work_with_ties": _home_work("ties"),
+    "home_work_with_ties": _home_work_factored("ties"),
     "spatial_appearance": "SELECT * FROM spatial",
     "spatial_top_location": "SELECT * FROM spatial_top1",
     "spatial_home_work": _home_work("spatial_top1"),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..functions.calendar import day_bounds, enrich
 from ..functions.classify import hour_class
-from ..operators import (appearance_counts, audit_parquet, daily_presence, home_work,
+from ..operators import (appearance_counts, audit_parquet, cells_as_text, daily_presence, home_work,
                          hourly_cell_counts, hourly_top_cell, hourly_trajectory,
                          oversized_ids, regional_records, residents_map,
                          residents_per_cell, spatial_appearance, top_location, user_sample)
@@ -73,7 +73,9 @@ QUERIES: dict[str, Query] = {
     "top_location": lambda spark, d: top_location(counts(spark, d)),
     "residents_per_cell": lambda spark, d: residents_per_cell(top_location(counts(spark, d))),
     "home_work_joined": lambda spark, d: home_work(top_location(counts(spark, d))),
-    "home_work_with_ties": lambda spark, d: home_work(top_location(counts(spark, d), False), False),
+    # Tied cells as sorted arrays, rendered as text for a stable comparison.
+    "home_work_with_ties": lambda spark, d: cells_as_text(
+        home_work(top_location(counts(spark, d), False), False)),
     "spatial_appearance": spatial,
     "spatial_top_location": lambda spark, d: top_location(spatial(spark, d)),
     "spatial_home_work": lambda spark, d: home_work(top_location(spatial(spark, d))),

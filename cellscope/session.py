@@ -37,11 +37,16 @@ def scratch_dir(spark: SparkSession, name: str = "scratch") -> str:
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int | None = None,
-                  app: str = "cellscope") -> SparkSession:
-    """Local session for tests and benchmarks: AQE on, UI off, UTC."""
+                  app: str = "cellscope", conf: dict[str, str] | None = None) -> SparkSession:
+    """Local session for tests and benchmarks: AQE on, UI off, UTC; ``conf``
+    adds settings (e.g. an event log in a scratch folder)."""
     parts = shuffle_partitions or (8 if cores == "*" else max(2, int(cores) * 2))
-    spark = (SparkSession.builder.master(f"local[{cores}]").appName(app)
+    builder = SparkSession.builder
+    for key, value in (conf or {}).items():
+        builder = builder.config(key, value)
+    spark = (builder.master(f"local[{cores}]").appName(app)
              .config("spark.ui.enabled", "false")
+             .config("spark.ui.showConsoleProgress", "false")
              .config("spark.sql.shuffle.partitions", str(parts))
              .config("spark.sql.adaptive.enabled", "true")
              .config("spark.sql.adaptive.coalescePartitions.enabled", "true")

@@ -50,6 +50,15 @@ def test_home_work_job(spark, data_root):
         jobs.home_work_job(spark, data_root, version="v1", weeks=None)
 
 
+def test_home_work_job_ties_kept(spark, data_root):
+    res = jobs.home_work_job(spark, data_root, version="t1", weeks=None, one_per_subscriber=False)
+    want = rows(registry.QUERIES["home_work_with_ties"](spark, SF))
+    back = read_csv(spark, f"{data_root}/output/tc/t1/homeWorkJoined.csv",
+                    {"HOME_APPEARANCE_COUNT": "bigint", "WORK_APPEARANCE_COUNT": "bigint"})
+    assert rows(back) == want
+    assert res["home_work"].count() == len(want)
+
+
 def test_spatial_home_work_job(spark, data_root):
     res = jobs.home_work_job(spark, data_root, version="s1", spatial=True, weeks=None, debug=True)
     assert rows(res["home_work"]) == rows(registry.QUERIES["spatial_home_work"](spark, SF))

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from cellscope import schemas as S
-from cellscope.operators import (appearance_counts, daily_presence, home_work,
+from cellscope.operators import (appearance_counts, cells_as_text, daily_presence, home_work,
                                  merge_home_work, residents_map, residents_per_cell,
                                  top_location)
 from conftest import rows
@@ -56,17 +56,59 @@ def test_null_subscriber_absent(counts_df):
 
 def test_home_only_and_work_only(counts_df):
     c = counts_df([("HOME_HOUR", "h", "a", 2), ("WORK_HOUR", "w", "b", 3)])
-    want = [("h", "a", 2, None, None), ("w", None, None, "b", 3)]
-    assert rows(home_work(top_location(c))) == want
-    assert rows(home_work(top_location(c), one_per_subscriber=False)) == want
+    assert rows(home_work(top_location(c))) == [("h", "a", 2, None, None), ("w", None, None, "b", 3)]
+    assert rows(home_work(top_location(c), one_per_subscriber=False)) == [
+        ("h", ["a"], 2, None, None), ("w", None, None, ["b"], 3)]
+
+
+def _pairs(factored_rows):
+    """The full-outer-join rows the factored form stands for."""
+    out = []
+    for sub, hc, hn, wc, wn in factored_rows:
+        for h in (hc or [None]):
+            for w in (wc or [None]):
+                out.append((sub, h, hn if hc else None, w, wn if wc else None))
+    return sorted(out, key=lambda t: tuple((v is None, str(v)) for v in t))
+
+
+def test_ties_on_both_sides_factored(counts_df):
+    # The reference's full outer join gives home ties x work ties = 4 rows;
+    # here one row lists both sides' ties, and expands to those 4 rows.
+    c = counts_df([("HOME_HOUR", "u", "b", 2), ("HOME_HOUR", "u", "a", 2),
+                   ("WORK_HOUR", "u", "d", 1), ("WORK_HOUR", "u", "c", 1)])
+    out = home_work(top_location(c, one_per_subscriber=False), one_per_subscriber=False)
+    assert out.columns == list(S.HOME_WORK_COLUMNS)
+    got = rows(out)
+    assert got == [("u", ["a", "b"], 2, ["c", "d"], 1)]
+    assert _pairs(got) == [("u", "a", 2, "c", 1), ("u", "a", 2, "d", 1),
+                           ("u", "b", 2, "c", 1), ("u", "b", 2, "d", 1)]
+    assert rows(cells_as_text(out)) == [("u", "a,b", 2, "c,d", 1)]
 
 
-def test_ties_on_both_sides_give_four_rows(counts_df):
-    c = counts_df([("HOME_HOUR", "u", "a", 2), ("HOME_HOUR", "u", "b", 2),
-                   ("WORK_HOUR", "u", "c", 1), ("WORK_HOUR", "u", "d", 1)])
+def test_tied_null_cell_kept_last(counts_df):
+    c = counts_df([("HOME_HOUR", "u", None, 2), ("HOME_HOUR", "u", "a", 2),
+                   ("WORK_HOUR", "v", None, 1)])
     out = home_work(top_location(c, one_per_subscriber=False), one_per_subscriber=False)
-    assert out.count() == 4
-    assert out.columns == list(S.HOME_WORK_COLUMNS)
+    assert rows(out) == [("u", ["a", None], 2, None, None), ("v", None, None, [None], 1)]
+    assert rows(cells_as_text(out)) == [("u", "a,null", 2, None, None), ("v", None, None, "null", 1)]
+
+
+def test_tie_merge_has_no_join(counts_df):
+    # No pair of rows is ever formed: the plan aggregates, it does not join.
+    c = counts_df([("HOME_HOUR", "u", "a", 2), ("WORK_HOUR", "u", "c", 1)])
+    out = home_work(top_location(c, one_per_subscriber=False), one_per_subscriber=False)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_merge_home_work_keep_ties(counts_df):
+    c = counts_df([("HOME_HOUR", "u", "a", 2), ("HOME_HOUR", "u", "b", 2), ("WORK_HOUR", "u", "c", 1),
+                   ("WORK_HOUR", "w", "d", 4)])
+    loc = top_location(c, one_per_subscriber=False)
+    h = loc.filter(F.col("HW_TIME_FILTER") == "HOME_HOUR").drop("HW_TIME_FILTER")
+    w = loc.filter(F.col("HW_TIME_FILTER") == "WORK_HOUR").drop("HW_TIME_FILTER")
+    assert rows(merge_home_work(h, w, keep_ties=True)) == [("u", ["a", "b"], 2, ["c"], 1),
+                                                          ("w", None, None, ["d"], 4)]
 
 
 def test_merge_home_work_generic(counts_df):
