@@ -29,6 +29,24 @@ def exclude_files(df: DataFrame, suffixes: Iterable[str]) -> DataFrame:
     return df.filter(~bad)
 
 
+def spread_few_splits(df: DataFrame) -> DataFrame:
+    """``df`` spread round-robin over all task slots when its scan has fewer
+    input splits than the cluster has slots (one unsplittable file, one
+    large row group); otherwise ``df`` unchanged.
+
+    The per-row work after a CDR scan (time parsing, calendar fields) is
+    CPU-bound, and a Parquet split is at least one row group, so a small or
+    single-file input would otherwise parse in one task while the other
+    cores idle. A scan with at least as many splits as slots, as any large
+    input has, gets no extra exchange. Put it after the scan's own filters
+    and before the per-row work.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= slots:
+        return df
+    return df.repartition(slots)
+
+
 def read_raw_cdr(spark: SparkSession, paths: str | Sequence[str],
                  exclude: Iterable[str] = (),
                  period: tuple[dt.datetime, dt.datetime] | None = None) -> DataFrame:
@@ -47,7 +65,7 @@ def read_raw_cdr(spark: SparkSession, paths: str | Sequence[str],
     raw = exclude_files(raw, exclude)
     if period is not None:
         raw = raw.filter(call_time_range(*period))
-    return raw.select(S.SUBSCRIBER_ID, S.CALL_TIME, S.INDEX_1KM)
+    return spread_few_splits(raw.select(S.SUBSCRIBER_ID, S.CALL_TIME, S.INDEX_1KM))
 
 
 def read_cdr(spark: SparkSession, paths: str | Sequence[str],

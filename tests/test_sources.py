@@ -1,0 +1,29 @@
+"""Spreading of scans with fewer splits than task slots."""
+
+from pyspark.sql import functions as F
+
+from cellscope.session import scratch_dir
+from cellscope.sources import spread_few_splits
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_single_split_scan_is_spread_and_keeps_pushdown(spark):
+    path = scratch_dir(spark, "one-file") + "/t"
+    spark.range(1000).coalesce(1).write.parquet(path)
+    df = spread_few_splits(spark.read.parquet(path).filter(F.col("id") > 10))
+    plan = _plan(df)
+    assert "RoundRobinPartitioning" in plan
+    assert "PushedFilters: [IsNotNull(id), GreaterThan(id,10)]" in plan
+    assert df.count() == 989
+
+
+def test_many_split_scan_is_unchanged(spark):
+    path = scratch_dir(spark, "many-files") + "/t"
+    slots = spark.sparkContext.defaultParallelism
+    spark.range(0, 1000, 1, 2 * slots).write.parquet(path)
+    df = spark.read.option("maxPartitionBytes", 1).parquet(path)
+    assert df.rdd.getNumPartitions() >= slots
+    assert spread_few_splits(df) is df
