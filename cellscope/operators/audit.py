@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 from urllib.parse import unquote, urlparse
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..sources.files import list_files
 
+# The decode function runs in Python workers: ship this module's code with
+# it (by value), so executors need neither this package installed nor the
+# driver's working directory.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 AUDIT_SCHEMA = "path string, readable boolean, rows bigint, error string"
 _BATCH_ROWS = 65_536
 _MAX_ERROR = 500

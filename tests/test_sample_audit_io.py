@@ -122,3 +122,27 @@ def test_csv_round_trip_and_no_overwrite(spark):
     write_intermediates({"t1": df}, f"{root}/debug")
     assert os.path.isdir(f"{root}/debug/t1")
     write_intermediates({"t1": df}, None)
+
+
+def test_audit_function_ships_without_the_package(tmp_path):
+    # Executors may lack this package: the decode function must unpickle in
+    # an interpreter that cannot import it.
+    import os
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from cellscope.operators.audit import _decode_partition
+
+    blob = tmp_path / "f.pkl"
+    blob.write_bytes(cloudpickle.dumps(_decode_partition))
+    code = ("import pickle, sys\n"
+            "f = pickle.load(open(sys.argv[1], 'rb'))\n"
+            "assert 'cellscope' not in sys.modules\n"
+            "print(f.__name__)")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code, str(blob)], cwd=tmp_path, env=env,
+                         capture_output=True, text=True, timeout=120)
+    assert out.returncode == 0, out.stderr
+    assert out.stdout.strip() == "_decode_partition"
