@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from .. import schemas as S
 
@@ -78,7 +79,9 @@ def home_work(locations: DataFrame, one_per_subscriber: bool = True) -> DataFram
 def cells_as_text(home_work_df: DataFrame, sep: str = ",", null_cell: str = "null") -> DataFrame:
     """The tie-keeping form with each cell array rendered as text (cells in
     order, joined by ``sep``, a null cell written as ``null_cell``), for CSV
-    sinks, which cannot hold arrays."""
+    sinks, which cannot hold arrays. Other columns pass unchanged, so the
+    one-per-subscriber form is returned as it is."""
     return home_work_df.select(*[
-        F.array_join(c, sep, null_cell).alias(c) if c.endswith("_INDEX_1KM") else F.col(c)
-        for c in home_work_df.columns])
+        F.array_join(f.name, sep, null_cell).alias(f.name) if isinstance(f.dataType, ArrayType)
+        else F.col(f.name)
+        for f in home_work_df.schema.fields])

@@ -57,6 +57,7 @@ def test_null_subscriber_absent(counts_df):
 def test_home_only_and_work_only(counts_df):
     c = counts_df([("HOME_HOUR", "h", "a", 2), ("WORK_HOUR", "w", "b", 3)])
     assert rows(home_work(top_location(c))) == [("h", "a", 2, None, None), ("w", None, None, "b", 3)]
+    assert rows(cells_as_text(home_work(top_location(c)))) == rows(home_work(top_location(c)))
     assert rows(home_work(top_location(c), one_per_subscriber=False)) == [
         ("h", ["a"], 2, None, None), ("w", None, None, ["b"], 3)]
 
