@@ -1,10 +1,12 @@
 """Properties over the driver's sf0.001 tables."""
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from cellscope import schemas as S
-from cellscope.operators import (appearance_counts, daily_presence, hourly_cell_counts,
+from cellscope.operators import (appearance_counts, daily_presence, home_work, hourly_cell_counts,
                                  residents_per_cell, spatial_appearance, top_location)
 from cellscope.plans import params as P
 from cellscope.plans import registry as R
@@ -66,3 +68,37 @@ def test_presence_by_year_never_smaller(spark):
     cdr = R.cdr(spark, SF)
     assert daily_presence(cdr, by_year=True).count() >= daily_presence(cdr).count()
     assert appearance_counts(daily_presence(cdr)).count() > 0
+
+
+_classes = st.sampled_from(["HOME_HOUR", "WORK_HOUR"])
+_count_tables = st.dictionaries(
+    st.tuples(_classes, st.sampled_from(["u", "v", "w", None]), st.sampled_from(["a", "b", "c", None])),
+    st.integers(min_value=1, max_value=3), min_size=1, max_size=14)
+
+
+def _brute_force_pairs(table):
+    """The original merge: argmax ties per (class, subscriber), then a full
+    outer join of the home and the work side on the subscriber."""
+    ties = {}
+    for (cls, sub, cell), n in table.items():
+        if sub is None:
+            continue
+        best = max(v for (c, s, _), v in table.items() if c == cls and s == sub)
+        if n == best:
+            ties.setdefault((cls, sub), []).append((cell, n))
+    out = []
+    for sub in {s for (_, s) in ties}:
+        home = ties.get(("HOME_HOUR", sub), [(None, None)])
+        work = ties.get(("WORK_HOUR", sub), [(None, None)])
+        out += [(sub, h, hn, w, wn) for h, hn in home for w, wn in work]
+    return sorted(out, key=lambda t: tuple((v is None, str(v)) for v in t))
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(table=_count_tables)
+def test_factored_ties_expand_to_the_pairs(counts_df, table):
+    from test_presence_location import _pairs
+
+    c = counts_df([(cls, sub, cell, n) for (cls, sub, cell), n in table.items()])
+    got = rows(home_work(top_location(c, one_per_subscriber=False), one_per_subscriber=False))
+    assert _pairs(got) == _brute_force_pairs(table)
