@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..functions.calendar import day_bounds, enrich
 from ..functions.classify import hour_class
-from ..operators import (appearance_counts, audit_parquet, cells_as_text, daily_presence, home_work,
+from ..operators import (appearance_counts, cells_as_text, daily_presence, home_work,
                          hourly_cell_counts, hourly_top_cell, hourly_trajectory,
                          oversized_ids, regional_records, residents_map,
                          residents_per_cell, spatial_appearance, top_location, user_sample)

@@ -81,7 +81,6 @@ def test_hourly_job(spark, data_root):
 
 
 def test_regional_sample_job(spark, data_root):
-    import datetime as dt
     from cellscope.plans import params as P
     sample = jobs.regional_sample_job(spark, data_root, province=P.PROVINCE,
                                       start=P.PERIOD_START, end=P.PERIOD_END,
