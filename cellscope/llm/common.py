@@ -64,6 +64,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more, and let Spark clear
+    the shuffle files of jobs that are over (it does so after a collection of
+    the driver's garbage)."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        for name in df.inputFiles()[:1]:
+            folder = context._jvm.org.apache.hadoop.fs.Path(name).getParent()
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+    for df in tables[:1]:
+        df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def two_columns(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the id and the text, under fixed names, null text as ''. Other
     columns, whatever their names, never reach an operator's work."""
