@@ -15,6 +15,8 @@ import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 _shipped: set[str] = set()
 _scratch: dict[str, str] = {}
@@ -89,12 +91,11 @@ def id_type(df: DataFrame, id_col: str) -> str:
 
 
 def map_batches(df: DataFrame, work: Callable[[Iterable[pa.RecordBatch]], Iterator[dict]],
-                schema: str) -> DataFrame:
+                schema: str | T.StructType) -> DataFrame:
     """``mapInArrow`` for functions that yield dicts of columns."""
     ship(df.sparkSession)
-    empty = df.sparkSession.createDataFrame([], schema)
-    from pyspark.sql.pandas.types import to_arrow_schema
-    arrow = to_arrow_schema(empty.schema)
+    shape = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    arrow = to_arrow_schema(shape)
 
     def run(batches):
         for columns in work(batches):
@@ -102,7 +103,7 @@ def map_batches(df: DataFrame, work: Callable[[Iterable[pa.RecordBatch]], Iterat
                 [columns[f.name] if isinstance(columns[f.name], pa.Array)
                  else pa.array(columns[f.name], f.type) for f in arrow], schema=arrow)
 
-    return df.mapInArrow(run, empty.schema)
+    return df.mapInArrow(run, shape)
 
 
 def slices(batches: Iterable[pa.RecordBatch], max_rows: int = 2000,
@@ -124,3 +125,37 @@ def slices(batches: Iterable[pa.RecordBatch], max_rows: int = 2000,
 
 def partition_number() -> int:
     return TaskContext.get().partitionId()
+
+
+#: A row is known by two hashes of its id and text; identical rows share them.
+KEY = "k1 long, k2 int"
+
+
+def keys_of(rows: DataFrame, row_id) -> DataFrame:
+    return rows.withColumn("k1", F.xxhash64(row_id, "text")).withColumn("k2", F.hash("text", row_id))
+
+
+def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text (null as ''), and the keys of the row."""
+    return keys_of(two_columns(df, id_col, text_col), F.col("doc_id"))
+
+
+def rows_with_keys(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Whole rows as struct ``row``, whatever their columns are called, with
+    text and keys beside it."""
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
+    text = F.coalesce(F.col(f"row.`{text_col}`").cast("string"), F.lit(""))
+    return keys_of(rows.withColumn("text", text), F.col(f"row.`{id_col}`"))
+
+
+def rewritten(df: DataFrame, made: DataFrame, text_col: str, new_text: str = "new_text") -> DataFrame:
+    """The columns of ``df`` from struct ``row`` of ``made``, with the new text
+    in place of the old; a null text stays null."""
+    return made.select(*(F.when(F.col(f"row.`{c}`").isNotNull(), F.col(new_text)).alias(c) if c == text_col
+                         else F.col(f"row.`{c}`").alias(c) for c in df.columns))
+
+
+def with_row(df: DataFrame, more: str) -> T.StructType:
+    """A schema of struct ``row`` (the columns of ``df``) and ``more``."""
+    fields = T.StructType.fromDDL(more).fields
+    return T.StructType([T.StructField("row", df.schema), *fields])

@@ -26,9 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import map_batches, release, slices, stored
+from .common import (KEY, keyed, map_batches, release, rewritten, rows_with_keys, slices, stored,
+                     with_row)
 
 #: Bytes of an anchor gram; bytes of text per numpy step; ranges per cut.
 GRAM, STEP, FAN_OUT = 32, 1 << 18, 8
@@ -127,16 +127,6 @@ def spans_of(prints: Fingerprints, first, last, anchor, length):
     return tuple((prints.of(first, size, k) ^ (place * MIX[k])).view(np.int64) for k in (0, 1))
 
 
-KEY = "k1 long, k2 int"
-
-
-def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A row is known by hashes of its id and text; identical rows share them."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return (df.select(F.col(id_col).alias("doc_id"), text.alias("text"))
-            .withColumn("k1", F.xxhash64("doc_id", "text")).withColumn("k2", F.hash("text", "doc_id")))
-
-
 def first_records(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """Records of all documents, one for each rank within a numpy step. Where
     a rank occurs twice in the step, its positions are known to repeat: the
@@ -316,11 +306,7 @@ def with_ranges(df: DataFrame, id_col: str, text_col: str, length: int) -> DataF
         raise ValueError("repeated strings have at least 16 bytes")
     ranges = repeated_ranges(keyed(df, id_col, text_col), length)
     grouped = ranges.groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
-    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
-    text = F.coalesce(F.col(f"row.`{text_col}`").cast("string"), F.lit(""))
-    rows = (rows.withColumn("text", text)
-            .withColumn("k1", F.xxhash64(F.col(f"row.`{id_col}`"), "text"))
-            .withColumn("k2", F.hash("text", F.col(f"row.`{id_col}`"))))
+    rows = rows_with_keys(df, id_col, text_col)
     return rows.join(grouped, ["k1", "k2"], "left")
 
 
@@ -367,7 +353,4 @@ def without_repeats(df: DataFrame, length: int = 400, id_col: str = "doc_id",
                      for t, ranges in zip(batch.column("text").to_pylist(), batch.column("ranges").to_pylist())]
             yield {"row": batch.column("row"), "new_text": texts}
 
-    shape = T.StructType([T.StructField("row", df.schema)]).simpleString()[7:-1]
-    made = map_batches(rows, work, shape.replace("row:", "row ", 1) + ", new_text string")
-    return made.select(*(F.when(F.col(f"row.`{c}`").isNull(), None).otherwise(F.col("new_text")).alias(c)
-                         if c == text_col else F.col(f"row.`{c}`").alias(c) for c in df.columns))
+    return rewritten(df, map_batches(rows, work, with_row(df, "new_text string")), text_col)

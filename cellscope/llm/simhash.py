@@ -19,6 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import id_type, map_batches, release, ship, slices, stored, two_columns
@@ -189,7 +190,7 @@ def linked(distinct: DataFrame, distance: int) -> DataFrame:
 
     visitors = map_batches(table.select("fp", "block"), visit, "fp long, block int")
     ship(spark)
-    shape = spark.createDataFrame([], "a long, b long").schema
+    shape = T.StructType.fromDDL("a long, b long")
     arrow = to_arrow_schema(shape)
 
     def search(own: pa.Table, guests: pa.Table) -> pa.Table:

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import id_type, map_batches, partition_number, ship, slices, stored, two_columns
@@ -127,7 +128,7 @@ def per_document(table: DataFrame, values: DataFrame, combine: Callable, schema:
     numbers, counts, doc_ids, sizes)`` gives the columns of ``schema``."""
     spark = table.sparkSession
     ship(spark)
-    shape = spark.createDataFrame([], schema).schema
+    shape = T.StructType.fromDDL(schema)
     arrow = to_arrow_schema(shape)
     left = table.where("bucket IS NULL").select("block", "doc_ids", "sizes", "per_doc", "numbers", "counts")
 
