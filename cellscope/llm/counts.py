@@ -89,9 +89,10 @@ def token_counts(df: DataFrame, tokenizer_path: str, pattern: str, limit: int =
         table.where("bucket IS NOT NULL").select("block", "bucket", "terms").repartition(buckets, "bucket"),
         count, "block long, bucket int, values array<int>")
 
-    def combine(values, per_doc, numbers, counts, doc_ids, sizes):
+    def combine(row, values, per_doc, numbers, counts):
         tokens = summed(per_doc, values.astype(np.int64)[numbers] * counts)
-        return {"doc_id": doc_ids, "n_bytes": sizes, "n_tokens": tokens, "over_limit": tokens > limit}
+        return {"doc_id": row["doc_ids"], "n_bytes": row["sizes"], "n_tokens": tokens,
+                "over_limit": tokens > limit}
 
     return per_document(table, values, combine,
                         f"doc_id {id_type(df, id_col)}, n_bytes long, n_tokens long, over_limit boolean")

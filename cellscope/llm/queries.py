@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, counts, exact, lines, packing, quality, repeats, simhash, urls
+from . import bpe, counts, ctw, exact, lines, packing, quality, repeats, simhash, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,6 +46,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op5_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score(table(spark, sf_dir, "documents"), folds=7, held_fold=2)
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -69,7 +73,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_suffix_array_dedup, op2_bpe, op3_url_filter, op4_packing, op6_quality, op7_simhash, op8_line_dedup, op9_token_counts, op10_exact_dedup)}
+    op1_suffix_array_dedup, op2_bpe, op3_url_filter, op4_packing, op5_context_tree, op6_quality, op7_simhash, op8_line_dedup, op9_token_counts, op10_exact_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
     "op10_exact_dedup": """

@@ -56,13 +56,14 @@ def frequencies(numbers: list[np.ndarray], kinds: int) -> tuple[np.ndarray, np.n
 
 
 def blocks(df: DataFrame, numberer: Callable, buckets: int, id_col: str, text_col: str,
-           train: Callable[[list, list], np.ndarray] | None = None, name: str = "terms") -> DataFrame:
+           train: Callable[[list, list], np.ndarray] | None = None,
+           measure: Callable[[list], np.ndarray] | None = None, name: str = "terms") -> DataFrame:
     """The stored block table: block, bucket (null in the row of frequencies),
-    doc_ids, sizes, numbers, counts, terms, train_counts.
+    doc_ids, sizes, measures, per_doc, numbers, counts, terms, train_counts.
 
     ``numberer()`` makes a function (text, Terms) -> local term numbers of the
     text. ``train(ids, texts)`` says which documents of a block count in
-    ``train_counts``.
+    ``train_counts``; ``measure(texts)`` gives a number per document.
     """
     kind = id_type(df, id_col)
 
@@ -89,9 +90,10 @@ def blocks(df: DataFrame, numberer: Callable, buckets: int, id_col: str, text_co
             place[order] = np.arange(kinds)
             sizes = [len(t.encode()) for t in texts]
             number = part << 32 | seq
-            none = {"doc_ids": None, "sizes": None, "per_doc": None, "numbers": None, "counts": None,
+            none = {"doc_ids": None, "sizes": None, "measures": None, "per_doc": None, "numbers": None, "counts": None,
                     "terms": None, "train_counts": None}
             yield none | {"block": number, "bucket": None, "doc_ids": ids, "sizes": sizes,
+                          "measures": None if measure is None else measure(texts).tolist(),
                           "per_doc": squeeze(per_doc), "numbers": squeeze(place[which]),
                           "counts": squeeze(counts)}
             edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -118,32 +120,37 @@ def blocks(df: DataFrame, numberer: Callable, buckets: int, id_col: str, text_co
 
     return stored(map_batches(
         two_columns(df, id_col, text_col), work,
-        f"block long, bucket int, doc_ids array<{kind}>, sizes array<long>, per_doc binary, "
+        f"block long, bucket int, doc_ids array<{kind}>, sizes array<long>, measures array<double>, "
+        "per_doc binary, "
         "numbers binary, counts binary, terms array<binary>, train_counts array<long>"), name)
 
 
 def per_document(table: DataFrame, values: DataFrame, combine: Callable, schema: str) -> DataFrame:
-    """Joins ``values`` (block, bucket, values: array per term of the bucket)
-    to the blocks and combines them per document: ``combine(values, per_doc,
-    numbers, counts, doc_ids, sizes)`` gives the columns of ``schema``."""
-    spark = table.sparkSession
-    ship(spark)
+    """Joins ``values`` to the blocks: either (block, bucket, values: an array
+    per term of the bucket) or (block, bucket, at, value). ``combine(row,
+    values, per_doc, numbers, counts)`` makes the columns of ``schema`` from a
+    block's row of frequencies."""
+    ship(table.sparkSession)
     shape = T.StructType.fromDDL(schema)
     arrow = to_arrow_schema(shape)
-    left = table.where("bucket IS NULL").select("block", "doc_ids", "sizes", "per_doc", "numbers", "counts")
+    single = "value" in values.columns
+    left = (table.where("bucket IS NULL").drop("bucket", "terms", "train_counts")
+            .withColumnRenamed("block", "own"))
 
     def together(rows: pa.Table, found: pa.Table) -> pa.Table:
+        if single:
+            flat = found.sort_by([("bucket", "ascending"), ("at", "ascending")]).column("value").to_numpy()
+        else:
+            ordered = found.sort_by("bucket").column("values")
+            flat = np.concatenate([np.zeros(0, np.int64), *(c.flatten().to_numpy() for c in ordered.chunks)])
         out = []
-        for row in rows.to_pylist():
-            ordered = found.sort_by("bucket").column("values").combine_chunks()
-            flat = ordered.flatten().to_numpy(zero_copy_only=False) if len(found) else np.zeros(0)
-            columns = combine(flat, unsqueeze(row["per_doc"]).astype(np.int64),
-                              unsqueeze(row["numbers"]).astype(np.int64),
-                              unsqueeze(row["counts"]).astype(np.int64), row["doc_ids"], row["sizes"])
+        for row in rows.to_pylist():  # one row per block
+            columns = combine(row, flat, *(unsqueeze(row[c]).astype(np.int64)
+                                           for c in ("per_doc", "numbers", "counts")))
             out.append(pa.table([pa.array(columns[f.name], f.type) for f in arrow], schema=arrow))
         return pa.concat_tables(out) if out else arrow.empty_table()
 
-    return left.groupBy("block").cogroup(values.groupBy("block")).applyInArrow(together, shape)
+    return left.groupBy("own").cogroup(values.groupBy("block")).applyInArrow(together, shape)
 
 
 def summed(per_doc: np.ndarray, weights: np.ndarray) -> np.ndarray:
