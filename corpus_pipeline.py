@@ -1,6 +1,11 @@
 """The corpus preparation pipeline: each stage is one operator of
 ``cellscope.llm``, reads the documents that the stage before kept, and returns
-the documents that it keeps (the last one: packed pieces)."""
+the documents that it keeps (the last one: packed pieces).
+
+Rows of ``documents`` with nulls, empty texts or repeated ids pass the stages as
+each operator's docstring says; columns beside those of ``documents`` are left
+out by every stage.
+"""
 
 from __future__ import annotations
 
@@ -8,17 +13,36 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellscope.llm import packing, quality
+from cellscope.llm import lines, packing, quality, repeats, simhash
 from cellscope.llm.common import stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def recounted(docs: DataFrame) -> DataFrame:
+    """The columns of ``documents``, n_chars after a stage that changed texts."""
+    return docs.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the classifier. A null id is
-    never looked up and stays only if its text passes like any other."""
+    """Documents that pass the base rules and the classifier, unchanged."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality.keep_good(docs, labels).select(*COLUMNS)
+    return quality.keep_good(docs.select(*COLUMNS), labels)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that an earlier line is alike."""
+    return recounted(lines.without_duplicate_lines(docs.select(*COLUMNS)))
+
+
+def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of least id of each group that links within two bits."""
+    return simhash.one_of_each(docs.select(*COLUMNS), shingle=3, distance=2)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the 400-byte strings that occur elsewhere too."""
+    return recounted(repeats.without_repeats(docs.select(*COLUMNS), length=400))
 
 
 def harmonic_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,9 +51,16 @@ def harmonic_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
-STAGES = [("quality_rules", quality_rules), ("packing", harmonic_packing)]
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("simhash_dedup", simhash_dedup),
+    ("repeated_passages", repeated_passages),
+    ("packing", harmonic_packing),
+]
 
-#: No SQL can express the classifier; tests compare with brute force.
+#: No SQL expresses the classifier or the tokenizer; tests compare each stage
+#: with brute force.
 ORACLE_SQL = None
 
 
