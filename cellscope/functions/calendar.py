@@ -28,26 +28,34 @@ def _is_digit(ch: Column) -> Column:
 def parse_call_time(call_time: Column | str = S.CALL_TIME) -> Column:
     """``yyyyMMddHHmmss`` text to a zone-less ``TIMESTAMP_NTZ``.
 
-    Only the first 14 characters are read, so trailing text is ignored;
-    anything that is not 14 digits forming a real date and time (month 13,
-    30 February, hour 24, short text, signs, blanks, null) becomes null
-    instead of failing the query under ANSI mode. The value is built from
-    its fields, so it never depends on the session time zone (no DST gaps).
-
-    "14 digits" is checked as: length 14, first and last characters digits,
-    and the whole text a valid integer (which then cannot hold a sign, a
-    blank, a dot or an exponent); cheaper than a regular expression.
+    The first five fields are 12 digits; the seconds are all digits that
+    follow (the last field of the legacy parser takes what there is), so 13
+    digits have a one-digit second and 17 (milliseconds) a second over 59.
+    Text after the digits is ignored; anything that is not a real date and
+    time (month 13, 30 February, hour 24, second 567, short text, signs, null)
+    becomes null instead of failing the query under ANSI mode. The value is
+    built from its fields, so it never depends on the session time zone (no
+    DST gaps).
+
+    The usual 14 digits are checked as: length 14, first and last characters
+    digits, no digit after them, and the whole text a valid integer (which then
+    cannot hold a sign, a blank, a dot or an exponent); cheaper than the
+    regular expression that the other texts go through.
     """
-    s = F.substring(_col(call_time), 1, 14)
+    whole = _col(call_time)
+    s = F.substring(whole, 1, 14)
     fourteen_digits = ((F.length(s) == 14) & _is_digit(F.substring(s, 1, 1))
-                       & _is_digit(F.substring(s, 14, 1)) & s.try_cast("bigint").isNotNull())
+                       & _is_digit(F.substring(s, 14, 1)) & ~_is_digit(F.substring(whole, 15, 1))
+                       & s.try_cast("bigint").isNotNull())
 
     def field(pos: int, n: int) -> Column:
         return F.substring(s, pos, n).try_cast("int")
 
-    return F.when(fourteen_digits,
+    seconds = F.when(fourteen_digits, field(13, 2)).otherwise(
+        F.regexp_extract(whole, r"^[0-9]{12}[ \t]*([0-9]+)", 1).try_cast("int"))
+    return F.when(seconds <= 59,
                   F.try_make_timestamp_ntz(field(1, 4), field(5, 2), field(7, 2),
-                                           field(9, 2), field(11, 2), field(13, 2)))
+                                           field(9, 2), field(11, 2), seconds))
 
 
 def us_week_of_year(ts: Column | str) -> Column:

@@ -34,11 +34,16 @@ def test_us_week_matches_rule_over_years(spark):
 
 def test_parse_edges(spark):
     vals = ["20130101123456", "20130101123456abc", "2013010112", "bad", None,
-            "20131301000000", "20130230000000", "20130101240000"]
+            "20131301000000", "20130230000000", "20130101240000",
+            # The seconds are all digits from the 13th on.
+            "2013010112345", "2013010112345x", "201301011234012", "201301011234567", "20130101123456789",
+            "201301011234 5", "20130101123460", "201301011234", "+2013010112345", ""]
     df = spark.createDataFrame([(v,) for v in vals], "s string")
     got = [r.t for r in df.select(parse_call_time("s").alias("t")).collect()]
     want = dt.datetime(2013, 1, 1, 12, 34, 56)
-    assert got == [want, want, None, None, None, None, None, None]
+    five, twelve = want.replace(second=5), want.replace(second=12)
+    assert got == [want, want, None, None, None, None, None, None,
+                   five, five, twelve, None, None, five, None, None, None, None]
     assert dict(df.select(parse_call_time("s").alias("t")).dtypes)["t"] == "timestamp_ntz"
 
 
