@@ -3,84 +3,96 @@ neighbours."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from .joins import MAX_BROADCAST_ROWS, has_at_most
 
 SLOT_COUNTS = tuple(f"{s}_APPEARANCE_COUNT" for s in S.ADJ_SLOTS)
 
 
-def adjacency_slots(adjacency: DataFrame) -> DataFrame:
-    """Unpivot the four neighbour columns: one row per (cell, slot,
-    neighbour) with a non-null neighbour. A neighbour named in two slots
-    gives two rows, so it is credited twice."""
-    slots = F.array(*[F.struct(F.lit(i).alias("_slot"), F.col(s).alias("_nbr"))
-                      for i, s in enumerate(S.ADJ_SLOTS, start=1)])
-    return (adjacency.select(F.col(S.ADJ_INDEX_1KM).alias("_cell"), F.inline(slots))
-            .filter(F.col("_cell").isNotNull() & F.col("_nbr").isNotNull()))
+def unique_adjacency(adjacency: DataFrame) -> DataFrame:
+    """(_cell, _neighbours: array of the four slots), one row per cell.
 
-
-def credited_cells(adjacency: DataFrame) -> DataFrame:
-    """For every cell Y, the (cell X, slot i) pairs with ADJ_i(X) = Y: the
-    cells that earn credit from a count in Y. One row per Y, bounded by the
-    number of cells (the adjacency is a dimension, not a fact table)."""
-    return (adjacency_slots(adjacency)
-            .groupBy("_nbr")
-            .agg(F.collect_list(F.struct(F.col("_cell").alias("_target"), "_slot")).alias("_credits")))
+    A cell with two adjacency rows would be credited twice, so the query fails
+    with its name instead. Rows without a cell are dropped.
+    """
+    slots = F.array(*S.ADJ_SLOTS)
+    message = F.concat(F.lit("adjacency has more than one row for cell "), F.col("_cell"))
+    return (adjacency.filter(F.col(S.ADJ_INDEX_1KM).isNotNull())
+            .groupBy(F.col(S.ADJ_INDEX_1KM).alias("_cell"))
+            .agg(F.count(F.lit(1)).alias("_n"), F.first(slots).alias("_slots"))
+            .select("_cell", F.when(F.col("_n") == 1, F.col("_slots"))
+                    .otherwise(F.raise_error(message).cast("array<string>")).alias("_neighbours")))
 
 
 def spatial_appearance(counts: DataFrame, adjacency: DataFrame,
-                       weight: float = 0.5,
-                       max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+                       weight: float = 0.5) -> DataFrame:
     """Counts with neighbour credit.
 
     Input: appearance counts ([HW_TIME_FILTER,] SUBSCRIBER_ID, INDEX_1KM,
-    APPEARANCE_COUNT) and an adjacency table (ADJ_INDEX_1KM, ADJ_1..ADJ_4)
-    with unique ADJ_INDEX_1KM. Output: [HW_TIME_FILTER,] SUBSCRIBER_ID,
-    INDEX_1KM, ADJ_1..ADJ_4_APPEARANCE_COUNT (the subscriber's count in each
-    neighbour, 0 when unseen), ADJ_APPEARANCE (their sum) and
+    APPEARANCE_COUNT) and an adjacency table (ADJ_INDEX_1KM, ADJ_1..ADJ_4);
+    a repeated ADJ_INDEX_1KM fails the query. Output: [HW_TIME_FILTER,]
+    SUBSCRIBER_ID, INDEX_1KM, ADJ_1..ADJ_4_APPEARANCE_COUNT (the subscriber's
+    count in each neighbour, 0 when unseen), ADJ_APPEARANCE (their sum) and
     APPEARANCE_COUNT (double) = own count + weight x ADJ_APPEARANCE.
 
     Only cells the subscriber was seen in are candidates; a cell missing
-    from the adjacency (or the null cell) keeps its own count.
+    from the adjacency (or the null cell) keeps its own count, and so does
+    every cell of the null subscriber, who is nobody in particular.
 
-    Instead of four lookups of the counts table (one join per neighbour
-    slot), each count row is looked up once in the small reverse-adjacency
-    map (map-side: broadcast after a row-count check of the adjacency) and exploded
-    into its own row plus one credit row per cell that names it as a
-    neighbour; a single aggregation per (subscriber, class, cell) then sums
-    them. The counts are repartitioned by SUBSCRIBER_ID (at most cells x 2
-    rows per subscriber) and the lookup, Generate and the aggregation all keep
-    that partitioning, which ``top_location`` then reuses: one exchange of
-    the counts table for spatial credit and ranking together.
+    Each count row looks up its own adjacency row and asks for the counts of
+    its neighbours: itself and at most four requests, whatever cells share a
+    neighbour id. Within the subscriber's rows a window over the asked cell
+    answers the requests, and one aggregation per asking cell collects the
+    answers. The counts are repartitioned by SUBSCRIBER_ID (at most cells x 2
+    rows per subscriber); lookup, window and aggregation keep that
+    partitioning, which ``top_location`` then reuses: one exchange of the
+    counts table for spatial credit and ranking together.
     """
-    has_class = S.HW_TIME_FILTER in counts.columns
-    cls = [S.HW_TIME_FILTER] if has_class else []
-    n = F.col(S.APPEARANCE_COUNT)
-    credits = credited_cells(adjacency)
-    # The map holds at most 4 entries per adjacency row: bound it by the
-    # (cheaply counted) source instead of counting the aggregated map.
-    if has_at_most(adjacency, max_broadcast_rows // len(S.ADJ_SLOTS)):
-        credits = F.broadcast(credits)
-    own = F.struct(F.col(S.INDEX_1KM).alias("_target"), F.lit(0).alias("_slot"))
-    targets = F.concat(F.array(own),
-                       F.coalesce(F.col("_credits"), F.array().cast(credits.schema["_credits"].dataType)))
-    counts = counts.repartition(S.SUBSCRIBER_ID)
-    rows = (counts.join(credits, counts[S.INDEX_1KM] == credits["_nbr"], "left")
-            .select(S.SUBSCRIBER_ID, *cls, n.alias("_n"), F.inline(targets)))
+    cls = [S.HW_TIME_FILTER] if S.HW_TIME_FILTER in counts.columns else []
+    cell, n = F.col(S.INDEX_1KM), F.col(S.APPEARANCE_COUNT)
+    own = F.struct(cell.alias("_asked"), F.lit(0).alias("_slot"), n.alias("_n"))
+    requests = [F.struct(F.get("_neighbours", F.lit(i)).alias("_asked"), F.lit(i + 1).alias("_slot"),
+                         F.lit(None).cast("bigint").alias("_n")) for i in range(len(S.ADJ_SLOTS))]
+    kept = F.filter(F.array(own, *requests),
+                    lambda r: (r["_slot"] == 0) | (r["_asked"].isNotNull()
+                                                   & F.col(S.SUBSCRIBER_ID).isNotNull()))
+    rows = (counts.repartition(S.SUBSCRIBER_ID)
+            .join(unique_adjacency(adjacency), cell == F.col("_cell"), "left")
+            .select(S.SUBSCRIBER_ID, *cls, S.INDEX_1KM, F.inline(kept)))
+    asked = Window.partitionBy(S.SUBSCRIBER_ID, *cls, "_asked")
+    answered = rows.withColumn("_n", F.max("_n").over(asked))
     slot = F.col("_slot")
-    agg = (rows.groupBy(S.SUBSCRIBER_ID, *cls, "_target")
+    agg = (answered.groupBy(S.SUBSCRIBER_ID, *cls, S.INDEX_1KM)
            .agg(F.sum(F.when(slot == 0, F.col("_n"))).alias("_own"),
                 *[F.sum(F.when(slot == i, F.col("_n"))).alias(c)
-                  for i, c in enumerate(SLOT_COUNTS, start=1)])
-           .filter(F.col("_own").isNotNull()))
+                  for i, c in enumerate(SLOT_COUNTS, start=1)]))
     slot_cols = [F.coalesce(F.col(c), F.lit(0).cast("bigint")) for c in SLOT_COUNTS]
     adj_sum = slot_cols[0] + slot_cols[1] + slot_cols[2] + slot_cols[3]
     return agg.select(
-        *cls, S.SUBSCRIBER_ID, F.col("_target").alias(S.INDEX_1KM),
+        *cls, S.SUBSCRIBER_ID, S.INDEX_1KM,
         *[c.alias(name) for c, name in zip(slot_cols, SLOT_COUNTS)],
         adj_sum.alias(S.ADJ_APPEARANCE),
         (F.col("_own") + adj_sum * F.lit(float(weight))).cast("double").alias(S.APPEARANCE_COUNT),
     )
+
+
+def spatial_stages(counts: DataFrame, spatial: DataFrame, adjacency: DataFrame) -> dict[str, DataFrame]:
+    """The stage tables of the spatial job, for debugging: candidates with
+    their four neighbours, then with the count in the first one, two, three and
+    four neighbours (null where unseen), then with nulls as 0. ``spatial`` is
+    ``spatial_appearance`` of the same ``counts``."""
+    keys = [c for c in (S.HW_TIME_FILTER, S.SUBSCRIBER_ID, S.INDEX_1KM) if c in counts.columns]
+    near = unique_adjacency(adjacency)
+    joined = (counts.join(near, counts[S.INDEX_1KM] == near["_cell"], "left")
+              .select(*keys, S.APPEARANCE_COUNT,
+                      *[F.get("_neighbours", F.lit(i)).alias(s) for i, s in enumerate(S.ADJ_SLOTS)]))
+    found = spatial.select(*[F.col(k).alias(f"_{k}") for k in keys], *SLOT_COUNTS)
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    full = joined.join(found, same).drop(*[f"_{k}" for k in keys])
+    tables = {"appearanceJoinedAdjacentCell": joined}
+    for upto in range(1, len(SLOT_COUNTS) + 1):
+        tables[f"adj_{upto}"] = full.select(
+            *joined.columns, *[F.nullif(F.col(c), F.lit(0)).alias(c) for c in SLOT_COUNTS[:upto]])
+    return tables | {"na_filled": full}

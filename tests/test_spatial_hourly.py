@@ -1,5 +1,7 @@
+import pytest
+
 from cellscope.operators import (hourly_cell_counts, hourly_top_cell, hourly_trajectory,
-                                 spatial_appearance, top_location)
+                                 spatial_appearance, spatial_stages, top_location)
 from conftest import rows
 
 SLOTS = ["ADJ_1_APPEARANCE_COUNT", "ADJ_2_APPEARANCE_COUNT", "ADJ_3_APPEARANCE_COUNT",
@@ -40,6 +42,45 @@ def test_spatial_repeated_slot_counts_twice(counts_df, adjacency_df):
         (2, 2, 4, 3.0)
 
 
+def test_spatial_repeated_adjacency_row_fails(counts_df, adjacency_df):
+    c = counts_df([("HOME_HOUR", "u", "A", 4), ("HOME_HOUR", "u", "B", 3)])
+    adj = adjacency_df([("A", "B", None, None, None), ("A", "B", None, None, None)])
+    with pytest.raises(Exception, match="more than one row for cell A"):
+        spatial_appearance(c, adj).collect()
+
+
+def test_spatial_null_subscriber_earns_no_credit(counts_df, adjacency_df):
+    c = counts_df([("HOME_HOUR", None, "A", 4), ("HOME_HOUR", None, "B", 3)])
+    adj = adjacency_df([("A", "B", None, None, None), ("B", "A", None, None, None)])
+    assert rows(spatial_appearance(c, adj), "INDEX_1KM", "APPEARANCE_COUNT") == [("A", 4.0), ("B", 3.0)]
+
+
+def test_spatial_placeholder_neighbour_shared_by_all_border_cells(counts_df, adjacency_df):
+    # Every cell names "0"; each row still asks at most four times.
+    cells = [f"c{i}" for i in range(60)]
+    c = counts_df([("HOME_HOUR", f"u{i % 7}", x, i + 1) for i, x in enumerate(cells)]
+                  + [("HOME_HOUR", f"u{k}", "0", 10 * k + 1) for k in range(7)])
+    adj = adjacency_df([(x, "0", "0", cells[i - 1], None) for i, x in enumerate(cells)])
+    got = {(r.SUBSCRIBER_ID, r.INDEX_1KM): r for r in spatial_appearance(c, adj).collect()}
+    assert len(got) == 67
+    for i, x in enumerate(cells):
+        placeholder = 10 * (i % 7) + 1
+        r = got[f"u{i % 7}", x]
+        assert (r.ADJ_1_APPEARANCE_COUNT, r.ADJ_2_APPEARANCE_COUNT, r.ADJ_3_APPEARANCE_COUNT) == \
+            (placeholder, placeholder, 0)
+        assert r.APPEARANCE_COUNT == i + 1 + placeholder
+
+
+def test_spatial_stages(counts_df, adjacency_df):
+    c = counts_df([("HOME_HOUR", "u", "A", 4), ("HOME_HOUR", "u", "B", 3), ("HOME_HOUR", None, None, 1)])
+    adj = adjacency_df([("A", "B", "X", None, None)])
+    stages = spatial_stages(c, spatial_appearance(c, adj), adj)
+    assert list(stages) == ["appearanceJoinedAdjacentCell", "adj_1", "adj_2", "adj_3", "adj_4", "na_filled"]
+    assert rows(stages["adj_2"], "INDEX_1KM", "ADJ_1", "ADJ_1_APPEARANCE_COUNT", "ADJ_2_APPEARANCE_COUNT") == \
+        [("A", "B", 3, None), ("B", None, None, None), (None, None, None, None)]
+    assert rows(stages["na_filled"], "INDEX_1KM", *SLOTS) == [("A", 3, 0, 0, 0), ("B", 0, 0, 0, 0), (None, 0, 0, 0, 0)]
+
+
 def test_spatial_keeps_classes_and_subscribers_apart(counts_df, adjacency_df):
     c = counts_df([("HOME_HOUR", "u", "A", 1), ("WORK_HOUR", "u", "B", 5), ("HOME_HOUR", "v", "B", 7)])
     adj = adjacency_df([("A", "B", None, None, None)])
