@@ -1,79 +1,81 @@
-"""Audit of Parquet files that cannot be decoded, run on the executors."""
+"""Audit of Parquet files that cannot be decoded, by Spark's own reader."""
 
 from __future__ import annotations
 
 import sys
 from collections.abc import Iterator, Sequence
-from urllib.parse import unquote, urlparse
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..sources.files import list_files
+from ..sources.files import list_files, plain_path
 
-# The decode function runs in Python workers: ship this module's code with
-# it (by value), so executors need neither this package installed nor the
-# driver's working directory.
+# The one function that runs in Python workers goes there by value, so
+# executors need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-AUDIT_SCHEMA = "path string, readable boolean, rows bigint, error string"
-_BATCH_ROWS = 65_536
-_MAX_ERROR = 500
+#: A Parquet file without rows is its footer; longer ones are not looked at.
+EMPTY_TABLE_BYTES = 16 << 20
 
 
-def _open(path: str):
-    """(filesystem, path) for a Spark file URI; local ``file:`` URIs are
-    turned into plain paths, other schemes go through pyarrow's registry."""
-    from pyarrow import fs as pafs
+def _scan(spark: SparkSession, paths: Sequence[str], schema=None) -> DataFrame:
+    reader = spark.read.option("ignoreCorruptFiles", "true").option("pathGlobFilter", "*.parquet")
+    return (reader.schema(schema) if schema is not None else reader).parquet(*paths)
 
-    u = urlparse(path)
-    if u.scheme in ("", "file"):
-        return pafs.LocalFileSystem(), unquote(u.path)
-    return pafs.FileSystem.from_uri(path)
 
+def _empty_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Paths of the files whose bytes are a sound Parquet file of no rows."""
+    import io
 
-def decode_parquet_file(path: str) -> tuple[str, bool, int | None, str | None]:
-    """Decode every row group and every column of one file, batch by batch
-    (memory stays bounded by one batch). A file whose footer reads but whose
-    last row group is corrupt fails here, unlike a query that stops after
-    the first rows; a zero-byte or truncated file fails on the footer."""
     import pyarrow.parquet as pq
 
-    try:
-        fs, local = _open(path)
-        with fs.open_input_file(local) as f:
-            rows = 0
-            for batch in pq.ParquetFile(f).iter_batches(batch_size=_BATCH_ROWS):
-                batch.validate(full=True)
-                rows += batch.num_rows
-        return path, True, rows, None
-    except Exception as e:  # noqa: BLE001 - any failure means "unreadable"
-        return path, False, None, f"{type(e).__name__}: {e}"[:_MAX_ERROR]
-
-
-def _decode_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = [decode_parquet_file(p) for p in pdf["path"]]
-        yield pd.DataFrame(rows, columns=["path", "readable", "rows", "error"])
-
-
-def audit_parquet(spark: SparkSession, paths: str | Sequence[str],
-                  tasks: int | None = None) -> DataFrame:
-    """One row per ``*.parquet`` file under ``paths``: path, readable,
-    rows (null when unreadable), error.
-
-    The file list (from Spark's file index, zero-byte files included) is
-    spread over ``tasks`` partitions (default: the cluster's parallelism);
-    each task decodes its files in Arrow batches. A repartition with an
-    explicit number is not merged back by AQE, so the decode stays parallel
-    even though the listing itself is tiny.
+    for batch in batches:
+        sound = []
+        for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+            try:
+                if pq.read_table(io.BytesIO(content)).num_rows == 0:
+                    sound.append(path)
+            except (pa.ArrowInvalid, OSError):  # what Arrow says of bytes that are no Parquet file
+                pass
+        yield pa.RecordBatch.from_pydict({"empty": pa.array(sound, pa.string())})
+
+
+def audit_parquet(spark: SparkSession, paths: str | Sequence[str], schema=S.CDR) -> DataFrame:
+    """One row per ``*.parquet`` file under ``paths``: path, readable, rows
+    (null when unreadable), expected_rows (what the footer promises; null
+    without a footer or without rows), checksum of all values.
+
+    Two scans, both split over the cluster by Spark like any other: one of no
+    column, which counts the rows that footers promise, and one that decodes
+    every value of ``schema`` (None: the files' own). A corrupt file ends early
+    in the second scan, so its rows fall short. A file that gives no row in
+    either has a bad footer, no byte, or really no row; the bytes of such files
+    are read, if there are few enough for a table without rows, and looked at.
+
+    Both scans leave out what is corrupt, but fail on missing permissions or
+    blocks; and the files with no row are read without leaving anything out, so
+    a store that can't be read fails the audit.
     """
-    files = list_files(spark, paths)
-    n = tasks or spark.sparkContext.defaultParallelism
-    return files.repartition(n, "path").mapInPandas(_decode_partition, AUDIT_SCHEMA)
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    where = plain_path(F.col("_metadata.file_path")).alias("path")
+    data = _scan(spark, paths, schema)
+    promised = data.select(where).groupBy("path").agg(F.count(F.lit(1)).alias("expected_rows"))
+    values = data.select(where, F.xxhash64(*[F.col(f"`{c}`") for c in data.columns]).alias("h"))
+    decoded = values.groupBy("path").agg(F.count(F.lit(1)).alias("decoded_rows"),
+                                         F.bit_xor("h").alias("checksum"))
+    found = list_files(spark, paths).join(promised, "path", "left").join(decoded, "path", "left")
+    small = (spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(paths)
+             .where(F.col("length") <= EMPTY_TABLE_BYTES)
+             .select(plain_path(F.col("path")).alias("path"), "content"))
+    empty = (small.join(promised.select("path"), "path", "left_anti")
+             .mapInArrow(_empty_tables, "empty string"))
+    full = F.col("expected_rows").isNotNull() & F.col("expected_rows").eqNullSafe(F.col("decoded_rows"))
+    rows = F.when(full, F.col("decoded_rows")).when(F.col("empty").isNotNull(), F.lit(0))
+    return (found.join(empty, found.path == F.col("empty"), "left").withColumn("rows", rows)
+            .select("path", F.col("rows").isNotNull().alias("readable"), "rows", "expected_rows", "checksum"))
 
 
 def failed_files(audit: DataFrame) -> DataFrame:

@@ -76,9 +76,10 @@ def home_work(locations: DataFrame, one_per_subscriber: bool = True) -> DataFram
             .agg(*_side_aggregates(lambda label, hw: cls == hw, not one_per_subscriber)))
 
 
-def cells_as_text(home_work_df: DataFrame, sep: str = ",", null_cell: str = "null") -> DataFrame:
+def cells_as_text(home_work_df: DataFrame, sep: str = ",", null_cell: str = "\\N") -> DataFrame:
     """The tie-keeping form with each cell array rendered as text (cells in
-    order, joined by ``sep``, a null cell written as ``null_cell``), for CSV
+    order, joined by ``sep``, a null cell written as ``null_cell``, by default
+    the usual text-dump mark, which is no cell's name), for CSV
     sinks, which cannot hold arrays. Other columns pass unchanged, so the
     one-per-subscriber form is returned as it is."""
     return home_work_df.select(*[

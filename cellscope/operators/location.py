@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from .joins import MAX_BROADCAST_ROWS, checked_broadcast
 
 
 def _keys(df: DataFrame) -> list[str]:
@@ -56,18 +55,15 @@ def residents_per_cell(locations: DataFrame) -> DataFrame:
             .select(*by, F.col(S.INDEX_1KM).alias(S.LOCATION_ID), S.COUNT_IN_1KM_CELL))
 
 
-def residents_map(residents: DataFrame, centres: DataFrame,
-                  max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+def residents_map(residents: DataFrame, centres: DataFrame) -> DataFrame:
     """Residents per cell with the cell centre: [HW_TIME_FILTER,]
     LOCATION_ID, LATITUDE, LONGITUDE, COUNT_IN_1KM_CELL. Cells without a
     centre, and the null cell, drop out (inner join).
 
-    Both sides are bounded by the number of cells; the centres are
-    broadcast after a row-count check.
+    Both sides are bounded by the number of cells; whether the centres are
+    broadcast is the optimizer's choice, by their size in bytes.
     """
     by = [S.HW_TIME_FILTER] if S.HW_TIME_FILTER in residents.columns else []
-    c = checked_broadcast(
-        centres.select(F.col(S.LOCATION_ID).alias("_cell"), S.LATITUDE, S.LONGITUDE),
-        max_broadcast_rows)
+    c = centres.select(F.col(S.LOCATION_ID).alias("_cell"), S.LATITUDE, S.LONGITUDE)
     return (residents.join(c, residents[S.LOCATION_ID] == c["_cell"], "inner")
             .select(*by, S.LOCATION_ID, S.LATITUDE, S.LONGITUDE, S.COUNT_IN_1KM_CELL))

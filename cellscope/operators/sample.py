@@ -8,10 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from .joins import MAX_BROADCAST_ROWS, checked_broadcast
 
-# A sample of at most this many ids is small enough to broadcast.
-MAX_BROADCAST_SAMPLE = 1_000_000
 # The first 4 hex digits of the sampling key: 65,536 buckets.
 _BUCKET_HEX = 4
 
@@ -27,21 +24,18 @@ def ntz(value: dt.datetime | dt.date | str) -> Column:
 
 def regional_records(cdr: DataFrame, areas: DataFrame, province: str,
                      start: dt.datetime | dt.date | str,
-                     end: dt.datetime | dt.date | str,
-                     max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+                     end: dt.datetime | dt.date | str) -> DataFrame:
     """Calls made in cells of ``province`` with start <= CALL_TIMESTAMP <= end
     (both ends inclusive; a date means its midnight), joined to the area
     attributes. Columns: SUBSCRIBER_ID, CALL_TIMESTAMP, INDEX_1KM and the
     eight area columns.
 
-    The areas of the province are broadcast after a row-count check, so
-    the CDR side is joined in place (no CDR shuffle); beyond the limit the
-    planner's shuffle join takes over.
+    The optimizer broadcasts the areas of the province when they are below its
+    byte threshold (then the CDR side is joined in place) and shuffles
+    otherwise.
     """
     recs = cdr.filter(F.col(S.CALL_TIMESTAMP).between(ntz(start), ntz(end)))
-    area = checked_broadcast(
-        areas.filter(F.col("PROVINCE_NAME") == province).select(*S.AREA_COLUMNS),
-        max_broadcast_rows)
+    area = areas.filter(F.col("PROVINCE_NAME") == province).select(*S.AREA_COLUMNS)
     return (recs.join(area, recs[S.INDEX_1KM] == area[S.LOCATION_ID], "inner")
             .select(*S.SAMPLE_COLUMNS))
 
@@ -91,10 +85,7 @@ def sample_users(users: DataFrame, n: int, seed: int | str = 42) -> DataFrame:
 
 
 def user_sample(records: DataFrame, n: int, seed: int | str = 42) -> DataFrame:
-    """All records of ``n`` sampled users (see ``sample_users``). The sample
-    is bounded by ``n``, so it is broadcast for the semi join when
-    ``n <= MAX_BROADCAST_SAMPLE`` and shuffled otherwise."""
-    chosen = sample_users(records, n, seed)
-    if n <= MAX_BROADCAST_SAMPLE:
-        chosen = F.broadcast(chosen)
-    return records.join(chosen, S.SUBSCRIBER_ID, "left_semi")
+    """All records of ``n`` sampled users (see ``sample_users``). The sample's
+    size is known when it has been computed, so the adaptive planner decides
+    whether it is broadcast for the semi join."""
+    return records.join(sample_users(records, n, seed), S.SUBSCRIBER_ID, "left_semi")

@@ -5,69 +5,44 @@ then the library's sources read it back."""
 from __future__ import annotations
 
 import datetime as dt
-import glob
-import os
-import shutil
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..operators import appearance_counts, audit_parquet, daily_presence, top_location
-from ..session import scratch_dir
-from ..sinks import read_csv, write_csv
-from ..sources import demo, read_adjacency, read_cdr
 from ..functions.calendar import enrich
+from ..operators import (appearance_counts, audit_parquet, class_counts, daily_presence,
+                         residents_per_cell, top_location)
+from ..session import scratch_dir, store_of
+from ..sinks import read_csv, versioned_path, write_csv
+from ..sources import demo, list_files, read_adjacency, read_cdr, read_cells
 
 ONE_SECOND = dt.timedelta(seconds=1)
-# Fixed value: name of the corrupt file the exclusion query skips.
-BAD_FILE = "part-99999-corrupt.snappy.parquet"
+# Names and bytes of the files that the file queries add.
+BAD_FILE, EMPTY_FILE = "part-99999-corrupt.snappy.parquet", "part-99998-empty.snappy.parquet"
+NO_PARQUET = b"PAR1 this is no Parquet file PAR1"
 
 
 def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return demo.cdr_from_events(demo.load(spark, sf_dir, "events"))
 
 
-def _part_files(folder: str) -> list[str]:
-    return sorted(glob.glob(os.path.join(folder, "part-*.parquet")))
-
-
-def write_cdr_dirs(spark: SparkSession, sf_dir: str, root: str, parts: int = 4,
-                   row_group_bytes: int | None = None) -> list[str]:
-    """Raw CDR split into two half-month folders, several files each."""
+def write_cdr_dirs(spark: SparkSession, sf_dir: str, root: str) -> list[str]:
+    """Raw CDR split into two half-month folders."""
     raw = _raw(spark, sf_dir)
     first = F.col(S.CALL_TIME) < F.lit("20240116000000")
     dirs = [f"{root}/records_a", f"{root}/records_b"]
-    # Small row groups, so a file can break after its first rows.
-    w = {"parquet.block.size": str(row_group_bytes)} if row_group_bytes else {}
-    raw.filter(first).repartition(parts).write.options(**w).parquet(dirs[0])
-    raw.filter(~first | F.col(S.CALL_TIME).isNull()).repartition(parts) \
-        .write.options(**w).parquet(dirs[1])
+    raw.filter(first).write.parquet(dirs[0])
+    raw.filter(~first | F.col(S.CALL_TIME).isNull()).write.parquet(dirs[1])
     return dirs
 
 
-def corrupt_copy(good: str, target: str, keep_fraction: float | None = None,
-                 late: bool = False) -> None:
-    """Copy ``good`` to ``target`` and damage it: truncate it to a fraction
-    of its bytes, or (``late``) overwrite the column chunks of its last row
-    group, located through the footer, so the footer and the earlier row
-    groups still read and only a full decode fails."""
-    shutil.copyfile(good, target)
-    if keep_fraction is not None:
-        with open(target, "r+b") as f:
-            f.truncate(int(os.path.getsize(target) * keep_fraction))
-    if late:
-        import pyarrow.parquet as pq
-
-        meta = pq.ParquetFile(good).metadata
-        rg = meta.row_group(meta.num_row_groups - 1)
-        chunks = [rg.column(i) for i in range(rg.num_columns)]
-        start = min(c.dictionary_page_offset or c.data_page_offset for c in chunks)
-        end = max((c.dictionary_page_offset or c.data_page_offset) + c.total_compressed_size
-                  for c in chunks)
-        with open(target, "r+b") as f:
-            f.seek(start)
-            f.write(b"\xff" * (end - start))
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """A file of these bytes, through Spark's own file access."""
+    store, where = store_of(spark, path)
+    out = store.create(where)
+    out.write(bytearray(data))
+    out.close()
 
 
 def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,22 +62,56 @@ def adjacency_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_adjacency(spark, f"{root}/adjacency")
 
 
+def cells_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cell attributes as a header CSV, read back with every column as text."""
+    root = scratch_dir(spark, "cells")
+    demo.cells_from_nations(demo.load(spark, sf_dir, "nation"), demo.load(spark, sf_dir, "region")) \
+        .write.option("header", "true").csv(f"{root}/cells")
+    return read_cells(spark, f"{root}/cells")
+
+
+def csv_single_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Residents per cell written as one part file and read back, with the
+    number of part files."""
+    root = scratch_dir(spark, "single")
+    loc = top_location(appearance_counts(daily_presence(enrich(_raw(spark, sf_dir)))))
+    write_csv(residents_per_cell(loc), f"{root}/counts", single_file=True)
+    files = list_files(spark, f"{root}/counts", "part-*").agg(F.count(F.lit(1)).alias("PART_FILES"))
+    return read_csv(spark, f"{root}/counts", {S.COUNT_IN_1KM_CELL: "bigint"}).crossJoin(F.broadcast(files))
+
+
+def csv_versioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Locations written under two versions of one layout and read back by
+    version: a version never holds another's rows."""
+    root = scratch_dir(spark, "versions")
+    loc = top_location(appearance_counts(daily_presence(enrich(_raw(spark, sf_dir)))))
+    both = None
+    for version, cls in enumerate((S.HOME_HOUR, S.WORK_HOUR), start=1):
+        path = versioned_path(root, "tc", version, "locations.csv")
+        write_csv(class_counts(loc, cls), path)
+        back = read_csv(spark, path, {S.MAX_APPEARANCE_COUNT: "bigint"}).withColumn("VERSION", F.lit(version))
+        both = back if both is None else both.unionByName(back)
+    return both
+
+
 def cdr_excluding_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CDR read from two folders while one corrupt file is excluded by
     path suffix; equal to the whole enriched CDR."""
     root = scratch_dir(spark, "exclude")
     dirs = write_cdr_dirs(spark, sf_dir, root)
-    corrupt_copy(_part_files(dirs[0])[0], f"{dirs[0]}/{BAD_FILE}", keep_fraction=0.5)
+    write_bytes(spark, f"{dirs[0]}/{BAD_FILE}", NO_PARQUET)
     return read_cdr(spark, dirs, exclude=[f"records_a/{BAD_FILE}"])
 
 
 def unreadable_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Audit of a folder with good files plus a truncated, a zero-byte and
-    a tail-corrupted copy: one row per file, three of them unreadable."""
+    """Audit of two folders of good files and one with a file that is no
+    Parquet file and one without any byte: the bad files by name, the good
+    ones' rows summed by folder."""
     root = scratch_dir(spark, "audit")
-    dirs = write_cdr_dirs(spark, sf_dir, root, row_group_bytes=8192)
-    good = _part_files(dirs[1])[0]
-    corrupt_copy(good, f"{dirs[1]}/part-90001-truncated.parquet", keep_fraction=0.6)
-    corrupt_copy(good, f"{dirs[1]}/part-90002-tail.parquet", late=True)
-    open(f"{dirs[1]}/part-90003-empty.parquet", "wb").close()
-    return audit_parquet(spark, dirs)
+    dirs = write_cdr_dirs(spark, sf_dir, root)
+    write_bytes(spark, f"{dirs[1]}/{BAD_FILE}", NO_PARQUET)
+    write_bytes(spark, f"{dirs[1]}/{EMPTY_FILE}", b"")
+    folder, name = (F.element_at(F.split("path", "/"), -i) for i in (2, 1))
+    return (audit_parquet(spark, dirs)
+            .groupBy(F.when(F.col("readable"), folder).otherwise(name).alias("NAME"), "readable")
+            .agg(F.sum("rows").alias("ROWS")).withColumnRenamed("readable", "READABLE"))

@@ -19,18 +19,15 @@ from .. import schemas as S
 from ..functions.calendar import day_bounds
 from ..operators import (appearance_counts, audit_parquet, cells_as_text, class_counts,
                          daily_presence, failed_files, home_work, hourly_cell_counts, hourly_top_cell,
-                         hourly_trajectory, regional_records, residents_map,
-                         residents_per_cell, spatial_appearance, top_location, user_sample)
-from ..operators.spatial import credited_cells
+                         hourly_trajectory, regional_records, residents_map, residents_per_cell,
+                         spatial_appearance, spatial_stages, top_location, user_sample)
 from ..session import ensure_checkpoint_dir
-from ..sinks import versioned_path, write_csv, write_intermediates
+from ..sinks import read_csv, versioned_path, write_csv, write_intermediates
 from ..sources import read_adjacency, read_cdr, read_cells
 
 # Layout of the original data root and result names.
 CDR_DIRS = ("generated_voice_records_20121201_20130601",
             "generated_voice_records_20130601_20131201")
-EXCLUDED_FILES = ("generated_voice_records_20121201_20130601/"
-                  "part-00225-a991b42b-e27c-4f9f-934c-cb33c1eb582e-c000.snappy.parquet",)
 ADJACENCY_FILE = "4_adjacent_cells.txt"
 LOCATIONS_CSV = "subscriberLocationByCellId.csv"
 CELL_COUNTS_CSV = "locationSubscriberCount.csv"
@@ -42,67 +39,83 @@ def cdr_dirs(data_root: str) -> list[str]:
     return [f"{data_root.rstrip('/')}/{d}" for d in CDR_DIRS]
 
 
+COUNTS = {c: "bigint" for c in ("HOME_APPEARANCE_COUNT", "WORK_APPEARANCE_COUNT",
+                                S.MAX_APPEARANCE_COUNT, S.MAX_APEARENCE_COUNT, S.COUNT_IN_1KM_CELL)}
+SPATIAL_COUNTS = COUNTS | {c: "double" for c in ("HOME_APPEARANCE_COUNT", "WORK_APPEARANCE_COUNT",
+                                                 S.MAX_APPEARANCE_COUNT)}
+
+
 def _locations_out(loc: DataFrame) -> DataFrame:
     return loc.select(S.SUBSCRIBER_ID, S.INDEX_1KM, S.MAX_APPEARANCE_COUNT)
 
 
+def _written(df: DataFrame, path: str, single_file: bool, mode: str,
+             casts: dict[str, str] = COUNTS) -> DataFrame:
+    """Write ``df`` and hand back what was written, so that using a job's
+    result later reads the result and computes nothing again."""
+    write_csv(df, path, single_file=single_file, mode=mode)
+    return read_csv(df.sparkSession, path, {c: t for c, t in casts.items() if c in df.columns})
+
+
 def home_work_job(spark: SparkSession, data_root: str, version: str | int = 1,
                   weeks: tuple[int, int] | None = (0, 53), one_per_subscriber: bool = True,
                   spatial: bool = False, weight: float = 0.5,
-                  paths: Sequence[str] | None = None, exclude: Sequence[str] | None = None,
+                  paths: Sequence[str] | None = None, exclude: Sequence[str] = (),
                   adjacency: DataFrame | None = None, out_root: str | None = None,
-                  debug: bool = False, mode: str = "errorifexists") -> dict[str, DataFrame]:
+                  debug: bool = False, single_file: bool = False,
+                  mode: str = "errorifexists") -> dict[str, DataFrame]:
     """Annual home / work cells (J1), or with spatial certainty (J2,
     ``spatial=True``, adjacency from ``{data_root}/4_adjacent_cells.txt``).
 
     Writes under ``{out_root}/output/{tc|sc}/{version}/``: per class the
     locations and the subscribers per cell, then the merged home-work table
-    as one file. Returns the result tables.
+    (``single_file`` for one part file). Returns the written tables. Files to
+    leave out are named by ``exclude`` (path suffixes).
     """
     out_root = out_root or data_root
     family = "sc" if spatial else "tc"
-    exclude = [f"{data_root.rstrip('/')}/{e}" for e in EXCLUDED_FILES] if exclude is None else exclude
+    casts = SPATIAL_COUNTS if spatial else COUNTS
     cdr = read_cdr(spark, paths or cdr_dirs(data_root), exclude=exclude, weeks=weeks)
-    counts = appearance_counts(daily_presence(cdr))
+    held = [appearance_counts(daily_presence(cdr))]
     if spatial:
         if adjacency is None:
             adjacency = read_adjacency(spark, f"{data_root.rstrip('/')}/{ADJACENCY_FILE}")
-        plain = counts
-        counts = spatial_appearance(counts, adjacency, weight)
         if debug:
-            write_intermediates({"appearanceCounts": plain,
-                                 "creditedCells": credited_cells(adjacency)
-                                 .select("_nbr", F.to_json("_credits").alias("_credits")),
-                                 "spatialAppearance": counts},
+            held[0] = held[0].persist(StorageLevel.MEMORY_AND_DISK)
+        held.append(spatial_appearance(held[0], adjacency, weight))
+        if debug:
+            held[1] = held[1].persist(StorageLevel.MEMORY_AND_DISK)
+            write_intermediates(spatial_stages(held[0], held[1], adjacency),
                                 versioned_path(out_root, family, version, "debug"), mode)
-    loc = top_location(counts, one_per_subscriber).persist(StorageLevel.MEMORY_AND_DISK)
+    loc = top_location(held[-1], one_per_subscriber).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        results = {"locations": loc}
+        results = {}
         for hw, sub in CLASS_DIRS.items():
             per_class = class_counts(loc, hw)
-            write_csv(_locations_out(per_class),
-                      versioned_path(out_root, family, version, sub, LOCATIONS_CSV), mode=mode)
-            write_csv(residents_per_cell(per_class),
-                      versioned_path(out_root, family, version, sub, CELL_COUNTS_CSV), mode=mode)
-        merged = home_work(loc, one_per_subscriber)
+            results[hw] = _written(_locations_out(per_class), versioned_path(
+                out_root, family, version, sub, LOCATIONS_CSV), False, mode, casts)
+            results[f"{hw}_PER_CELL"] = _written(residents_per_cell(per_class), versioned_path(
+                out_root, family, version, sub, CELL_COUNTS_CSV), False, mode)
         # With ties kept the cell columns are arrays; CSV gets them as text.
-        write_csv(merged if one_per_subscriber else cells_as_text(merged), versioned_path(out_root, family, version, HOME_WORK_CSV),
-                  single_file=True, mode=mode)
-        results["home_work"] = merged
+        results["home_work"] = _written(cells_as_text(home_work(loc, one_per_subscriber)), versioned_path(
+            out_root, family, version, HOME_WORK_CSV), single_file, mode, casts)
         return results
     finally:
-        loc.unpersist()
+        for df in (loc, *held):
+            df.unpersist()
 
 
 def residents_map_job(spark: SparkSession, data_root: str,
-                      paths: Sequence[str] | None = None, centres: DataFrame | None = None,
-                      out_root: str | None = None, mode: str = "errorifexists") -> dict[str, DataFrame]:
+                      paths: Sequence[str] | None = None, exclude: Sequence[str] = (),
+                      centres: DataFrame | None = None, out_root: str | None = None,
+                      single_file: bool = False, mode: str = "errorifexists") -> dict[str, DataFrame]:
     """Home / work cells with ties kept over the whole input, subscribers per
-    cell, and the residents map joined to the cell centres (J3)."""
+    cell, and the residents map joined to the cell centres (J3). Returns the
+    written maps by class."""
     # The inputs and result names of this job.
     root = data_root.rstrip("/")
     out = f"{(out_root or data_root).rstrip('/')}/output"
-    cdr = read_cdr(spark, paths or [f"{root}/synv_20130601_20131201"], with_year=False)
+    cdr = read_cdr(spark, paths or [f"{root}/synv_20130601_20131201"], exclude=exclude, with_year=False)
     if centres is None:
         centres = read_cells(spark, f"{root}/1KM_CELL_CENTRES.csv")
     ties = top_location(appearance_counts(daily_presence(cdr)), one_per_subscriber=False)
@@ -114,12 +127,11 @@ def residents_map_job(spark: SparkSession, data_root: str,
         for hw, (loc_csv, sum_csv, map_csv) in names.items():
             per_class = class_counts(ties, hw)
             residents = residents_per_cell(per_class)
-            mapped = residents_map(residents, centres)
-            write_csv(_locations_out(per_class), f"{out}/{loc_csv}", single_file=True, mode=mode)
+            located = _locations_out(per_class).withColumnRenamed(S.MAX_APPEARANCE_COUNT, S.MAX_APEARENCE_COUNT)
+            write_csv(located, f"{out}/{loc_csv}", single_file=single_file, mode=mode)
             write_csv(residents.withColumnRenamed(S.LOCATION_ID, S.INDEX_1KM),
-                      f"{out}/{sum_csv}", single_file=True, mode=mode)
-            write_csv(mapped, f"{out}/{map_csv}", single_file=True, mode=mode)
-            results[hw] = mapped
+                      f"{out}/{sum_csv}", single_file=single_file, mode=mode)
+            results[hw] = _written(residents_map(residents, centres), f"{out}/{map_csv}", single_file, mode)
         return results
     finally:
         ties.unpersist()
@@ -127,27 +139,27 @@ def residents_map_job(spark: SparkSession, data_root: str,
 
 def hourly_trajectory_job(spark: SparkSession, data_root: str, version: str | int = 1,
                           year: int = 2013, day_of_year: int = 1,
-                          paths: Sequence[str] | None = None, exclude: Sequence[str] | None = None,
-                          out_root: str | None = None, mode: str = "errorifexists") -> DataFrame:
+                          paths: Sequence[str] | None = None, exclude: Sequence[str] = (),
+                          out_root: str | None = None, single_file: bool = False,
+                          mode: str = "errorifexists") -> DataFrame:
     """Modal cell of every hour of one day per subscriber (J4). Only the
     day's rows are read (text-range pushdown on CALL_TIME). Written to
     ``output/SimMobility/{version}/{year}_{day}``: with the year in the path
     two years' same day numbers do not collide."""
-    exclude = [f"{data_root.rstrip('/')}/{e}" for e in EXCLUDED_FILES] if exclude is None else exclude
     cdr = read_cdr(spark, paths or cdr_dirs(data_root), exclude=exclude,
                    period=day_bounds(year, day_of_year))
     traj = hourly_trajectory(hourly_top_cell(hourly_cell_counts(cdr, year, day_of_year)))
-    write_csv(traj, versioned_path(out_root or data_root, "SimMobility", version,
-                                   f"{year}_{day_of_year}"), single_file=True, mode=mode)
-    return traj
+    return _written(traj, versioned_path(out_root or data_root, "SimMobility", version,
+                                         f"{year}_{day_of_year}"), single_file, mode)
 
 
 def regional_sample_job(spark: SparkSession, data_root: str, province: str = "Western",
                         start: dt.date | dt.datetime = dt.date(2013, 11, 1),
                         end: dt.date | dt.datetime = dt.date(2013, 11, 10),
                         n_users: int = 20_000, seed: int | str = 42,
-                        paths: Sequence[str] | None = None, areas: DataFrame | None = None,
-                        materialize: bool = True, out_path: str | None = None,
+                        paths: Sequence[str] | None = None, exclude: Sequence[str] = (),
+                        areas: DataFrame | None = None, materialize: bool = True,
+                        out_path: str | None = None, single_file: bool = False,
                         mode: str = "errorifexists") -> DataFrame:
     """All records of ``n_users`` seeded-random users seen in ``province``
     between ``start`` and ``end`` (inclusive), with area attributes (J5).
@@ -160,25 +172,22 @@ def regional_sample_job(spark: SparkSession, data_root: str, province: str = "We
         areas = read_cells(spark, f"{root}/1K_CELL_CENTERS_ALL.CSV")
     lo = dt.datetime.combine(start, dt.time()) if not isinstance(start, dt.datetime) else start
     hi = dt.datetime.combine(end, dt.time()) if not isinstance(end, dt.datetime) else end
-    cdr = read_cdr(spark, paths or cdr_dirs(data_root), exclude=(), with_year=False,
+    cdr = read_cdr(spark, paths or cdr_dirs(data_root), exclude=exclude, with_year=False,
                    period=(lo, hi + dt.timedelta(seconds=1)))
     records = regional_records(cdr, areas, province, lo, hi)
     if materialize:
         ensure_checkpoint_dir(spark)
         records = records.checkpoint(eager=True)
-    sample = user_sample(records, n_users, seed)
-    write_csv(sample, out_path or f"{root}/output/SampleUserFor{province}.csv",
-              single_file=True, mode=mode)
-    return sample
+    return _written(user_sample(records, n_users, seed),
+                    out_path or f"{root}/output/SampleUserFor{province}.csv", single_file, mode,
+                    {S.CALL_TIMESTAMP: "timestamp_ntz"})
 
 
 def unreadable_files_job(spark: SparkSession, data_root: str, version: str | int = 1,
                          paths: Sequence[str] | None = None, out_root: str | None = None,
-                         mode: str = "errorifexists") -> DataFrame:
-    """Audit every Parquet file of the data folders on the executors and
-    write the ones that cannot be decoded as FAILED_FILES (J6)."""
-    audit = audit_parquet(spark, paths or cdr_dirs(data_root))
-    bad = failed_files(audit)
-    write_csv(bad, f"{(out_root or data_root).rstrip('/')}/output/{version}/decodingFailedFiles.csv",
-              single_file=True, mode=mode)
-    return audit
+                         single_file: bool = False, mode: str = "errorifexists") -> DataFrame:
+    """Audit every Parquet file of the data folders and write the ones that
+    cannot be decoded as FAILED_FILES (J6). Returns the written table."""
+    bad = failed_files(audit_parquet(spark, paths or cdr_dirs(data_root)))
+    return _written(bad, f"{(out_root or data_root).rstrip('/')}/output/{version}/decodingFailedFiles.csv",
+                    single_file, mode)

@@ -130,11 +130,11 @@ FULL OUTER JOIN (SELECT * FROM {loc} WHERE HW_TIME_FILTER = 'WORK_HOUR') w
 
 def _home_work_factored(loc: str) -> str:
     """The full-outer-join pair rows of ``_home_work``, then per subscriber
-    the distinct cells of each side, sorted (null last, written 'null') and
+    the distinct cells of each side, sorted (null last, written as a mark) and
     joined by ','; a side absent from the pairs stays null."""
     def side(label: str) -> str:
         return f"""
-  string_agg(coalesce(cell, 'null'), ',' ORDER BY cell NULLS LAST) FILTER (WHERE side = '{label}')
+  string_agg(coalesce(cell, '\\N'), ',' ORDER BY cell NULLS LAST) FILTER (WHERE side = '{label}')
     AS {label}_INDEX_1KM,
   max(cnt) FILTER (WHERE side = '{label}') AS {label}_APPEARANCE_COUNT"""
     return f"""
@@ -180,6 +180,23 @@ FROM {_RESIDENTS_TIES} r JOIN cells c ON r.LOCATION_ID = c.LOCATION_ID""",
     "csv_round_trip": "SELECT * FROM top1",
     "adjacency_source": "SELECT * FROM adj",
     "cdr_excluding_files": "SELECT * FROM cdr",
+    "cells_source": "SELECT * FROM cells",
+    "csv_single_file": """
+SELECT HW_TIME_FILTER, INDEX_1KM AS LOCATION_ID, CAST(count(*) AS BIGINT) AS COUNT_IN_1KM_CELL,
+       CAST(1 AS BIGINT) AS PART_FILES
+FROM top1 GROUP BY HW_TIME_FILTER, INDEX_1KM""",
+    "csv_versioned": """
+SELECT SUBSCRIBER_ID, INDEX_1KM, MAX_APPEARANCE_COUNT,
+       CASE HW_TIME_FILTER WHEN 'HOME_HOUR' THEN 1 ELSE 2 END AS VERSION
+FROM top1""",
+    "unreadable_files": """
+SELECT 'records_a' AS NAME, true AS READABLE, CAST(count(*) AS BIGINT) AS ROWS
+FROM raw WHERE CALL_TIME < '20240116000000'
+UNION ALL
+SELECT 'records_b', true, CAST(count(*) AS BIGINT)
+FROM raw WHERE CALL_TIME >= '20240116000000' OR CALL_TIME IS NULL
+UNION ALL SELECT 'part-99999-corrupt.snappy.parquet', false, NULL
+UNION ALL SELECT 'part-99998-empty.snappy.parquet', false, NULL""",
 }
 
 

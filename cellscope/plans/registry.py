@@ -92,6 +92,9 @@ QUERIES: dict[str, Query] = {
         demo.cdr_from_events(demo.load(spark, d, "events")), P.OVERSIZE_LENGTH),
     "csv_round_trip": fixtures.csv_round_trip,
     "adjacency_source": fixtures.adjacency_source,
+    "cells_source": fixtures.cells_source,
+    "csv_single_file": fixtures.csv_single_file,
+    "csv_versioned": fixtures.csv_versioned,
     "cdr_excluding_files": fixtures.cdr_excluding_files,
     "unreadable_files": fixtures.unreadable_files,
 }

@@ -19,6 +19,8 @@ HOUR_OF_DAY = "HOUR_OF_DAY"
 HW_TIME_FILTER = "HW_TIME_FILTER"
 APPEARANCE_COUNT = "APPEARANCE_COUNT"
 MAX_APPEARANCE_COUNT = "MAX_APPEARANCE_COUNT"
+# Fixed value: how the residents map job spells it in its location files.
+MAX_APEARENCE_COUNT = "MAX_APEARENCE_COUNT"
 LOCATION_ID = "LOCATION_ID"
 COUNT_IN_1KM_CELL = "COUNT_IN_1KM_CELL"
 LATITUDE = "LATITUDE"

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -10,30 +9,39 @@ from pyspark.sql import SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder (from ``spark.checkpoint.dir``); only
-    when none is configured, as in a bare local session, a local temporary
-    one is registered."""
+    """The session's checkpoint folder (from ``spark.checkpoint.dir``). Only a
+    local session may have none configured and gets a temporary one; executors
+    of a cluster would each write to a folder of their own."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None)
-                        or tempfile.mkdtemp(prefix="cellscope-"))
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="cellscope-")
+    sc.setCheckpointDir(base)
     return sc.getCheckpointDir()
 
 
 def scratch_dir(spark: SparkSession, name: str = "scratch") -> str:
-    """A fresh directory under the cluster's shared checkpoint folder
-    (``spark.checkpoint.dir``, read from the session). Only when none is
-    configured, as in a bare local test session, a local temporary folder is
-    created and registered as the checkpoint folder."""
+    """The URI of a new folder under the shared checkpoint folder, in whatever
+    store that is; Spark's writers create it."""
     base = (spark.conf.get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark)).rstrip("/")
-    if base.startswith("file:"):
-        base = base[len("file:"):]
-    path = f"{base}/cellscope-{name}-{uuid.uuid4().hex[:12]}"
-    if "://" not in path:
-        os.makedirs(path, exist_ok=True)
-    return path
+    return f"{base}/cellscope-{name}-{uuid.uuid4().hex[:12]}"
+
+
+def store_of(spark: SparkSession, path: str):
+    """(file system, path) objects of Spark's own file access."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder whose data nothing reads any more."""
+    store, where = store_of(spark, path)
+    store.delete(where, True)
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int | None = None,

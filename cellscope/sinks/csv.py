@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 def write_csv(df: DataFrame, path: str, single_file: bool = False,
               mode: str = "errorifexists", header: bool = True) -> None:
-    """CSV with a header line. ``single_file`` writes one part file
-    (``coalesce(1)``: one writer task, fine for small results only; it also
-    narrows the stage that produces the rows). The default mode refuses to
+    """CSV with a header line. ``single_file`` writes one part file, for small
+    results: the rows are computed in as many tasks as ever and only the
+    finished result goes through one writer. The default mode refuses to
     overwrite an existing result."""
-    out = df.coalesce(1) if single_file else df
+    out = df.repartition(1) if single_file else df
     out.write.mode(mode).option("header", str(header).lower()).csv(path)
 
 

@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from .cdr import spread_few_splits
 
 # 25 cells on a 5-wide grid; the cell of an event is its
 # integer props.k modulo 25.
@@ -34,7 +33,6 @@ def cdr_from_events(events: DataFrame,
         ts = F.col("ts")
         events = events.filter((ts >= F.lit(start.isoformat(sep=" ")).cast("timestamp_ntz"))
                                & (ts < F.lit(end.isoformat(sep=" ")).cast("timestamp_ntz")))
-    events = spread_few_splits(events.select("ts", "user_id", "props"))
     # props is a small JSON object. When "k" is its first key, an anchored
     # regular expression reads it (about 3x cheaper than a JSON parse per
     # row); any other layout falls back to the JSON path.

@@ -4,7 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def plain_path(path: Column) -> Column:
+    """A path as metadata columns give it, without the empty authority of
+    ``file:///``."""
+    return F.regexp_replace(path, "^file:///", "file:/")
 
 
 def list_files(spark: SparkSession, paths: str | Sequence[str],
@@ -12,13 +19,15 @@ def list_files(spark: SparkSession, paths: str | Sequence[str],
     """One row per file under ``paths`` matching ``glob``: ``path`` string.
 
     Spark's own file index does the listing (in parallel for many
-    directories). Its ``inputFiles()`` includes zero-byte files, which a
-    ``binaryFile`` scan silently skips; an audit must see them.
+    directories) and knows zero-byte files, which every scan skips. The names
+    become a Dataset where the index is, inside Spark; they never pass through
+    Python.
     """
-    if isinstance(paths, str):
-        paths = [paths]
-    listing = (spark.read.format("binaryFile")
-               .option("pathGlobFilter", glob)
-               .load(list(paths)))
-    files = sorted(listing.inputFiles())
-    return spark.createDataFrame([(p,) for p in files], "path string")
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    listing = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(paths)
+    jvm = spark._jvm
+    names = jvm.scala.collection.immutable.ArraySeq.unsafeWrapArray(listing._jdf.inputFiles())
+    rows = spark._jsparkSession.createDataset(names, jvm.org.apache.spark.sql.Encoders.STRING())
+    # The index gives escaped URIs, in which a plus sign is only itself.
+    path = F.url_decode(F.replace(F.col("value"), F.lit("+"), F.lit("%2B")))
+    return DataFrame(rows.toDF(), spark).select(plain_path(path).alias("path"))

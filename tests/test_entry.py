@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from cellscope.plans import oracle, registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("region nation customer supplier part orders lineitem events documents "
@@ -42,12 +43,12 @@ def test_entry_runs(spark):
     assert df.count() > 0
 
 
-def test_every_query_has_sql_except_audit():
-    assert set(E.queries()) - set(E.oracle_sql()) == {"unreadable_files"}
-    assert set(E.oracle_sql()) <= set(E.queries())
+def test_every_query_has_sql():
+    assert set(registry.queries()) == set(oracle.oracle_sql())
+    assert set(registry.queries()) <= set(E.queries()) and set(E.oracle_sql()) <= set(E.queries())
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_query_matches_sql(spark, duck, name):
     df = E.queries()[name](spark, SF)
     got = _canon(df.columns, [tuple(r) for r in df.collect()])

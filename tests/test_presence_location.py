@@ -91,7 +91,7 @@ def test_tied_null_cell_kept_last(counts_df):
                    ("WORK_HOUR", "v", None, 1)])
     out = home_work(top_location(c, one_per_subscriber=False), one_per_subscriber=False)
     assert rows(out) == [("u", ["a", None], 2, None, None), ("v", None, None, [None], 1)]
-    assert rows(cells_as_text(out)) == [("u", "a,null", 2, None, None), ("v", None, None, "null", 1)]
+    assert rows(cells_as_text(out)) == [("u", "a,\\N", 2, None, None), ("v", None, None, "\\N", 1)]
 
 
 def test_tie_merge_has_no_join(counts_df):

@@ -1,14 +1,16 @@
 import datetime as dt
 import hashlib
 import os
+import shutil
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from cellscope import schemas as S
 from cellscope.operators import (audit_parquet, failed_files, oversized_ids, regional_records,
                                  sample_users, user_sample)
-from cellscope.plans.fixtures import corrupt_copy
+from cellscope.plans import jobs
 from cellscope.session import scratch_dir
 from cellscope.sinks import read_csv, versioned_path, write_csv, write_intermediates
 from cellscope.sources import read_adjacency, read_cdr
@@ -54,7 +56,8 @@ def test_oversized_ids(spark):
 
 @pytest.fixture
 def cdr_files(spark):
-    root = scratch_dir(spark, "test")
+    root = scratch_dir(spark, "test").removeprefix("file:")
+    os.makedirs(root)
     rows_ = [(f"u{i % 13}", f"201301{1 + i % 28:02d}{i % 24:02d}0000", f"c{i % 5}") for i in range(3000)]
     df = spark.createDataFrame(rows_, S.CDR)
     df.repartition(3).write.option("parquet.block.size", 4096).parquet(f"{root}/a")
@@ -66,19 +69,58 @@ def _parts(d):
     return sorted(f for f in os.listdir(d) if f.startswith("part-") and f.endswith(".parquet"))
 
 
+def corrupt_copy(good, target, keep_fraction=None, late=False):
+    """Copy and damage a local file: cut it, or (``late``) overwrite the column
+    chunks of its last row group, which footer and earlier row groups survive."""
+    shutil.copyfile(good, target)
+    if keep_fraction is not None:
+        with open(target, "r+b") as f:
+            f.truncate(int(os.path.getsize(target) * keep_fraction))
+    if late:
+        meta = pq.ParquetFile(good).metadata
+        group = meta.row_group(meta.num_row_groups - 1)
+        chunks = [group.column(i) for i in range(group.num_columns)]
+        start = min(c.dictionary_page_offset or c.data_page_offset for c in chunks)
+        end = max((c.dictionary_page_offset or c.data_page_offset) + c.total_compressed_size for c in chunks)
+        with open(target, "r+b") as f:
+            f.seek(start)
+            f.write(b"\xff" * (end - start))
+
+
 def test_audit_finds_bad_files(spark, cdr_files):
     root, _ = cdr_files
     good = f"{root}/a/{_parts(f'{root}/a')[0]}"
     corrupt_copy(good, f"{root}/a/late.parquet", late=True)
     corrupt_copy(good, f"{root}/a/truncated.parquet", keep_fraction=0.5)
     open(f"{root}/a/zero.parquet", "wb").close()
-    audit = audit_parquet(spark, [f"{root}/a", f"{root}/b"], tasks=4)
+    shutil.copyfile(good, f"{root}/a/odd name +%.parquet")
+    pq.write_table(pq.read_table(good).slice(0, 0), f"{root}/a/norows.parquet")
+    audit = audit_parquet(spark, [f"{root}/a", f"{root}/b"])
     res = {os.path.basename(r.path): r for r in audit.collect()}
-    assert len(res) == 5 + 3
-    assert {k for k, r in res.items() if not r.readable} == {"late.parquet", "truncated.parquet", "zero.parquet"}
-    assert sum(r.rows for r in res.values() if r.readable) == 6000
-    assert {os.path.basename(r.FAILED_FILES) for r in failed_files(audit).collect()} == \
-        {"late.parquet", "truncated.parquet", "zero.parquet"}
+    bad = {"late.parquet", "truncated.parquet", "zero.parquet"}
+    assert len(res) == 5 + 5
+    assert {k for k, r in res.items() if not r.readable} == bad
+    assert res["norows.parquet"].rows == 0
+    assert sum(r.rows for k, r in res.items() if r.readable and k.startswith("part-")) == 6000
+    assert {os.path.basename(r.FAILED_FILES) for r in failed_files(audit).collect()} == bad
+
+
+def test_audit_job_decodes_in_as_many_tasks_as_the_scan_has(spark, tmp_path):
+    # 24 files, one split each: the job's write must not narrow the decode.
+    data = tmp_path / "generated"
+    spark.createDataFrame([(f"u{i}", "20130101000000", "c") for i in range(2400)], S.CDR) \
+        .repartition(24).write.option("parquet.block.size", 1024).parquet(str(data))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    tracker, group = spark.sparkContext.statusTracker(), "audit-tasks"
+    try:
+        spark.sparkContext.setJobGroup(group, "audit")
+        jobs.unreadable_files_job(spark, str(tmp_path), paths=[str(data)], single_file=True)
+        tasks = [tracker.getStageInfo(s).numTasks for j in tracker.getJobIdsForGroup(group)
+                 for s in tracker.getJobInfo(j).stageIds if tracker.getStageInfo(s)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sum(t >= 24 for t in tasks) >= 2
 
 
 def test_excluded_corrupt_file_is_never_opened(spark, cdr_files):
@@ -100,7 +142,8 @@ def test_read_cdr_week_range_and_period(spark, cdr_files):
 
 
 def test_adjacency_csv_with_schema(spark):
-    root = scratch_dir(spark, "test")
+    root = scratch_dir(spark, "test").removeprefix("file:")
+    os.makedirs(root)
     with open(f"{root}/adj.txt", "w") as f:
         f.write("A,B,,,\nB,A,C,,\n")
     adj = read_adjacency(spark, f"{root}/adj.txt")
@@ -109,7 +152,8 @@ def test_adjacency_csv_with_schema(spark):
 
 
 def test_csv_round_trip_and_no_overwrite(spark):
-    root = scratch_dir(spark, "test")
+    root = scratch_dir(spark, "test").removeprefix("file:")
+    os.makedirs(root)
     df = spark.createDataFrame([("u", "a", 3), ("v", None, 1)], "SUBSCRIBER_ID string, INDEX_1KM string, N bigint")
     path = versioned_path(root, "tc", 1, "homeYear", "subscriberLocationByCellId.csv")
     assert path.endswith("/output/tc/1/homeYear/subscriberLocationByCellId.csv")
@@ -122,27 +166,3 @@ def test_csv_round_trip_and_no_overwrite(spark):
     write_intermediates({"t1": df}, f"{root}/debug")
     assert os.path.isdir(f"{root}/debug/t1")
     write_intermediates({"t1": df}, None)
-
-
-def test_audit_function_ships_without_the_package(tmp_path):
-    # Executors may lack this package: the decode function must unpickle in
-    # an interpreter that cannot import it.
-    import os
-    import subprocess
-    import sys
-
-    from pyspark import cloudpickle
-
-    from cellscope.operators.audit import _decode_partition
-
-    blob = tmp_path / "f.pkl"
-    blob.write_bytes(cloudpickle.dumps(_decode_partition))
-    code = ("import pickle, sys\n"
-            "f = pickle.load(open(sys.argv[1], 'rb'))\n"
-            "assert 'cellscope' not in sys.modules\n"
-            "print(f.__name__)")
-    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
-    out = subprocess.run([sys.executable, "-c", code, str(blob)], cwd=tmp_path, env=env,
-                         capture_output=True, text=True, timeout=120)
-    assert out.returncode == 0, out.stderr
-    assert out.stdout.strip() == "_decode_partition"
