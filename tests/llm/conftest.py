@@ -1,0 +1,25 @@
+import os
+import sys
+
+import pytest
+
+HERE = os.path.dirname(os.path.abspath(__file__))
+sys.path[:0] = [HERE, os.path.dirname(os.path.dirname(HERE))]
+
+from llm_cases import SF  # noqa: E402
+
+
+@pytest.fixture
+def documents(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.fixture
+def frame(spark):
+    """A table (doc_id, text, ...) with columns that clash with results."""
+    def make(rows, more="n_tokens int, row string, k1 string, kept string, block string"):
+        names = [c.split()[0] for c in more.split(", ")]
+        kinds = {c.split()[0]: c.split()[1] for c in more.split(", ")}
+        full = [(i, t, *(7 if kinds[n] == "int" else "x" for n in names)) for i, t in rows]
+        return spark.createDataFrame(full, f"doc_id long, text string, {more}")
+    return make
