@@ -7,9 +7,10 @@ each lower node holds only the bits that its group adds. A search adds up the
 differing bits on its way down and leaves out a whole group as soon as the sum
 exceeds the distance.
 
-The sorted fingerprints are cut into blocks by sampled splitters. A small top
-index over the blocks sends each fingerprint to the blocks that can hold a
-partner; each block is searched through its own index.
+The sorted fingerprints are cut into blocks by sampled splitters, and each block
+is searched through its own index. The blocks' top nodes send a fingerprint on
+to the following blocks that can hold a partner; sorting once for each part of
+the bits keeps these few (see ``linked``).
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import id_type, map_batches, release, ship, slices, stored, two_columns
+from .common import id_type, map_batches, ship, slices, stored, two_columns
 from .components import components
 
 #: Children of an index node.
@@ -67,13 +68,12 @@ def gray_rank(fp: np.ndarray) -> np.ndarray:
 
 
 class GrayIndex:
-    """Index over fingerprints in Gray order, or over (mask, pattern) nodes.
-    Level 0 holds the leaves; each level above groups ``GROUP`` nodes and holds
-    the bits that they share and no level further up has."""
+    """Index over fingerprints in Gray order. Level 0 holds the fingerprints;
+    each level above groups ``GROUP`` nodes and holds the bits that they share
+    and no level further up has."""
 
-    def __init__(self, pattern: np.ndarray, mask: np.ndarray | None = None):
-        mask = np.full(len(pattern), np.uint64(2**64 - 1)) if mask is None else mask
-        levels = [(mask, pattern & mask)]
+    def __init__(self, pattern: np.ndarray):
+        levels = [(np.full(len(pattern), np.uint64(2**64 - 1)), pattern)]
         while len(levels[-1][0]) > GROUP:
             m, p = levels[-1]
             starts = np.arange(0, len(m), GROUP)
@@ -153,42 +153,65 @@ def fingerprints(df: DataFrame, shingle: int, id_col: str, text_col: str) -> Dat
     return map_batches(two_columns(df, id_col, text_col), work, f"doc_id {id_type(df, id_col)}, fp long")
 
 
+def turned(fp: np.ndarray, by: int) -> np.ndarray:
+    """The 64 bits turned to the left."""
+    return fp if by % 64 == 0 else (fp << np.uint64(by % 64)) | (fp >> np.uint64(64 - by % 64))
+
+
 def linked(distinct: DataFrame, distance: int) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (column fp) that connect
     what is within the distance: for a fingerprint and a block, one edge to
-    each group that the block's own links connect, not one per pair."""
+    each group that the block's own links connect, not one per pair.
+
+    Of ``distance + 1`` parts of the bits, two linked fingerprints agree in
+    one. So they are sorted once for each part, with that part turned to the
+    top: partners then share the leading bits in one of the orders, and stand
+    in one block, or in neighbouring ones when a group with the same leading
+    bits is cut.
+    """
     spark = distinct.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    steps = [turn * 64 // (distance + 1) for turn in range(distance + 1)]
+    beyond = np.uint64(64 - 64 // (distance + 1))  # bits after the leading ones
+    top_bit = np.uint64(1 << 63)  # flipped, signed order is the order of the ranks
 
     def ranks(batches):
         for batch in batches:
             fp = batch.column("fp").to_numpy().view(np.uint64)
-            # Flipping the top bit makes signed order the order of the ranks.
-            yield {"fp": batch.column("fp"), "gray": (gray_rank(fp) ^ np.uint64(1 << 63)).view(np.int64)}
-
-    ordered = (map_batches(distinct.select("fp"), ranks, "fp long, gray long")
-               .repartitionByRange(parts, "gray").sortWithinPartitions("gray"))
-    table = stored(ordered.select("fp", "gray", F.spark_partition_id().alias("block")), "gray")
+            for turn, step in enumerate(steps):
+                own = turned(fp, step)
+                yield {"turn": np.full(len(fp), turn, np.int64), "fp": own.view(np.int64),
+                       "gray": (gray_rank(own) ^ top_bit).view(np.int64)}
+
+    ordered = (map_batches(distinct.select("fp"), ranks, "turn long, fp long, gray long")
+               .repartitionByRange(parts, "turn", "gray").sortWithinPartitions("turn", "gray"))
+    table = stored(ordered.select("turn", "fp", "gray", F.expr("turn * (1L << 32) + spark_partition_id()")
+                                  .alias("block")), "gray")
     # One row per block: the bits that all its fingerprints share.
     roots = (table.groupBy("block").agg(F.expr("bit_and(fp)").alias("ones"), F.expr("bit_or(fp)").alias("some"),
-                                        F.min("gray").alias("first")).orderBy("first").collect())
-    if not roots:
-        return spark.createDataFrame([], "a long, b long")
-    ones = np.array([r.ones for r in roots], np.int64).view(np.uint64)
-    some = np.array([r.some for r in roots], np.int64).view(np.uint64)
-    numbers = np.array([r.block for r in roots])
-    top = spark.sparkContext.broadcast((ones, ~(ones ^ some), numbers))
+                                        F.min("gray").alias("first")).orderBy("block").collect())
+    ones, some, first = (np.array([r[c] for r in roots], np.int64).view(np.uint64) for c in ("ones", "some", "first"))
+    numbers = np.array([r.block for r in roots], np.int64)
+    nodes = spark.sparkContext.broadcast((numbers, ones, ~(ones ^ some), (first ^ top_bit) >> beyond))
 
     def visit(batches):
-        ones, mask, numbers = top.value
-        index = GrayIndex(ones, mask)
+        numbers, ones, mask, leading = nodes.value
         for batch in batches:
-            fp, home = batch.column("fp").to_numpy().view(np.uint64), batch.column("block").to_numpy()
-            for query, leaf in index.search(fp, distance):
-                away = numbers[leaf] > home[query]  # of two blocks one visit is enough
-                yield {"fp": fp[query][away].view(np.int64), "block": numbers[leaf][away]}
-
-    visitors = map_batches(table.select("fp", "block"), visit, "fp long, block int")
+            fp, gray, home = (batch.column(c).to_numpy() for c in ("fp", "gray", "block"))
+            fp, own = fp.view(np.uint64), (gray.view(np.uint64) ^ top_bit) >> beyond
+            at = np.searchsorted(numbers, home) + 1
+            # Later blocks of the same order that begin with the same leading bits.
+            row = np.arange(len(fp))
+            while len(row):
+                row, at = row[at < len(numbers)], at[at < len(numbers)]
+                same = (numbers[at] >> 32 == home[row] >> 32) & (leading[at] == own[row])
+                row, at = row[same], at[same]
+                near = np.bitwise_count((fp[row] ^ ones[at]) & mask[at]) <= distance
+                if near.any():
+                    yield {"fp": fp[row[near]].view(np.int64), "block": numbers[at[near]]}
+                at = at + 1
+
+    visitors = map_batches(table.select("fp", "gray", "block"), visit, "fp long, block long")
     ship(spark)
     shape = T.StructType.fromDDL("a long, b long")
     arrow = to_arrow_schema(shape)
@@ -210,7 +233,8 @@ def linked(distinct: DataFrame, distance: int) -> DataFrame:
                 pairs = np.unique(query * np.int64(len(fp)) + root[leaf])
                 a.append(guest[pairs // len(fp)])
                 b.append(fp[pairs % len(fp)])
-        return pa.table([pa.array(np.concatenate(x).view(np.int64)) for x in (a, b)], schema=arrow)
+        back = 64 - steps[own.column("block")[0].as_py() >> 32]
+        return pa.table([pa.array(turned(np.concatenate(x), back).view(np.int64)) for x in (a, b)], schema=arrow)
 
     return (table.select("fp", "gray", "block").groupBy("block")
             .cogroup(visitors.groupBy("block")).applyInArrow(search, shape))
