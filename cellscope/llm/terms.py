@@ -37,6 +37,20 @@ def unsqueeze(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
 
 
+def steps(numbers: np.ndarray, per_doc: np.ndarray) -> np.ndarray:
+    """Each document's rising numbers as differences, which are small."""
+    out = np.diff(numbers, prepend=0)
+    first = (np.cumsum(per_doc) - per_doc)[per_doc > 0]
+    out[first] = numbers[first]
+    return out
+
+
+def unsteps(differences: np.ndarray, per_doc: np.ndarray) -> np.ndarray:
+    total = np.cumsum(differences)
+    first = (np.cumsum(per_doc) - per_doc)[per_doc > 0]
+    return total - np.repeat(total[first] - differences[first], per_doc[per_doc > 0])
+
+
 class Terms(dict):
     """Local numbers of a block's terms, in order of appearance."""
 
@@ -78,30 +92,31 @@ def blocks(df: DataFrame, numberer: Callable, buckets: int, id_col: str, text_co
             terms = Terms()
             numbers = [np.asarray(numbers_of(t, terms), np.int64) for t in texts]
             kinds = len(terms)
-            per_doc, which, counts = frequencies(numbers, kinds)
-            trained = np.zeros(kinds, np.int64)
-            if train is not None:
-                used = np.repeat(train(ids, texts), per_doc)
-                trained = np.bincount(which[used], counts[used], minlength=kinds).astype(np.int64)
+            # Terms are numbered bucket by bucket.
             spelled = list(terms)
             bucket = np.fromiter((zlib.crc32(t) % buckets for t in spelled), np.int64, kinds)
             order = np.argsort(bucket, kind="stable")
             place = np.empty(kinds, np.int64)
             place[order] = np.arange(kinds)
+            per_doc, which, counts = frequencies([place[n] for n in numbers], kinds)
+            trained = np.zeros(kinds, np.int64)
+            if train is not None:
+                used = np.repeat(train(ids, texts), per_doc)
+                trained = np.bincount(which[used], counts[used], minlength=kinds).astype(np.int64)
             sizes = [len(t.encode()) for t in texts]
             number = part << 32 | seq
             none = {"doc_ids": None, "sizes": None, "measures": None, "per_doc": None, "numbers": None, "counts": None,
                     "terms": None, "train_counts": None}
             yield none | {"block": number, "bucket": None, "doc_ids": ids, "sizes": sizes,
                           "measures": None if measure is None else measure(texts).tolist(),
-                          "per_doc": squeeze(per_doc), "numbers": squeeze(place[which]),
+                          "per_doc": squeeze(per_doc), "numbers": squeeze(steps(which, per_doc)),
                           "counts": squeeze(counts)}
             edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
             for b in range(buckets):
                 chosen = order[edges[b]:edges[b + 1]]
                 if len(chosen):
                     yield none | {"block": number, "bucket": b, "terms": [spelled[i] for i in chosen],
-                                  "train_counts": trained[chosen].tolist()}
+                                  "train_counts": None if train is None else trained[edges[b]:edges[b + 1]].tolist()}
 
         def closed():
             rows = list(block_rows())
@@ -145,8 +160,9 @@ def per_document(table: DataFrame, values: DataFrame, combine: Callable, schema:
             flat = np.concatenate([np.zeros(0, np.int64), *(c.flatten().to_numpy() for c in ordered.chunks)])
         out = []
         for row in rows.to_pylist():  # one row per block
-            columns = combine(row, flat, *(unsqueeze(row[c]).astype(np.int64)
-                                           for c in ("per_doc", "numbers", "counts")))
+            per_doc, numbers, counts = (unsqueeze(row[c]).astype(np.int64)
+                                        for c in ("per_doc", "numbers", "counts"))
+            columns = combine(row, flat, per_doc, unsteps(numbers, per_doc), counts)
             out.append(pa.table([pa.array(columns[f.name], f.type) for f in arrow], schema=arrow))
         return pa.concat_tables(out) if out else arrow.empty_table()
 
