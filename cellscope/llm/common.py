@@ -79,6 +79,13 @@ def release(*tables: DataFrame) -> None:
         df.sparkSession.sparkContext._jvm.System.gc()
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that this application stored, once no result that was
+    computed from them is needed any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def two_columns(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the id and the text, under fixed names, null text as ''. Other
     columns, whatever their names, never reach an operator's work."""
