@@ -202,7 +202,7 @@ def worker_table(path: str, pattern: str) -> ChunkTable:
                 known[piece] = found
         return found
 
-    return ChunkTable(lambda chunk: b"".join(map(ids, pieces(chunk))), b"".join, limit=500_000)
+    return ChunkTable(lambda chunk: b"".join(map(ids, pieces(chunk))), b"".join, limit=250_000)
 
 
 def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",

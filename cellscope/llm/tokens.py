@@ -51,20 +51,25 @@ class ChunkTable(dict):
     The split pattern of byte-level BPE gives a single blank to the word after
     it, so a text may be cut before each blank that a non-blank follows. Where
     a blank is followed by white space or by the end of the text, the whole
-    text is encoded in one go instead. The table is emptied at ``limit``
-    entries, which bounds memory and changes no result.
+    text is encoded in one go instead. At ``limit`` entries the table becomes
+    the older generation, of which only what is asked for again comes back;
+    that bounds memory and changes no result.
     """
 
-    def __init__(self, encode: Callable, join: Callable, limit: int = 300_000):
+    def __init__(self, encode: Callable, join: Callable, limit: int = 150_000):
         super().__init__()
         self.encode, self.join, self.limit = encode, join, limit
+        self.older: dict = {}
 
     def __missing__(self, chunk: str):
         if not chunk or chunk[0].isspace():
             raise BlankRun
-        value = self.encode(" " + chunk)
+        value = self.older.get(chunk)
+        if value is None:
+            value = self.encode(" " + chunk)
         if len(chunk) <= 48:
             if len(self) >= self.limit:
+                self.older = dict(self)
                 self.clear()
             self[chunk] = value
         return value
