@@ -72,7 +72,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_suffix_array_dedup, op2_bpe, op3_url_filter, op4_packing, op5_context_tree, op6_quality, op7_simhash, op8_line_dedup, op9_token_counts, op10_exact_dedup)}
+    op1_suffix_array_dedup, op2_bpe, op3_url_filter, op4_packing, op5_context_tree, op6_quality,
+    op7_simhash, op8_line_dedup, op9_token_counts, op10_exact_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
     # Every byte position's string, in hexadecimal digits, by its hash.
