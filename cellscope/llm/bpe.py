@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from .common import id_type, map_batches, slices, two_columns
-from .tokens import ChunkTable, load_ranks, packed
+from .tokens import ChunkTable, Generations, load_ranks, packed
 
 
 class Vocabulary:
@@ -25,6 +25,7 @@ class Vocabulary:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
+        self.size = {rank: len(token) for token, rank in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
         self.none = max(self.tokens, default=0) + 1
         self.last_merge = {rank: self.merge(token, until=2) for token, rank in ranks.items()}
@@ -37,7 +38,7 @@ class Vocabulary:
         self.ordered = all(max(self.last_merge[rank]) < rank for token, rank in self.built.items()
                            if len(token) > 1)
         self.verdicts: dict[tuple[int, int], bool] = {}
-        self.heads: dict[bytes, list[int]] = {}
+        self.heads = Generations(80_000)
         self._edges: tuple[dict[int, list[int]], dict[int, list[int]]] = ({}, {})
 
     def merge(self, data: bytes, until: int = 1) -> list[int]:
@@ -73,7 +74,7 @@ class Vocabulary:
     def follows(self, pair: tuple[int, int]) -> bool:
         """Whether merging the bytes of both gives back just these two: at no
         time is the pair across their border the next to be merged."""
-        if len(self.verdicts) > 1_000_000:
+        if len(self.verdicts) > 500_000:
             self.verdicts.clear()
         first, second = pair
         fits = self.verdicts[pair] = (
@@ -107,26 +108,29 @@ class PrefixTable:
         self.append(data)
 
     def _extend(self, data: bytes, stop: int) -> None:
-        """Stores the last tokens of the prefixes up to ``stop``. The only token
-        that fits is short as a rule, so the shortest are tried first."""
+        """Stores the last tokens of the prefixes up to ``stop``. Only one token
+        fits; as a rule it is the one before with one more byte, or else short,
+        so these are tried first."""
         v, last = self.vocabulary, self.last
-        get, known, follows, longest = v.built.get, v.verdicts.get, v.follows, v.longest
+        get, known, follows, size = v.built.get, v.verdicts.get, v.follows, v.size
         for end in range(len(last) + 1, stop + 1):
-            for start in range(end - 1, max(end - longest, 0) - 1, -1):
+            start, shorter = end - 1 - size[last[-1]] if last else 0, end
+            while True:
                 token = get(data[start:end])
-                if token is None:
-                    continue
-                if start:
+                if token is not None:
+                    if not start:
+                        break
                     pair = (last[start - 1], token)
                     fits = known(pair)
                     if fits is None:
                         fits = follows(pair)
-                    if not fits:
-                        continue
-                last.append(token)
-                break
-            else:
-                raise ValueError(f"no token for byte {data[end - 1]}")
+                    if fits:
+                        break
+                shorter -= 1
+                start = shorter
+                if start < 0:
+                    raise ValueError(f"no token for byte {data[end - 1]}")
+            last.append(token)
 
     def append(self, more: bytes) -> None:
         """Exact at once: earlier prefixes keep their encodings."""
@@ -170,13 +174,11 @@ def encode_piece(vocabulary: Vocabulary, piece: bytes) -> list[int]:
     if token is not None:
         return [token]
     heads = vocabulary.heads
-    last = heads.get(piece[:8]) or heads.get(piece[:4]) or ()
+    last = heads.find(piece[:8]) or heads.find(piece[:4]) or ()
     table = PrefixTable(vocabulary, piece, last)
     for size in (4, 8):
         if len(last) < size <= len(piece):
-            if len(heads) > 100_000:
-                heads.clear()
-            heads[piece[:size]] = table.last[:size]
+            heads.keep(piece[:size], tuple(table.last[:size]))
     return table.ids()
 
 
@@ -190,19 +192,17 @@ def worker_table(path: str, pattern: str) -> ChunkTable:
     import regex
 
     vocabulary, pieces = worker_vocabulary(path), regex.compile(pattern).findall
-    known: dict[str, bytes] = {}
+    known = Generations(150_000)
 
     def ids(piece: str) -> bytes:
-        found = known.get(piece)
+        found = known.find(piece)
         if found is None:
             found = packed(encode_piece(vocabulary, piece.encode()))
             if len(piece) <= 32:
-                if len(known) > 600_000:
-                    known.clear()
-                known[piece] = found
+                known.keep(piece, found)
         return found
 
-    return ChunkTable(lambda chunk: b"".join(map(ids, pieces(chunk))), b"".join, limit=250_000)
+    return ChunkTable(lambda chunk: b"".join(map(ids, pieces(chunk))), b"".join)
 
 
 def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",

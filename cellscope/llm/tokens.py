@@ -45,21 +45,41 @@ class BlankRun(Exception):
     """A blank followed by white space or by the end: the text can't be cut there."""
 
 
-class ChunkTable(dict):
+class Generations(dict):
+    """A table of bounded size. At ``limit`` entries it becomes the older
+    generation, of which only what is asked for again comes back."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit, self.older = limit, {}
+
+    def keep(self, key, value) -> None:
+        if len(self) >= self.limit:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+
+    def find(self, key):
+        value = self.get(key)
+        if value is None:
+            value = self.older.get(key)
+            if value is not None:
+                self.keep(key, value)
+        return value
+
+
+class ChunkTable(Generations):
     """``encode`` remembered per chunk between two blanks.
 
     The split pattern of byte-level BPE gives a single blank to the word after
     it, so a text may be cut before each blank that a non-blank follows. Where
     a blank is followed by white space or by the end of the text, the whole
-    text is encoded in one go instead. At ``limit`` entries the table becomes
-    the older generation, of which only what is asked for again comes back;
-    that bounds memory and changes no result.
+    text is encoded in one go instead.
     """
 
-    def __init__(self, encode: Callable, join: Callable, limit: int = 150_000):
-        super().__init__()
-        self.encode, self.join, self.limit = encode, join, limit
-        self.older: dict = {}
+    def __init__(self, encode: Callable, join: Callable, limit: int = 100_000):
+        super().__init__(limit)
+        self.encode, self.join = encode, join
 
     def __missing__(self, chunk: str):
         if not chunk or chunk[0].isspace():
@@ -68,10 +88,7 @@ class ChunkTable(dict):
         if value is None:
             value = self.encode(" " + chunk)
         if len(chunk) <= 48:
-            if len(self) >= self.limit:
-                self.older = dict(self)
-                self.clear()
-            self[chunk] = value
+            self.keep(chunk, value)
         return value
 
     def __call__(self, text: str):
