@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from cellscope.llm import components, counts, ctw, exact, lines, queries, repeats, simhash
-from llm_cases import EDGE_ROWS, SF
+from llm_cases import EDGE_ROWS, SF, documents, frame  # noqa: F401  (fixtures)
 
 JSON = P.path("byte_bpe_50k.json")
 WORDS = rb"[^\x20\x09-\x0D]+"

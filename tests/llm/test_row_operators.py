@@ -15,7 +15,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 from cellscope.llm import bpe, packing, quality, queries, tokens, urls
-from llm_cases import EDGE_ROWS, SF
+from llm_cases import EDGE_ROWS, SF, documents, frame  # noqa: F401  (fixtures)
 
 MULTI = P.path("byte_bpe_multi_50k.tiktoken")
 JSON = P.path("byte_bpe_50k.json")
