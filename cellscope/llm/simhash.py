@@ -18,12 +18,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import id_type, map_batches, ship, slices, stored, two_columns
+from .common import KEY, id_type, map_batches, rows_with_keys, ship, slices, stored, two_columns
 from .components import components
 
 #: Children of an index node.
@@ -143,14 +143,17 @@ class Forest:
             np.minimum.at(self.parent, high, low)
 
 
-def fingerprints(df: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) of every row."""
+def fingerprints(rows: DataFrame, shingle: int, more: str) -> DataFrame:
+    """The columns ``more`` of ``rows`` (which has ``text`` beside them) and fp,
+    the 64 bits as a signed long, of every row."""
+    names = T.StructType.fromDDL(more).fieldNames()
+
     def work(batches):
         for batch in slices(batches):
             found = np.array([fingerprint(t, shingle) for t in batch.column("text").to_pylist()], np.uint64)
-            yield {"doc_id": batch.column("doc_id"), "fp": found.view(np.int64)}
+            yield {c: batch.column(c) for c in names} | {"fp": found.view(np.int64)}
 
-    return map_batches(two_columns(df, id_col, text_col), work, f"doc_id {id_type(df, id_col)}, fp long")
+    return map_batches(rows, work, f"{more}, fp long")
 
 
 def turned(fp: np.ndarray, by: int) -> np.ndarray:
@@ -240,6 +243,18 @@ def linked(distinct: DataFrame, distance: int) -> DataFrame:
             .cogroup(visitors.groupBy("block")).applyInArrow(search, shape))
 
 
+def named(prints: DataFrame, distance: int, name: Column) -> DataFrame:
+    """Every fingerprint (fp) with the least ``name`` of a row of its component
+    (column ``name``). Rows of one fingerprint are merged before any shuffle."""
+    least = prints.groupBy("fp").agg(F.min(name).alias("least"))
+    found = components(linked(least.select("fp"), distance))
+    groups = least.join(found, least.fp == found.node, "left").select(
+        "fp", "least", F.coalesce("component", "fp").alias("component"))
+    groups = stored(groups, "groups")
+    names = groups.groupBy("component").agg(F.min("least").alias("name"))
+    return groups.join(names, "component").select("fp", "name")
+
+
 def near_duplicates(df: DataFrame, shingle: int = 3, distance: int = 2, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 hex digits),
@@ -252,25 +267,31 @@ def near_duplicates(df: DataFrame, shingle: int = 3, distance: int = 2, id_col:
     component unless nothing else is in it (then null). Other columns are not
     read.
     """
-    prints = stored(fingerprints(df, shingle, id_col, text_col), "fingerprints")
-    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = components(linked(least.select("fp"), distance))
-    groups = least.join(found, least.fp == found.node, "left").select(
-        "fp", "least", F.coalesce("component", "fp").alias("component"))
-    groups = stored(groups, "groups")
-    names = groups.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = groups.join(names, "component").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-                                           "component_id")
+    prints = stored(fingerprints(two_columns(df, id_col, text_col), shingle, f"doc_id {id_type(df, id_col)}"),
+                    "fingerprints")
+    found = named(prints, distance, F.col("doc_id"))
+    return prints.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+                                           F.col("name").alias("component_id"))
 
 
 def one_of_each(df: DataFrame, shingle: int = 3, distance: int = 2, id_col: str = "doc_id",
                 text_col: str = "text") -> DataFrame:
-    """The rows of ``df``, all columns unchanged, whose id names their
-    component, so one document of each group stays (repeated rows of it stay
-    together, and a group without ids stays as it is)."""
-    gone = (near_duplicates(df, shingle, distance, id_col, text_col)
-            .where("NOT (doc_id <=> component_id)").select(F.col("doc_id").alias("gone_id")).distinct())
-    gone = stored(gone, "gone")
-    rows = df.alias("rows").join(gone, F.col(f"rows.`{id_col}`").eqNullSafe(F.col("gone_id")), "left_anti")
-    return rows.select(*(F.col(f"`{c}`") for c in df.columns))
+    """Exactly one row of ``df`` per component, all columns unchanged: the row
+    of least id (null last). Rows with the same id are ordered by hashes of
+    their text, then of all their columns; of rows equal in all of them one
+    stays. Rows are told apart by these hashes (160 bits), not by their id.
+    """
+    plain = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]  # maps have no hash
+    keys = ["k1", "k2", "k3"]
+    rows = rows_with_keys(df, id_col, text_col).withColumn(
+        "k3", F.xxhash64(F.lit("row"), *(F.col(f"row.`{c}`") for c in plain)))
+    prints = stored(fingerprints(rows.select(F.col(f"row.`{id_col}`").alias("doc_id"), "text", *keys), shingle,
+                                 f"doc_id {id_type(df, id_col)}, {KEY}, k3 long"), "fingerprints")
+    found = named(prints, distance, F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *keys))
+    # Keys of which not every row stays; most rows have none, and are not shuffled if these are few.
+    less = stored(prints.join(found, "fp").groupBy(*keys, F.expr(
+        "k1 = name.k1 AND k2 = name.k2 AND k3 = name.k3").alias("stays")).count()
+        .where("NOT stays OR count > 1"), "less")
+    whole = rows.join(less.select(*keys), keys, "left_anti")
+    copies = rows.join(less.where("stays").select(*keys), keys, "left_semi").dropDuplicates(keys)
+    return whole.unionByName(copies).select(*(F.col(f"row.`{c}`") for c in df.columns))

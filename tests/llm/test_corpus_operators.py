@@ -307,6 +307,22 @@ def test_simhash_on_odd_rows(frame):
     assert {r.doc_id for r in kept.collect()} >= {1, 3} and 2 not in {r.doc_id for r in kept.collect()}
 
 
+def test_one_row_of_each_component_stays(frame):
+    """Null ids, an id with two texts, and repeated rows, against brute force."""
+    rows = EDGE_ROWS + [(7, "no id"), (None, "a lone row"), (None, "a lone row"), (8, "one two three"),
+                        (8, "a text of its own"), (9, "a text of its own"), (2, "the second text of two")]
+    group = brute_components([brute_fingerprint(t) for _, t in rows])
+    members = defaultdict(list)
+    for (i, t), g in zip(rows, group):
+        members[g].append((i is None, i or 0, t))
+    kept = [(r.doc_id, r.text) for r in simhash.one_of_each(frame(rows)).collect()]
+    assert len(kept) == len(members)
+    assert Counter(i for i, _ in kept) == Counter(
+        None if least[0] else least[1] for least in (min(m, key=lambda x: x[:2]) for m in members.values()))
+    left = Counter(group[rows.index(r)] for r in kept)
+    assert set(left.values()) == {1} and set(left) == set(members)
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(0, 200)] + [(1000, 1000 + i) for i in range(1, 300)] + [(7, 7)]
     random.Random(1).shuffle(edges)
