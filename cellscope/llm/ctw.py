@@ -8,10 +8,10 @@ half, over all depths. After training, the mixture that the tree holds for a
 context is one number per byte: the table of code lengths that texts are scored
 with.
 
-Context symbols, nearest first: the byte before, and for the two bytes before
-that one of 32 classes (letters without case, digits, ...). So there are at most
-256 * 32 * 32 contexts of 256 bytes, whatever the corpus: that is the bound of
-the model which is broadcast. The counts behind it are of all training texts.
+The tree that ``score`` uses is in ``bytetree``: whole bytes, ``bytetree.DEPTH``
+deep, its counts in Spark tables that grow with the corpus. ``ContextTree`` is a
+tree in memory over folded symbols (the byte before, and one of 32 classes for
+the two bytes before that); no query uses it.
 """
 
 from __future__ import annotations
@@ -22,7 +22,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_type, map_batches, slices, stored, two_columns
+from .bytetree import pack
+from .bytetree import scores as bytetree_scores
+from .common import id_type, stored
 from .terms import blocks, per_document, summed
 
 CLASSES = 32
@@ -222,26 +224,6 @@ def training(ids: list, folds: int, held_fold: int) -> np.ndarray:
     return np.array([zlib.crc32(("" if i is None else str(i)).encode()) % folds != held_fold for i in ids], bool)
 
 
-def fit(docs: DataFrame, folds: int, held_fold: int) -> ContextTree:
-    """The tree of all training texts. Bytes are counted by context in each
-    task and summed by Spark; what is collected is bounded by the number of
-    contexts times 256, not by the corpus."""
-    def count(batches):
-        for batch in slices(batches, max_rows=20_000):
-            used = training(batch.column("doc_id").to_pylist(), folds, held_fold)
-            data, starts, _ = joined([lowered(t) for t, u in zip(batch.column("text").to_pylist(), used) if u])
-            if len(data):
-                cells, n = np.unique(contexts(data, starts) * 256 + data, return_counts=True)
-                yield {"cell": cells, "n": n.astype(np.int64)}
-
-    found = (map_batches(docs, count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-             .toArrow())
-    cell = found.column("cell").to_numpy().astype(np.int64)
-    order = np.argsort(cell)
-    cell, n = cell[order], found.column("n").to_numpy()[order]
-    return ContextTree(cell // 256, cell % 256, n.astype(np.float64))
-
-
 END = b""  # the end of a text, a token that no word equals
 
 
@@ -260,14 +242,16 @@ def score(df: DataFrame, folds: int = 7, held_fold: int = 2, id_col: str = "doc_
     unknown and every byte costs eight bits. Other columns are not read.
     """
     spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(fit(two_columns(df, id_col, text_col), folds, held_fold))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def numbers(text, terms):
         return [terms[w] for w in lowered(text).split()] + [terms[END]]
 
-    table = blocks(df, lambda: numbers, int(spark.conf.get("spark.sql.shuffle.partitions")), id_col, text_col,
+    table = blocks(df, lambda: numbers, buckets, id_col, text_col,
                    train=lambda ids, texts: training(ids, folds, held_fold),
-                   measure=lambda texts: shared.value.totals([lowered(t) for t in texts]), name="words")
+                   packed=lambda texts: pack([lowered(t) for t in texts]), name="words")
+    found = bytetree_scores(table.where("bucket IS NULL").select("block", "doc_ids", "sizes", "packed"),
+                            lambda ids: training(ids, folds, held_fold), buckets)
     vocabulary = (table.where("bucket IS NOT NULL")
                   .select("block", "bucket", F.posexplode(F.arrays_zip("terms", "train_counts")).alias("at", "t"))
                   .select("block", "bucket", "at", "t.terms", "t.train_counts"))
@@ -288,6 +272,7 @@ def score(df: DataFrame, folds: int = 7, held_fold: int = 2, id_col: str = "doc_
                 "score": scores, "n_bytes": sizes,
                 "bits_per_byte": [float(-s / np.log10(2) / b) if b else None for s, b in zip(scores, sizes)]}
 
-    return per_document(table, values, combine,
+    heads = table.where("bucket IS NULL").drop("packed").join(found, F.col("block") == F.col("scored")).drop("scored")
+    return per_document(heads, values, combine,
                         f"doc_id {id_type(df, id_col)}, held_out boolean, n_tokens long, n_known long, "
                         "train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double")

@@ -71,13 +71,13 @@ def frequencies(numbers: list[np.ndarray], kinds: int) -> tuple[np.ndarray, np.n
 
 def blocks(df: DataFrame, numberer: Callable, buckets: int, id_col: str, text_col: str,
            train: Callable[[list, list], np.ndarray] | None = None,
-           measure: Callable[[list], np.ndarray] | None = None, name: str = "terms") -> DataFrame:
+           packed: Callable[[list], bytes] | None = None, name: str = "terms") -> DataFrame:
     """The stored block table: block, bucket (null in the row of frequencies),
-    doc_ids, sizes, measures, per_doc, numbers, counts, terms, train_counts.
+    doc_ids, sizes, packed, per_doc, numbers, counts, terms, train_counts.
 
     ``numberer()`` makes a function (text, Terms) -> local term numbers of the
     text. ``train(ids, texts)`` says which documents of a block count in
-    ``train_counts``; ``measure(texts)`` gives a number per document.
+    ``train_counts``; ``packed(texts)`` is kept with the block.
     """
     kind = id_type(df, id_col)
 
@@ -105,10 +105,10 @@ def blocks(df: DataFrame, numberer: Callable, buckets: int, id_col: str, text_co
                 trained = np.bincount(which[used], counts[used], minlength=kinds).astype(np.int64)
             sizes = [len(t.encode()) for t in texts]
             number = part << 32 | seq
-            none = {"doc_ids": None, "sizes": None, "measures": None, "per_doc": None, "numbers": None, "counts": None,
+            none = {"doc_ids": None, "sizes": None, "packed": None, "per_doc": None, "numbers": None, "counts": None,
                     "terms": None, "train_counts": None}
             yield none | {"block": number, "bucket": None, "doc_ids": ids, "sizes": sizes,
-                          "measures": None if measure is None else measure(texts).tolist(),
+                          "packed": None if packed is None else packed(texts),
                           "per_doc": squeeze(per_doc), "numbers": squeeze(steps(which, per_doc)),
                           "counts": squeeze(counts)}
             edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -135,7 +135,7 @@ def blocks(df: DataFrame, numberer: Callable, buckets: int, id_col: str, text_co
 
     return stored(map_batches(
         two_columns(df, id_col, text_col), work,
-        f"block long, bucket int, doc_ids array<{kind}>, sizes array<long>, measures array<double>, "
+        f"block long, bucket int, doc_ids array<{kind}>, sizes array<long>, packed binary, "
         "per_doc binary, "
         "numbers binary, counts binary, terms array<binary>, train_counts array<long>"), name)
 
