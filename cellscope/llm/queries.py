@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, counts, ctw, exact, lines, packing, quality, repeats, simhash, urls
+from . import bpe, counts, ctw, exact, lines, packing, quality, repeats, simhash, urls, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -71,9 +71,13 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), k=4, scale=256).drop("residual")
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_suffix_array_dedup, op2_bpe, op3_url_filter, op4_packing, op5_context_tree, op6_quality,
-    op7_simhash, op8_line_dedup, op9_token_counts, op10_exact_dedup)}
+    op7_simhash, op8_line_dedup, op9_token_counts, op10_exact_dedup, op12_whitening)}
 
 ORACLE_SQL: dict[str, str] = {
     # Every byte position's string, in hexadecimal digits, by its hash.
