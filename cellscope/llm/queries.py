@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, counts, ctw, exact, lines, packing, quality, repeats, simhash, urls, whitening
+from . import bpe, counts, ctw, exact, lines, packing, phrases, quality, repeats, simhash, urls, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -75,9 +75,13 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"), k=4, scale=256).drop("residual")
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"), longest=4, min_count=30, share=80, top=2000)
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_suffix_array_dedup, op2_bpe, op3_url_filter, op4_packing, op5_context_tree, op6_quality,
-    op7_simhash, op8_line_dedup, op9_token_counts, op10_exact_dedup, op12_whitening)}
+    op7_simhash, op8_line_dedup, op9_token_counts, op10_exact_dedup, op12_whitening, op13_collocations)}
 
 ORACLE_SQL: dict[str, str] = {
     # Every byte position's string, in hexadecimal digits, by its hash.
@@ -109,4 +113,46 @@ FROM d LEFT JOIN kept USING (r)""",
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents
         WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+    # Every contiguous phrase of one to four words, listed and counted.
+    "op13_collocations": """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), worded AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS ws FROM pieces
+), placed AS (
+  SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM worded
+), grams AS (
+  SELECT lang, ws[i:i + m] AS g FROM placed, (SELECT unnest([0, 1, 2, 3]) AS m) WHERE i + m <= len(ws)
+), f AS (
+  SELECT lang, g, count(*) AS f FROM grams GROUP BY ALL
+), total AS (
+  SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE len(g) = 1 GROUP BY lang
+), candidates AS (
+  SELECT lang, g, f AS a FROM f WHERE f >= 30 AND len(g) > 1
+), cuts AS (
+  SELECT c.lang, c.g, c.a, k, l.f AS l, r.f AS r,
+         (CAST(2000000 AS HUGEINT) * c.a) // (CAST(l.f AS HUGEINT) + r.f) AS score
+  FROM (SELECT *, unnest(range(1, len(g))) AS k FROM candidates) c
+  JOIN f l ON l.lang = c.lang AND l.g = c.g[1:k]
+  JOIN f r ON r.lang = c.lang AND r.g = c.g[k + 1:]
+), lowest AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1
+), parts AS (
+  SELECT lang, a, g[i:i + m] AS part
+  FROM (SELECT lang, g, a, m, unnest(range(1, len(g) - m + 1)) AS i
+        FROM candidates, (SELECT unnest([1, 2]) AS m) WHERE m + 1 < len(g))
+), covered AS (
+  SELECT lang, part, max(a) AS longer FROM parts GROUP BY ALL
+), ranked AS (
+  SELECT lowest.*, array_to_string(lowest.g, ' ') AS phrase,
+         row_number() OVER (PARTITION BY lowest.lang
+                            ORDER BY score DESC, lowest.a DESC, array_to_string(lowest.g, ' ')) AS rank
+  FROM lowest LEFT JOIN covered ON covered.lang = lowest.lang AND covered.part = lowest.g
+  WHERE longer IS NULL OR CAST(100 AS HUGEINT) * longer < CAST(80 AS HUGEINT) * lowest.a
+)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM ranked JOIN total USING (lang) WHERE rank <= 2000""",
 }
