@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, counts, ctw, exact, lines, packing, phrases, quality, repeats, simhash, urls, whitening
+from . import bpe, counts, ctw, exact, jaccard, lines, packing, phrases, quality, repeats, simhash, urls, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -71,6 +71,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), size=5, percent=80)
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"), k=4, scale=256).drop("residual")
 
@@ -81,7 +85,7 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_suffix_array_dedup, op2_bpe, op3_url_filter, op4_packing, op5_context_tree, op6_quality,
-    op7_simhash, op8_line_dedup, op9_token_counts, op10_exact_dedup, op12_whitening, op13_collocations)}
+    op7_simhash, op8_line_dedup, op9_token_counts, op10_exact_dedup, op11_jaccard_join, op12_whitening, op13_collocations)}
 
 ORACLE_SQL: dict[str, str] = {
     # Every byte position's string, in hexadecimal digits, by its hash.
