@@ -5,7 +5,10 @@ then the library's sources read it back."""
 from __future__ import annotations
 
 import datetime as dt
+import io
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +24,8 @@ ONE_SECOND = dt.timedelta(seconds=1)
 # Names and bytes of the files that the file queries add.
 BAD_FILE, EMPTY_FILE = "part-99999-corrupt.snappy.parquet", "part-99998-empty.snappy.parquet"
 NO_PARQUET = b"PAR1 this is no Parquet file PAR1"
+ROWLESS_FILE, EXTRA_FILE = "part-99997-rowless.snappy.parquet", "part-99996-extra+column %.snappy.parquet"
+FOOTER_BYTES = 1 << 20
 
 
 def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,24 +99,51 @@ def csv_versioned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both
 
 
+def rowless_file(footer_bytes: int) -> bytes:
+    """A sound Parquet file without rows whose footer has this many bytes."""
+    empty = pa.table({f.name: pa.array([], pa.string()) for f in S.CDR}).replace_schema_metadata(
+        {"padding": "x" * footer_bytes})
+    out = io.BytesIO()
+    pq.write_table(empty, out)
+    return out.getvalue()
+
+
+def damaged_column_file(name: str) -> bytes:
+    """A Parquet file with the CDR columns, which are sound, and one more, of
+    which every byte is overwritten."""
+    rows = pa.table({f.name: pa.array(["1", "2"]) for f in S.CDR} | {name: pa.array(["x", "y"])})
+    out = io.BytesIO()
+    pq.write_table(rows, out, use_dictionary=False)
+    data = bytearray(out.getvalue())
+    chunk = pq.ParquetFile(io.BytesIO(data)).metadata.row_group(0).column(len(S.CDR))
+    start, size = chunk.data_page_offset, chunk.total_compressed_size
+    data[start:start + size] = b"\xff" * size
+    return bytes(data)
+
+
 def cdr_excluding_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CDR read from two folders while one corrupt file is excluded by
-    path suffix; equal to the whole enriched CDR."""
+    """CDR read from two folders while two corrupt files are excluded by path
+    suffix, one with a name that URIs escape; equal to the whole enriched CDR."""
     root = scratch_dir(spark, "exclude")
     dirs = write_cdr_dirs(spark, sf_dir, root)
     write_bytes(spark, f"{dirs[0]}/{BAD_FILE}", NO_PARQUET)
-    return read_cdr(spark, dirs, exclude=[f"records_a/{BAD_FILE}"])
+    write_bytes(spark, f"{dirs[1]}/{EXTRA_FILE}", NO_PARQUET)
+    return read_cdr(spark, dirs, exclude=[f"records_a/{BAD_FILE}", f"records_b/{EXTRA_FILE}"])
 
 
 def unreadable_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Audit of two folders of good files and one with a file that is no
-    Parquet file and one without any byte: the bad files by name, the good
-    ones' rows summed by folder."""
+    """Audit of two folders of good files, and among them one that is no
+    Parquet file, one without any byte, one damaged only in a column of its own
+    and one without rows but with a long footer: those that can't be decoded by
+    name and kind of error, the others' rows summed by folder."""
     root = scratch_dir(spark, "audit")
     dirs = write_cdr_dirs(spark, sf_dir, root)
     write_bytes(spark, f"{dirs[1]}/{BAD_FILE}", NO_PARQUET)
     write_bytes(spark, f"{dirs[1]}/{EMPTY_FILE}", b"")
+    write_bytes(spark, f"{dirs[0]}/{ROWLESS_FILE}", rowless_file(FOOTER_BYTES))
+    write_bytes(spark, f"{dirs[0]}/{EXTRA_FILE}", damaged_column_file("EXTRA"))
     folder, name = (F.element_at(F.split("path", "/"), -i) for i in (2, 1))
+    shown = F.when(F.col("readable") & (name != ROWLESS_FILE), folder).otherwise(name)
     return (audit_parquet(spark, dirs)
-            .groupBy(F.when(F.col("readable"), folder).otherwise(name).alias("NAME"), "readable")
-            .agg(F.sum("rows").alias("ROWS")).withColumnRenamed("readable", "READABLE"))
+            .groupBy(shown.alias("NAME"), F.col("readable").alias("READABLE"), F.col("error_kind").alias("ERROR_KIND"))
+            .agg(F.sum("rows").alias("ROWS")))

@@ -190,13 +190,15 @@ SELECT SUBSCRIBER_ID, INDEX_1KM, MAX_APPEARANCE_COUNT,
        CASE HW_TIME_FILTER WHEN 'HOME_HOUR' THEN 1 ELSE 2 END AS VERSION
 FROM top1""",
     "unreadable_files": """
-SELECT 'records_a' AS NAME, true AS READABLE, CAST(count(*) AS BIGINT) AS ROWS
+SELECT 'records_a' AS NAME, true AS READABLE, NULL AS ERROR_KIND, CAST(count(*) AS BIGINT) AS ROWS
 FROM raw WHERE CALL_TIME < '20240116000000'
 UNION ALL
-SELECT 'records_b', true, CAST(count(*) AS BIGINT)
+SELECT 'records_b', true, NULL, CAST(count(*) AS BIGINT)
 FROM raw WHERE CALL_TIME >= '20240116000000' OR CALL_TIME IS NULL
-UNION ALL SELECT 'part-99999-corrupt.snappy.parquet', false, NULL
-UNION ALL SELECT 'part-99998-empty.snappy.parquet', false, NULL""",
+UNION ALL SELECT 'part-99999-corrupt.snappy.parquet', false, 'BAD_FOOTER', NULL
+UNION ALL SELECT 'part-99998-empty.snappy.parquet', false, 'NO_BYTES', NULL
+UNION ALL SELECT 'part-99997-rowless.snappy.parquet', true, NULL, 0
+UNION ALL SELECT 'part-99996-extra+column %.snappy.parquet', false, 'BAD_DATA', NULL""",
 }
 
 

@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions.calendar import call_time_range, enrich
+from .files import canonical_path
 
 
 def exclude_files(df: DataFrame, suffixes: Iterable[str]) -> DataFrame:
-    """Drop the rows of files whose full path ends with any of ``suffixes``.
+    """Drop the rows of files whose full path ends with any of ``suffixes``,
+    written as the files are called (``a b+.parquet``, not ``a%20b+.parquet``).
 
     The predicate is on the hidden ``_metadata.file_path`` column, which
     Spark evaluates against the file listing, so an excluded file is pruned
@@ -22,7 +24,7 @@ def exclude_files(df: DataFrame, suffixes: Iterable[str]) -> DataFrame:
     suffixes = [s for s in suffixes if s]
     if not suffixes:
         return df
-    path = F.col("_metadata.file_path")
+    path = canonical_path()
     bad = F.lit(False)
     for s in suffixes:
         bad = bad | path.endswith(s)

@@ -3,6 +3,7 @@ import hashlib
 import os
 import shutil
 
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -10,10 +11,11 @@ from pyspark.sql import functions as F
 from cellscope import schemas as S
 from cellscope.operators import (audit_parquet, failed_files, oversized_ids, regional_records,
                                  sample_users, user_sample)
-from cellscope.plans import jobs
+from cellscope.plans import fixtures, jobs
 from cellscope.session import scratch_dir
 from cellscope.sinks import read_csv, versioned_path, write_csv, write_intermediates
-from cellscope.sources import read_adjacency, read_cdr
+from cellscope.sources import list_files, read_adjacency, read_cdr
+from cellscope.sources.files import canonical_path
 from conftest import rows
 
 AREAS = [("79.8", "6.9", "0001", "Western", "Colombo", "DS1", "c1", "1.0"),
@@ -105,6 +107,59 @@ def test_audit_finds_bad_files(spark, cdr_files):
     assert {os.path.basename(r.FAILED_FILES) for r in failed_files(audit).collect()} == bad
 
 
+def test_audit_says_what_is_wrong(spark, cdr_files):
+    root, _ = cdr_files
+    good = f"{root}/a/{_parts(f'{root}/a')[0]}"
+    corrupt_copy(good, f"{root}/a/late.parquet", late=True)
+    corrupt_copy(good, f"{root}/a/truncated.parquet", keep_fraction=0.5)
+    open(f"{root}/a/zero.parquet", "wb").close()
+    with open(f"{root}/a/extra %41+ column.parquet", "wb") as f:
+        f.write(fixtures.damaged_column_file("EXTRA"))
+    with open(f"{root}/a/rowless.parquet", "wb") as f:
+        f.write(fixtures.rowless_file(17 << 20))
+    other = pq.read_table(good).append_column("N", pa.array([1.5] * pq.read_metadata(good).num_rows))
+    pq.write_table(other, f"{root}/a/wider.parquet")
+    res = {os.path.basename(r.path): r for r in audit_parquet(spark, f"{root}/a").collect()}
+    assert {k: r.error_kind for k, r in res.items() if not r.readable} == {
+        "late.parquet": "BAD_DATA", "truncated.parquet": "BAD_FOOTER", "zero.parquet": "NO_BYTES",
+        "extra %41+ column.parquet": "BAD_DATA"}
+    last = pq.read_metadata(good).num_row_groups - 1
+    assert res["late.parquet"].error.startswith(f"row group {last}: ") and res["late.parquet"].rows is None
+    assert res["late.parquet"].expected_rows == pq.read_metadata(good).num_rows
+    assert (res["rowless.parquet"].rows, res["rowless.parquet"].error) == (0, None)
+    assert res["wider.parquet"].rows == other.num_rows
+    narrow = {os.path.basename(r.path): r.readable for r in audit_parquet(
+        spark, f"{root}/a", columns=[f.name for f in S.CDR]).collect()}
+    assert narrow["extra %41+ column.parquet"] and not narrow["late.parquet"]
+
+
+def test_audit_of_nothing_and_of_missing_folders(spark, tmp_path):
+    assert audit_parquet(spark, str(tmp_path)).collect() == []
+    with pytest.raises(Exception, match="no such folder"):
+        audit_parquet(spark, str(tmp_path / "none")).collect()
+
+
+def test_listing_names_files_as_they_are_called(spark, tmp_path):
+    (tmp_path / "k=1" / "_hidden").mkdir(parents=True)
+    names = ["a b+%20.parquet", "k=1/é.parquet", "k=1/_hidden/x.parquet", ".y.parquet", "_z.parquet", "n.csv"]
+    for name in names:
+        (tmp_path / name).write_bytes(b"12")
+    (tmp_path / "zero.parquet").write_bytes(b"")
+    found = {r.path: r.length for r in list_files(spark, f"file://{tmp_path}").collect()}
+    assert found == {f"file:{tmp_path}/a b+%20.parquet": 2, f"file:{tmp_path}/k=1/é.parquet": 2,
+                     f"file:{tmp_path}/zero.parquet": 0}
+    assert found == {r.path: r.length for r in list_files(spark, str(tmp_path)).collect()}
+
+
+def test_a_files_path_is_spelled_alike_by_listing_and_scan(spark, tmp_path):
+    df = spark.createDataFrame([("u", "20130101000000", "c")], S.CDR)
+    for name in ("a b", "c+%41", "é#?", "plain"):
+        df.coalesce(1).write.parquet(str(tmp_path / name))
+    folders = [str(tmp_path / n) for n in ("a b", "c+%41", "é#?", "plain")]
+    scanned = spark.read.parquet(*folders).select(canonical_path().alias("path"))
+    assert {r.path for r in scanned.collect()} == {r.path for r in list_files(spark, folders).collect()}
+
+
 def test_audit_job_decodes_in_as_many_tasks_as_the_scan_has(spark, tmp_path):
     # 24 files, one split each: the job's write must not narrow the decode.
     data = tmp_path / "generated"
@@ -123,6 +178,15 @@ def test_audit_job_decodes_in_as_many_tasks_as_the_scan_has(spark, tmp_path):
     assert sum(t >= 24 for t in tasks) >= 2
 
 
+@pytest.mark.parametrize("name", ["bad file +%.parquet", "bad%20file.parquet", "bäd#file.parquet"])
+def test_excluded_file_with_an_odd_name_is_never_opened(spark, cdr_files, name):
+    root, n = cdr_files
+    corrupt_copy(f"{root}/b/{_parts(f'{root}/b')[0]}", f"{root}/b/{name}", keep_fraction=0.3)
+    assert read_cdr(spark, [f"{root}/a", f"{root}/b"], exclude=[f"b/{name}"]).count() == n
+    with pytest.raises(Exception):
+        read_cdr(spark, [f"{root}/a", f"{root}/b"], exclude=[f"a/{name}"]).count()
+
+
 def test_excluded_corrupt_file_is_never_opened(spark, cdr_files):
     root, n = cdr_files
     corrupt_copy(f"{root}/b/{_parts(f'{root}/b')[0]}", f"{root}/b/part-bad.parquet", keep_fraction=0.3)
