@@ -14,9 +14,10 @@ that sets of each size would emit and the lengths of the lists they would scan.
 
 Only components are wanted, so a list is not expanded into pairs. Its members
 are verified against one pivot each, twice; a list whose members are then in one
-component is done. What is left is verified in blocks of bounded size, each
-guest (a member outside the list's largest component) against all members, by
-scanning the inverted lists of the block.
+component is done. What is left is dealt into blocks of bounded size, each
+guest (a member outside the list's largest component) against all members: first
+by parity bitmaps, whose differing bits bound the differing shingles from below,
+then, if they let a pair through, by scanning the inverted lists of the block.
 
 Before that, sets leave that cannot have a partner: those of whose shingles too
 few occur in any other set. Shingles are counted in hash ranges; a block of
@@ -45,6 +46,8 @@ BLOCK_BYTES, BLOCK_ROWS, RANGE_BYTES = 8 << 20, 20_000, 24 << 20
 SUBSET, KEY_COST = 2, 8
 #: Members and guests of a verified block.
 MEMBERS = 512
+#: Bits of a set's parity bitmap (a power of two).
+BITMAP = 2048
 #: Words of which a worker remembers the hash.
 WORDS = 1 << 18
 
@@ -196,10 +199,11 @@ def counted(table: DataFrame) -> DataFrame:
 
 
 def candidates(table: DataFrame, size: int, percent: int) -> DataFrame:
-    """(k1, k2, n, tokens, df): the distinct sets that may have a partner, their
-    shingles from rare to common (ties by hash) and the counts of these."""
+    """(k1, k2, n, tokens, df, bits): the distinct sets that may have a partner, their
+    shingles from rare to common (ties by hash), the counts of these, and the
+    bitmap."""
     ship(table.sparkSession)
-    shape = T.StructType.fromDDL("k1 long, k2 long, n long, tokens binary, df binary")
+    shape = T.StructType.fromDDL("k1 long, k2 long, n long, tokens binary, df binary, bits binary")
     arrow = to_arrow_schema(shape)
 
     def work(heads: pa.Table, answers: pa.Table) -> pa.Table:
@@ -220,17 +224,24 @@ def candidates(table: DataFrame, size: int, percent: int) -> DataFrame:
                 order = np.lexsort((own, counts))
                 digest = xxhash.xxh3_128_intdigest(own.tobytes())
                 for c, v in zip(out, (signed(digest >> 64), signed(digest & (1 << 64) - 1), len(own),
-                                      own[order].tobytes(), counts[order].tobytes())):
+                                      own[order].tobytes(), counts[order].tobytes(), bitmap(own))):
                     out[c].append(v)
         return pa.table([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
     heads = table.where("range IS NULL").select("block", "lengths", "packed")
     found = heads.groupBy("block").cogroup(counted(table).groupBy("block")).applyInArrow(work, shape)
     distinct = found.groupBy("k1", "k2").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"),
-                                             F.first("df").alias("df"))
+                                             F.first("df").alias("df"), F.first("bits").alias("bits"))
     return stored(distinct.withColumn("node", F.monotonically_increasing_id()), "sets")
 
 
+def bitmap(own: np.ndarray) -> bytes:
+    """A bit is 1 if an odd number of the set's shingles fall on it. The sets of
+    two bitmaps differ in at least as many shingles as the bitmaps in bits."""
+    counts = np.bincount((own & np.uint64(BITMAP - 1)).astype(np.int64), minlength=BITMAP)
+    return np.packbits(counts & 1).tobytes()
+
+
 def rare(n: int, df: np.ndarray, percent: int, together: int) -> slice:
     """Where in a set's order the shingles lie of which any two sets that are
     alike share ``together``; those that no other set has are left out."""
@@ -303,14 +314,15 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 def pivot_links(lists: DataFrame, sets: DataFrame, percent: int, turn: int) -> DataFrame:
     """(a, b): verified links of members to a pivot of one of their lists. Every
-    list has the member of least hash as pivot, every member asks the least of
-    its lists' pivots, so there is one verification per member."""
+    list has the member of least hash as pivot, every member asks the pivot that
+    most of its lists have, so there is one verification per member."""
     order = F.xxhash64(F.lit(turn), "node")
     pivots = lists.groupBy("key").agg(F.min(F.struct(order.alias("h"), "node", "n")).alias("pivot"))
     sized = F.expr(f"100 * least(n, pivot.n) >= {percent} * greatest(n, pivot.n)")
     asked = (lists.join(pivots, "key").where(sized & (F.col("node") != F.col("pivot.node")))
-             .groupBy("node").agg(F.min("pivot").alias("pivot"))
-             .select("node", F.col("pivot.node").alias("pivot")))
+             .groupBy("node", F.col("pivot.node").alias("pivot")).count()
+             .groupBy("node").agg(F.max(F.struct("count", "pivot")).alias("most"))
+             .select("node", F.col("most.pivot").alias("pivot")))
     pairs = (asked.join(sets.select("node", "tokens"), "node")
              .join(sets.select(F.col("node").alias("pivot"), F.col("tokens").alias("others")), "pivot"))
 
@@ -335,27 +347,57 @@ def open_lists(lists: DataFrame, found: DataFrame) -> DataFrame:
     return stored(known.join(keys.select("key"), "key"), "open-lists")
 
 
-def rest_links(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links that connect the components of each open list as far as
-    its sets are alike. Members are dealt into blocks; each block meets the
-    guests, in parts, too."""
-    ship(lists.sparkSession)
+def dealt(lists: DataFrame) -> DataFrame:
+    """(key, block, part, node, component, guest): each list in blocks of its
+    members; each block meets all guests of the list, in parts."""
     sized = lists.groupBy("key", "component").count()
     largest = (sized.groupBy("key").agg(F.max(F.struct("count", "component")).alias("top"),
                                         F.sum("count").alias("members"))
-               .select("key", F.col("top.component").alias("largest"), "members",
+               .select("key", F.col("top.component").alias("largest"),
                        F.ceil(F.col("members") / MEMBERS).cast("long").alias("blocks"),
                        F.ceil((F.col("members") - F.col("top.count")) / MEMBERS).cast("long").alias("parts")))
-    dealt = lists.join(largest, "key").withColumn("deal", F.xxhash64(F.lit(3), "node"))
-    each = F.expr("sequence(0L, parts - 1)")
-    members = (dealt.select("key", "node", "component", F.lit(False).alias("guest"),
-                            F.pmod("deal", "blocks").alias("block"), F.explode(each).alias("part")))
-    guests = (dealt.where("component <> largest")
+    rows = lists.join(largest, "key").withColumn("deal", F.xxhash64(F.lit(3), "node"))
+    members = rows.select("key", "node", "component", F.lit(False).alias("guest"),
+                          F.pmod("deal", "blocks").alias("block"), F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"))
+    guests = (rows.where("component <> largest")
               .select("key", "node", "component", F.lit(True).alias("guest"), F.pmod("deal", "parts").alias("part"),
                       F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block")))
-    groups = (members.unionByName(guests).groupBy("key", "block", "part", "node", "component")
-              .agg(F.max("guest").alias("guest"))
-              .join(sets.select("node", "tokens"), "node"))
+    return members.unionByName(guests).groupBy("key", "block", "part", "node", "component").agg(
+        F.max("guest").alias("guest"))
+
+
+def thinned(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The lists, without the members that by their bitmaps can't be alike any
+    member of another component."""
+    ship(lists.sparkSession)
+    shape = T.StructType.fromDDL("key long, node long")
+    arrow = to_arrow_schema(shape)
+
+    def work(rows: pa.Table) -> pa.Table:
+        nodes, sizes = rows.column("node").to_numpy(), rows.column("n").to_numpy()
+        component = rows.column("component").to_numpy()
+        bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint64).reshape(len(nodes), -1)
+        kept = np.zeros(len(nodes), bool)
+        for guest in np.flatnonzero(rows.column("guest").to_numpy(zero_copy_only=False)):
+            both = sizes + sizes[guest]
+            apart = np.bitwise_count(bits ^ bits[guest]).sum(axis=1, dtype=np.int64)
+            near = (200 * (both - apart) >= 2 * percent * (both + apart)) & (component != component[guest])
+            if near.any():
+                kept |= near
+                kept[guest] = True
+        return pa.table([rows.column("key").filter(pa.array(kept)), pa.array(nodes[kept])], schema=arrow)
+
+    groups = dealt(lists).join(sets.select("node", "n", "bits"), "node")
+    kept = (groups.select("key", "block", "part", "node", "component", "guest", "n", "bits")
+            .groupBy("key", "block", "part").applyInArrow(work, shape).distinct())
+    return stored(kept.join(sets.select("node", "n"), "node"), "thin-lists")
+
+
+def rest_links(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that connect the components of each open list as far as
+    its sets are alike."""
+    ship(lists.sparkSession)
+    groups = dealt(lists).join(sets.select("node", "tokens"), "node")
     shape = T.StructType.fromDDL("a long, b long")
     arrow = to_arrow_schema(shape)
 
@@ -395,8 +437,9 @@ def linked_sets(sets: DataFrame, percent: int) -> DataFrame:
     edges = pivot_links(lists, sets, percent, 1)
     still = open_lists(lists, components(edges))
     edges = edges.unionByName(pivot_links(still.select("key", "node", "n"), sets, percent, 2))
-    still = open_lists(still.select("key", "node", "n"), components(edges))
-    edges = edges.unionByName(rest_links(still, sets, percent))
+    found = components(edges)
+    still = thinned(open_lists(still.select("key", "node", "n"), found), sets, percent)
+    edges = edges.unionByName(rest_links(open_lists(still, found), sets, percent))
     release(lists)
     return components(edges)
 
@@ -419,9 +462,10 @@ def jaccard_components(df: DataFrame, size: int = 5, percent: int = 80, id_col:
     ranges = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_BYTES))
     table = blocks(df, size, ranges, id_col, text_col)
     sets = candidates(table, size, percent)
+    rows = stored(table.where("range IS NULL").select(F.inline(F.arrays_zip("doc_ids", "sizes", "k1", "k2")))
+                  .withColumnsRenamed({"doc_ids": "doc_id", "sizes": "n_shingles"}), "rows")
+    release(table)
     found = linked_sets(sets, percent)
-    rows = (table.where("range IS NULL").select(F.inline(F.arrays_zip("doc_ids", "sizes", "k1", "k2")))
-            .withColumnsRenamed({"doc_ids": "doc_id", "sizes": "n_shingles"}))
     least = rows.where("k1 IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("least"))
     node = sets.select("k1", "k2", "node").join(found, "node", "left").select(
         "k1", "k2", F.coalesce("component", "node").alias("component"))
