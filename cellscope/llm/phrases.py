@@ -33,9 +33,9 @@ from .terms import Terms
 ENDS = re.compile(rb"[.,;:!?\x0A-\x0D]+")
 MARK = b"."
 #: Entries of a container that bursts, of a trie, and words of a task's table.
-BURST, HELD, WORDS = 1 << 12, 1_200_000, 400_000
+BURST, HELD, WORDS = 1 << 12, 500_000, 200_000
 #: Bytes of text counted at once; rows of a spilled batch.
-STEP, SPILL_ROWS = 2 << 20, 50_000
+STEP, SPILL_ROWS = 1 << 20, 20_000
 #: The filter of frequent pairs: bits (as a power of two) and probes.
 FILTER_BITS, PROBES = 26, 3
 #: Rows of one language and task in the last rounds of the ranking: fan-in.
@@ -135,21 +135,23 @@ class Trie:
         """Sorted runs (phrases, counts) of whole subtrees, largest first, until
         at most ``keep`` entries are left."""
         spelled = list(self.words)
-        for word in sorted(self.roots, key=lambda w: -len(self.roots[w])):
+        order = sorted(self.roots, key=lambda w: -len(self.roots[w])) if keep else list(self.roots)
+        for word in order:
             if self.entries <= keep:
                 return
-            subtree = self.roots.pop(word)
-            run = subtree.run()
+            run = self.roots.pop(word).run()
             self.entries -= len(run)
-            phrases = []
-            for packed, _ in run:
-                parts, shift = [spelled[word]], WORD_BITS * (self.rest - 1)
-                while shift >= 0 and packed >> shift & LOW:
-                    parts.append(spelled[packed >> shift & LOW])
-                    shift -= WORD_BITS
-                phrases.append(b" ".join(parts))
+            head = spelled[word]
+            if self.rest == 1:
+                phrases = [head + b" " + spelled[k] if k else head for k, _ in run]
+            else:
+                phrases = [b" ".join([head, *(spelled[w] for w in self.unpacked(k))]) for k, _ in run]
             yield phrases, [c for _, c in run]
 
+    def unpacked(self, rest: int) -> list[int]:
+        words = [rest >> WORD_BITS * place & LOW for place in range(self.rest - 1, -1, -1)]
+        return [w for w in words if w]
+
 
 def pair_hashes(lang: str, first: np.ndarray, second: np.ndarray) -> np.ndarray:
     """Hash of a pair from the hashes of its words."""
