@@ -6,18 +6,23 @@ depth are ranges, so the tree of a whole corpus is a sorted table of grams and
 their training counts, cut into ranges of about ``RANGE_GRAMS``. It grows with
 the corpus and is never gathered.
 
-1. Each block of texts asks for its distinct grams (``requests``); grams of
-   texts that only are scored ask with count 0.
-2. Bottom-up: a range has the weights of all contexts that lie within it. Only
-   contexts that a cut runs through, at most ``DEPTH + 1`` per cut, are put
-   together on the driver (``Shared``).
-3. Top-down: with these a range mixes all depths and answers every request with
-   the gram's code length; the block sums them per text.
+1. Each step of a block's texts asks for its distinct grams (``requests``);
+   grams of texts that only are scored ask with count 0.
+2. Bottom-up: a range has the weights of all contexts that lie within it. Of the
+   contexts that a cut runs through, at most ``2 * (DEPTH + 1)`` a range, it gives
+   its share of the counts and weights; Spark adds the shares up by (context,
+   node), one depth after the other (``put_together``).
+3. Top-down: a range gets the nodes of its cut contexts back by a join, mixes
+   all depths and answers every request with the gram's code length; the block
+   sums them per text.
+
+The driver holds the cuts: one number per range.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +35,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .common import map_batches, release, ship, stored
 from .terms import squeeze, unsqueeze
 
-#: Bytes of the longest context; with the byte itself they fill 64 bits.
+#: Bytes of the longest context, the order of the model: with the byte itself
+#: they fill the 64 bits of a gram.
 DEPTH = 7
 #: Asked grams of a range, about, and the share of grams that cuts are chosen from.
-RANGE_GRAMS, SAMPLED = 1 << 20, 1 << 12
+RANGE_GRAMS, SAMPLED = 1 << 20, 1 << 16
 #: Bytes of a block's text whose grams are sorted at once.
 STEP = 4 << 20
 
@@ -58,66 +64,84 @@ def unsqueeze_grams(data: bytes) -> np.ndarray:
 
 def grams(data: np.ndarray, starts: np.ndarray, a: int, b: int) -> np.ndarray:
     """Of the bytes a to b; what lies before a text (``starts``) is byte 0."""
-    found = data[a:b].astype(np.uint64)
-    for back in range(1, DEPTH + 1):
-        before = np.zeros(b - a, np.uint64)
-        short = max(0, back - a)
-        before[short:] = data[a + short - back:max(0, b - back)][:max(0, b - a - short)]
-        for near in range(back):
-            at = starts + near - a
-            before[at[(at >= 0) & (at < b - a)]] = 0
-        found |= before << np.uint64(64 - 8 * back)
+    before = min(a, DEPTH)
+    raw = bytes(DEPTH - before) + data[a - before:b].tobytes() + bytes(8)
+    found = np.empty(b - a, np.uint64)
+    for k in range(8):  # eight bytes read at every place, the byte itself last
+        every = found[k::8]
+        every[:] = np.frombuffer(raw, "<u8", count=len(every), offset=k)
+    found = (found << np.uint64(8)) | (found >> np.uint64(56))
+    for near in range(DEPTH):  # so many bytes after a text's start only they are its own
+        at = starts + near - a
+        own = ((1 << 8 * near) - 1) << (64 - 8 * near) | 255
+        found[at[(at >= 0) & (at < b - a)]] &= np.uint64(own)
     return found
 
 
+def firsts(ordered: np.ndarray) -> np.ndarray:
+    """Where each distinct value of a sorted array begins."""
+    return np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.zeros(0, np.int64)
+
+
+def distinct(found: np.ndarray, trained: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams in order and how often training texts have them."""
+    some = np.sort(found[trained])
+    first = firsts(some)
+    n, some = np.diff(np.append(first, len(some))), some[first]
+    every = np.sort(np.concatenate([some, found[~trained]]))
+    every = every[firsts(every)]
+    counts = np.zeros(len(every), np.int64)
+    counts[np.searchsorted(every, some)] = n
+    return every, counts
+
+
 def merged(found: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct grams in order, with their counts added up."""
     g = np.concatenate([np.zeros(0, np.uint64), *found])
-    n = np.concatenate([np.zeros(0, np.int64), *counts])
     order = np.argsort(g, kind="stable")
-    g, n = g[order], n[order]
-    first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]]) if len(g) else np.zeros(0, np.int64)
+    g, n = g[order], np.concatenate([np.zeros(0, np.int64), *counts])[order]
+    first = firsts(g)
     return g[first], np.add.reduceat(n, first) if len(g) else n
 
 
-def distinct(data: np.ndarray, sizes: np.ndarray, trained: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A block's distinct grams in order and how often training texts have them."""
-    starts, used = np.cumsum(sizes) - sizes, np.repeat(trained, sizes)
-    found, counts = [], []
-    for a in range(0, len(data), STEP):
-        g = grams(data, starts, a, min(len(data), a + STEP))
-        mine = used[a:a + STEP]
-        some, n = np.unique(g[mine], return_counts=True)
-        rest = np.unique(g[~mine])
-        found += [some, rest]
-        counts += [n.astype(np.int64), np.zeros(len(rest), np.int64)]
-    return merged(found, counts)
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """Of x >= 0.5, by Stirling's series after eight steps up."""
+    steps = np.ones_like(x)
+    for step in range(8):
+        steps *= x + step
+    y = x + 8
+    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) - np.log(steps)
 
 
-TABLE = 1 << 16
+#: Counts below this have their estimates in a table.
+SMALL = 128
+
+
+def computed_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    z, o = zeros.astype(float), ones.astype(float)
+    return log_gamma(z + .5) + log_gamma(o + .5) - np.log(np.pi) - log_gamma(z + o + 1)
 
 
 @functools.cache
-def tables() -> tuple[np.ndarray, np.ndarray]:
-    from .ctw import log_gamma
-    k = np.arange(TABLE)
-    return log_gamma(k + .5), log_gamma(k + 1.)
+def kt_table() -> np.ndarray:
+    return computed_kt(*np.indices((SMALL, SMALL))).ravel()
 
 
 def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """Log of the Krichevsky-Trofimov probability of the counts (integers)."""
-    from .ctw import log_gamma
+    small = (zeros < SMALL) & (ones < SMALL)
+    out = kt_table()[np.where(small, zeros * SMALL + ones, 0)]
+    large = np.flatnonzero(~small)
+    if len(large):
+        out[large] = computed_kt(zeros[large], ones[large])
+    return out
 
-    def looked(table, k, more):
-        out, large = table[np.minimum(k, TABLE - 1)], k >= TABLE
-        if large.any():
-            out[large] = log_gamma(k[large] + more)
-        return out
 
-    half, whole = tables()
-    both = zeros + ones
-    return np.where(both > 0, looked(half, zeros, .5) + looked(half, ones, .5) - np.log(np.pi)
-                    - looked(whole, both, 1.), 0)
+def mixed(alone: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log of the weighted probability of nodes, half their own estimate's and
+    half that of the longer contexts, and the share of the own one."""
+    weighted = np.logaddexp(alone, below) - math.log(2)
+    return weighted, np.exp(alone - math.log(2) - weighted)
 
 
 def prefix(gram: int, depth: int) -> int:
@@ -125,136 +149,121 @@ def prefix(gram: int, depth: int) -> int:
     return gram >> (64 - 8 * depth)
 
 
+class Level:
+    """The (context, byte) pairs of one depth in a range, in order."""
+
+    def __init__(self, d: int, entries: np.ndarray, counts: np.ndarray, low: int, high: int):
+        self.d, self.entries, self.counts = d, entries, counts
+        self.byte = ((entries >> np.uint64(56 - 8 * d)) & np.uint64(255)).astype(np.uint8)
+        apart = entries[1:] ^ entries[:-1]
+        top = np.frexp((apart & ~(apart >> np.uint64(1))).astype(float))[1]  # exact: no carry from below
+        #: Bits that an entry shares with the one before it.
+        self.shared = np.r_[-1, 64 - top].astype(np.int8)[:len(entries)]
+        self.sums = np.r_[0, np.cumsum(counts)]
+        contexts = entries >> np.uint64(64 - 8 * d) if d else np.zeros(len(entries), np.uint64)
+        #: Entries, at the beginning and the end, of contexts that go on outside.
+        self.ends = [(prefix(low, d), 0, int(np.searchsorted(contexts, np.uint64(prefix(low, d)), "right"))),
+                     (prefix(high, d), int(np.searchsorted(contexts, np.uint64(prefix(high, d)))), len(entries))]
+        if self.ends[0][0] == self.ends[1][0]:
+            del self.ends[1]
+
+    def nodes(self, bit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The nodes after ``bit`` bits of the byte: first entry of each, and
+        how often 0 and 1 came."""
+        first = np.flatnonzero(self.shared < 8 * self.d + bit)
+        total = self.sums[np.append(first[1:], len(self.entries))] - self.sums[first]
+        ones = np.add.reduceat(self.counts * (self.byte >> (7 - bit) & 1), first)
+        return first, total - ones, ones
+
+    def outside(self, first: np.ndarray):
+        """(context, slice of the nodes) of the contexts that go on outside."""
+        for context, a, b in self.ends:
+            if a < b:
+                yield context, slice(*np.searchsorted(first, (a, b)))
+
+    def heap(self, first: np.ndarray, bit: int) -> np.ndarray:
+        """Numbers of the nodes within their contexts, as in a heap from 1."""
+        return (1 << bit) + (self.byte[first].astype(np.int64) >> (8 - bit))
+
+
 class Range:
-    """Grams from ``low`` up to ``high``, in order, with training counts.
-    ``open[d]`` are the contexts of depth d that may go on outside."""
+    """Grams from ``low`` up to ``high``, in order, with training counts."""
 
     def __init__(self, found: np.ndarray, counts: np.ndarray, low: int, high: int):
-        self.open = [sorted({prefix(low, d), prefix(high, d)}) for d in range(DEPTH + 1)]
-        self.entries, self.counts, self.up = [found], [counts], []
+        self.levels, self.up = [Level(DEPTH, found, counts, low, high)], []
         for d in range(DEPTH - 1, -1, -1):  # (context, byte) of each depth, and where the deeper ones belong
-            e = self.entries[0]
+            e = self.levels[0].entries
             byte = (e >> np.uint64(48 - 8 * d)) & np.uint64(255)
             shorter = (e >> np.uint64(64 - 8 * d) << np.uint64(64 - 8 * d) if d else np.uint64(0)) | (
                 byte << np.uint64(56 - 8 * d))
             own, up = np.unique(shorter, return_inverse=True)
-            self.entries.insert(0, own)
-            self.up.insert(0, up)
-            self.counts.insert(0, np.bincount(up, self.counts[0], len(own)).astype(np.int64))
-
-    def contexts(self, d: int, at=slice(None)) -> np.ndarray:
-        e = self.entries[d][at]
-        return e >> np.uint64(64 - 8 * d) if d else np.zeros(len(e), np.uint64)
-
-    def is_open(self, d: int, at=slice(None)) -> np.ndarray:
-        return np.isin(self.contexts(d, at), np.array(self.open[d], np.uint64))
-
-    def nodes(self, bit: int) -> list[dict]:
-        """Per depth, the nodes after ``bit`` bits of the byte: first entry,
-        node of each entry, counts, sums of what is below (without open
-        contexts), and weights of the log of the own estimate."""
+            n = np.bincount(up, self.levels[0].counts, len(own)).astype(np.int64)
+            self.levels.insert(0, Level(d, own, n, low, high))
+            self.up.insert(0, up.astype(np.int32))
+
+    def bottom_up(self, bit: int) -> list[dict]:
+        """Per depth the nodes after ``bit`` bits of the byte: first entry,
+        counts, sums of what is below (without contexts that go on outside) and
+        the share of the own estimate; ``node`` is each entry's node."""
         out: list[dict] = [{} for _ in range(DEPTH + 1)]
         for d in range(DEPTH, -1, -1):
-            e, n = self.entries[d], self.counts[d]
-            shift = 64 - 8 * d - bit
-            name = e >> np.uint64(shift) if shift < 64 else np.zeros(len(e), np.uint64)
-            new = np.r_[True, name[1:] != name[:-1]]
-            first, node = np.flatnonzero(new), np.cumsum(new) - 1
-            one = (e >> np.uint64(shift - 1) & np.uint64(1)).astype(np.int64)
-            total, ones = np.add.reduceat(n, first), np.add.reduceat(n * one, first)
-            alone = log_kt(total - ones, ones)
+            level = self.levels[d]
+            first, zeros, ones = level.nodes(bit)
+            alone = log_kt(zeros, ones)
+            found = {"first": first, "zeros": zeros, "ones": ones}
             if d == DEPTH:
-                below, weighted, share = np.zeros(len(first)), alone, np.ones(len(first))
+                found |= {"below": np.zeros(len(first)), "weighted": alone, "share": np.ones(len(first))}
             else:
+                node = np.cumsum(level.shared < 8 * d + bit, dtype=np.int32) - np.int32(1)
                 deep = out[d + 1]
-                whole = np.where(self.is_open(d + 1, deep["first"]), 0, deep["weighted"])
-                below = np.bincount(node[self.up[d][deep["first"]]], whole, len(first))
-                weighted = np.logaddexp(alone, below) - np.log(2)
-                share = np.exp(alone - np.log(2) - weighted)
-            out[d] = {"first": first, "node": node, "below": below, "weighted": weighted, "share": share,
-                      "estimate": (ones + .5) / (total + 1), "one": one}
+                whole = deep["weighted"].copy()
+                for _, some in self.levels[d + 1].outside(deep["first"]):
+                    whole[some] = 0
+                deep["parent"] = node[self.up[d][deep["first"]]]
+                below = np.bincount(deep["parent"], whole, len(first))
+                weighted, share = mixed(alone, below)
+                found |= {"below": below, "weighted": weighted, "share": share}
+            out[d] = found
         return out
 
-    def parts(self) -> dict[tuple[int, int], np.ndarray]:
-        """What the range adds to its open contexts: (depth, context) -> counts
-        of the bytes, and the sums below each node (numbered like a heap)."""
-        found = {}
-        if not len(self.entries[0]):
-            return found
-        for d in range(DEPTH + 1):
-            mine = self.contexts(d)
-            for c in self.open[d]:
-                at = np.flatnonzero(mine == np.uint64(c))
-                if len(at):
-                    found[d, c] = np.zeros((2, 256))
-                    byte = (self.entries[d][at] >> np.uint64(56 - 8 * d)) & np.uint64(255)
-                    found[d, c][0, byte.astype(np.int64)] = self.counts[d][at]
+    def parts(self) -> list[tuple[np.ndarray, ...]]:
+        """What the range adds to contexts that go on outside: arrays of depth,
+        context, heap, zeros, ones and below."""
+        rows = []
+        if len(self.levels[0].entries):
+            for bit in range(8):
+                for level, nodes in zip(self.levels, self.bottom_up(bit)):
+                    for context, some in level.outside(nodes["first"]):
+                        heap = level.heap(nodes["first"][some], bit)
+                        rows.append((np.full(len(heap), level.d), np.full(len(heap), context), heap,
+                                     nodes["zeros"][some], nodes["ones"][some], nodes["below"][some]))
+        return rows
+
+    def code_lengths(self, given: dict[tuple[int, int], np.ndarray]) -> np.ndarray:
+        """log10 probability of each gram's byte, mixed over all depths.
+        ``given``: share and estimate per heap number of the contexts that go on
+        outside."""
+        grams = self.levels[DEPTH]
+        p = np.ones(len(grams.entries))
+        if not len(p):
+            return p
         for bit in range(8):
-            for d, level in enumerate(self.nodes(bit)):
-                mine = self.contexts(d, level["first"])
-                byte = (self.entries[d][level["first"]] >> np.uint64(56 - 8 * d)) & np.uint64(255)
-                for c in self.open[d]:
-                    at = np.flatnonzero(mine == np.uint64(c))
-                    if len(at):
-                        found[d, c][1, (1 << bit) + (byte[at].astype(np.int64) >> (8 - bit))] = level["below"][at]
-        return found
-
-    def code_lengths(self, shared: Shared) -> np.ndarray:
-        """log10 probability of each gram's byte, mixed over all depths."""
-        total = np.zeros(len(self.entries[-1]))
-        if not len(total):
-            return total
-        for bit in range(8):
-            levels = self.nodes(bit)
-            for d, level in enumerate(levels):
-                mine = self.contexts(d, level["first"])
-                byte = (self.entries[d][level["first"]] >> np.uint64(56 - 8 * d)) & np.uint64(255)
-                for c in self.open[d]:
-                    at = np.flatnonzero(mine == np.uint64(c))
-                    if len(at):
-                        heap = (1 << bit) + (byte[at].astype(np.int64) >> (8 - bit))
-                        level["share"][at], level["estimate"][at] = shared.of(d, c, heap)
-                if d:
-                    above = levels[d - 1]
-                    parent = above["node"][self.up[d - 1][level["first"]]]
-                    out, left = above["out"][parent], above["left"][parent]
-                else:
-                    out, left = 0., 1.
-                level["out"] = out + left * level["share"] * level["estimate"]
-                level["left"] = left * (1 - level["share"])
-            last = levels[DEPTH]
-            p = last["out"][last["node"]]
-            total += np.log10(np.where(last["one"] == 1, p, 1 - p))
-        return total
-
-
-class Shared:
-    """The contexts that cuts run through, put together from all ranges."""
-
-    def __init__(self, parts: dict[tuple[int, int], np.ndarray]):
-        from .ctw import node_counts
-        self.rows: list[dict[int, int]] = [{} for _ in range(DEPTH + 1)]
-        self.share, self.estimate = [None] * (DEPTH + 1), [None] * (DEPTH + 1)
-        deeper, weighted = [], np.zeros((0, 256))
-        for d in range(DEPTH, -1, -1):
-            names = sorted(c for depth, c in parts if depth == d)
-            self.rows[d] = {c: k for k, c in enumerate(names)}
-            both = np.array([parts[d, c] for c in names]).reshape(-1, 2, 256)
-            zeros, ones = node_counts(both[:, 0])
-            alone = log_kt(zeros.astype(np.int64), ones.astype(np.int64))
-            self.estimate[d] = (ones + .5) / (zeros + ones + 1)
-            if d == DEPTH:
-                weighted, self.share[d] = alone, np.ones(alone.shape)
-            else:
-                below = both[:, 1]
-                np.add.at(below, [self.rows[d][c >> 8] for c in deeper], weighted)
-                weighted = np.logaddexp(alone, below) - np.log(2)
-                self.share[d] = np.exp(alone - np.log(2) - weighted)
-            deeper = names
-
-    def of(self, d: int, context: int, heap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        row = self.rows[d][context]
-        return self.share[d][row, heap], self.estimate[d][row, heap]
+            out, left = np.zeros(1), np.ones(1)
+            for level, nodes in zip(self.levels, self.bottom_up(bit)):
+                first, share = nodes["first"], nodes["share"]
+                estimate = (nodes["ones"] + .5) / (nodes["zeros"] + nodes["ones"] + 1)
+                for context, some in level.outside(first):
+                    own = given[level.d, context][:, level.heap(first[some], bit)]
+                    share[some], estimate[some] = own
+                if level.d:
+                    out, left = out[nodes["parent"]], left[nodes["parent"]]
+                elif len(first) > 1:
+                    out, left = np.zeros(len(first)), np.ones(len(first))
+                out, left = out + left * share * estimate, left * (1 - share)
+            node = np.cumsum(grams.shared < 8 * DEPTH + bit, dtype=np.int32) - np.int32(1)
+            one = out[node]
+            p *= np.where(grams.byte >> (7 - bit) & 1, one, 1 - one)
+        return np.log10(p)
 
 
 def bounds(cuts: np.ndarray, number: int) -> tuple[int, int]:
@@ -263,119 +272,153 @@ def bounds(cuts: np.ndarray, number: int) -> tuple[int, int]:
             int(cuts[number]) if number < len(cuts) else (1 << 64) - 1)
 
 
-def chosen_cuts(sample: np.ndarray, asked: float, buckets: int) -> np.ndarray:
-    ranges = max(buckets, int(np.ceil(asked / RANGE_GRAMS)))
+def chosen_cuts(sample: np.ndarray, asked: float, range_grams: int, least: int) -> np.ndarray:
+    ranges = max(least, math.ceil(asked / range_grams))
     sample = np.sort(sample)
     return np.unique(sample[np.arange(1, ranges) * len(sample) // ranges]) if len(sample) else sample
 
 
-def scores(heads: DataFrame, trained_of, buckets: int) -> DataFrame:
+def put_together(parts: DataFrame) -> DataFrame:
+    """(depth, context, heap, share, estimate) of the contexts that cuts run
+    through, from what the ranges add to them: one aggregation per depth, from
+    the deepest up, each passing its weights on to the next."""
+    def work(batches):
+        for batch in batches:
+            zeros, ones, below = (batch.column(c).to_numpy() for c in ("zeros", "ones", "below"))
+            alone = log_kt(zeros, ones)
+            deepest = batch.column("deepest").to_numpy(zero_copy_only=False)
+            weighted, share = mixed(alone, below)
+            yield {"context": batch.column("context"), "heap": batch.column("heap"),
+                   "share": np.where(deepest, 1, share), "estimate": (ones + .5) / (zeros + ones + 1),
+                   "weighted": np.where(deepest, alone, weighted)}
+
+    levels, above = [], None
+    for d in range(DEPTH, -1, -1):
+        own = parts.where(F.col("depth") == d).select("context", "heap", "zeros", "ones", "below")
+        if above is not None:
+            own = own.unionByName(above.select(F.shiftright("context", 8).alias("context"), "heap",
+                                               F.lit(0).cast("long").alias("zeros"), F.lit(0).cast("long").alias("ones"),
+                                               F.col("weighted").alias("below")))
+        added = own.groupBy("context", "heap").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "below")))
+        above = stored(map_batches(added.withColumn("deepest", F.lit(d == DEPTH)), work,
+                                   "context long, heap long, share double, estimate double, weighted double"), "nodes")
+        levels.append(above.select(F.lit(d).alias("depth"), "context", "heap", "share", "estimate"))
+    return functools.reduce(DataFrame.unionByName, levels)
+
+
+def scores(heads: DataFrame, trained_of, least_ranges: int, range_grams: int = RANGE_GRAMS,
+           sampled: int = SAMPLED) -> DataFrame:
     """(scored, measures): the log10 probabilities of the texts of each block of
     ``heads`` (block, doc_ids, sizes, packed). ``trained_of(ids)`` says which
-    texts are counted."""
+    texts are counted. Blocks without a byte have a measure of 0 per text."""
     spark = heads.sparkSession
     ship(spark)
 
     def own(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return unpack(row["packed"]), np.array(row["sizes"], np.int64), trained_of(row["doc_ids"])
 
-    def sampled(batches):
+    def steps(row: dict):
+        """Of each step of a block: its number, grams, and which are counted."""
+        data, sizes, trained = own(row)
+        starts, used = np.cumsum(sizes) - sizes, np.repeat(trained, sizes)
+        for number, a in enumerate(range(0, len(data), STEP)):
+            b = min(len(data), a + STEP)
+            yield number, grams(data, starts, a, b), used[a:b]
+
+    def blocks(batches):
         for batch in batches:
             for at in range(batch.num_rows):
-                data, sizes, _ = own(batch.slice(at, 1).to_pylist()[0])
-                starts, some = np.cumsum(sizes) - sizes, [np.zeros(0, np.uint64)]
-                for a in range(0, len(data), STEP):
-                    g = grams(data, starts, a, min(len(data), a + STEP))
-                    some.append(np.unique(g[g * np.uint64(0x9E3779B97F4A7C15) < np.uint64((1 << 64) // SAMPLED)]))
-                yield {"gram": np.unique(np.concatenate(some)).view(np.int64)}
-
-    sample = map_batches(heads, sampled, "gram long").toArrow().column("gram").to_numpy().view(np.uint64)
-    cuts = chosen_cuts(sample, float(len(sample)) * SAMPLED, buckets)
-    per_bucket = -(-(len(cuts) + 1) // buckets)
-    edges = cuts[per_bucket - 1::per_bucket]  # first grams of the buckets after the first
+                yield batch.slice(at, 1).to_pylist()[0]
+
+    def chosen(batches):
+        for row in blocks(batches):
+            for _, g, _ in steps(row):
+                some = g[g * np.uint64(0x9E3779B97F4A7C15) < np.uint64((1 << 64) // sampled)]
+                yield {"gram": np.unique(some).view(np.int64)}
+
+    sample = map_batches(heads, chosen, "gram long").toArrow().column("gram").to_numpy().view(np.uint64)
+    cuts = chosen_cuts(sample, float(len(sample)) * sampled, range_grams, least_ranges)
 
     def asked(batches):
-        for batch in batches:
-            for at in range(batch.num_rows):
-                row = batch.slice(at, 1).to_pylist()[0]
-                g, n = distinct(*own(row))
-                ends = np.r_[0, np.searchsorted(g, edges), len(g)]
-                for bucket, (a, b) in enumerate(zip(ends, ends[1:])):
-                    if b > a:
-                        yield {"block": [row["block"]], "bucket": [bucket], "grams": [squeeze_grams(g[a:b])],
-                               "counts": [squeeze(n[a:b])]}
-
-    requests = stored(map_batches(heads, asked, "block long, bucket int, grams binary, counts binary"), "requests")
-
-    def ranges(rows: pa.Table):
-        """(range, where its grams lie in the rows' grams) of one bucket."""
+        for row in blocks(batches):
+            for number, g, used in steps(row):
+                g, n = distinct(g, used)
+                ends = np.r_[0, np.searchsorted(g, cuts), len(g)]
+                which = np.flatnonzero(np.diff(ends))
+                for start in range(0, len(which), 64):
+                    some = which[start:start + 64]
+                    yield {"block": [row["block"]] * len(some), "step": [number] * len(some), "range": some,
+                           "grams": [squeeze_grams(g[ends[r]:ends[r + 1]]) for r in some],
+                           "counts": [squeeze(n[ends[r]:ends[r + 1]]) for r in some]}
+
+    requests = stored(map_batches(heads, asked, "block long, step int, range int, grams binary, counts binary"),
+                      "requests")
+
+    def gathered(rows: pa.Table) -> tuple[Range, list[np.ndarray]]:
         found = [unsqueeze_grams(g) for g in rows.column("grams").to_pylist()]
         counts = [unsqueeze(n).astype(np.int64) for n in rows.column("counts").to_pylist()]
-        bucket = rows.column("bucket")[0].as_py()
-        for number in range(bucket * per_bucket, min((bucket + 1) * per_bucket, len(cuts) + 1)):
-            low, high = bounds(cuts, number)
-            spans = [slice(*(np.searchsorted(g, np.uint64(low)),
-                             len(g) if number == len(cuts) else np.searchsorted(g, np.uint64(high)))) for g in found]
-            g, n = merged([g[s] for g, s in zip(found, spans)], [n[s] for n, s in zip(counts, spans)])
-            yield Range(g, n, low, high), spans, found
-
-    part_shape = T.StructType.fromDDL("depth int, context decimal(20,0), part binary")
+        return Range(*merged(found, counts), *bounds(cuts, rows.column("range")[0].as_py())), found
+
+    part_shape = T.StructType.fromDDL(
+        "range int, depth int, context long, heap long, zeros long, ones long, below double")
     part_arrow = to_arrow_schema(part_shape)
 
     def upward(rows: pa.Table) -> pa.Table:
-        import decimal
-        parts: dict[tuple[int, int], np.ndarray] = {}
-        for piece, _, _ in ranges(rows):
-            for name, part in piece.parts().items():
-                parts[name] = parts[name] + part if name in parts else part
-        return pa.table([pa.array([d for d, _ in parts], pa.int32()),
-                         pa.array([decimal.Decimal(c) for _, c in parts], part_arrow.field("context").type),
-                         pa.array([zstandard.ZstdCompressor(level=1).compress(p.tobytes()) for p in parts.values()],
-                                  pa.binary())], schema=part_arrow)
-
-    together: dict[tuple[int, int], np.ndarray] = {}
-    for batch in requests.groupBy("bucket").applyInArrow(upward, part_shape).toArrow().to_batches():
-        for row in batch.to_pylist():
-            name = row["depth"], int(row["context"])
-            part = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["part"])).reshape(2, 256)
-            together[name] = together[name] + part if name in together else part
-    shared = spark.sparkContext.broadcast(Shared(together))
-
-    answer_shape = T.StructType.fromDDL("block long, bucket int, lengths binary")
+        number = rows.column("range")[0].as_py()
+        found = gathered(rows)[0].parts()
+        columns = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0)] * 6
+        return pa.table([pa.array(np.full(len(columns[0]), number), pa.int32()),
+                         *(pa.array(c.astype(f.type.to_pandas_dtype()), f.type)
+                           for c, f in zip(columns, list(part_arrow)[1:]))], schema=part_arrow)
+
+    parts = stored(requests.groupBy("range").applyInArrow(upward, part_shape), "parts")
+    nodes, keys = put_together(parts), ["depth", "context", "heap"]
+    wanted = parts.select("range", *keys)
+    # Contexts of at most one byte are in many ranges; they have at most 257 * 255 nodes.
+    given = (wanted.where("depth <= 1").join(F.broadcast(nodes.where("depth <= 1")), keys)
+             .unionByName(wanted.where("depth > 1").join(nodes.where("depth > 1"), keys)))
+
+    answer_shape = T.StructType.fromDDL("block long, step int, range int, lengths binary")
     answer_arrow = to_arrow_schema(answer_shape)
 
-    def downward(rows: pa.Table) -> pa.Table:
-        lengths = None
-        for piece, spans, found in ranges(rows):
-            if lengths is None:
-                lengths = [np.zeros(len(g), np.float32) for g in found]
-            values = piece.code_lengths(shared.value)
-            for out, g, s in zip(lengths, found, spans):
-                out[s] = values[np.searchsorted(piece.entries[-1], g[s])]
-        return pa.table([rows.column("block"), rows.column("bucket"),
-                         pa.array([squeeze(x.view(np.uint32)) for x in lengths], pa.binary())], schema=answer_arrow)
-
-    answers = requests.groupBy("bucket").applyInArrow(downward, answer_shape)
+    def downward(rows: pa.Table, shared: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return answer_arrow.empty_table()
+        known: dict[tuple[int, int], np.ndarray] = {}
+        depth, context, heap, share, estimate = (shared.column(c).to_numpy()
+                                                 for c in (*keys, "share", "estimate"))
+        for name in set(zip(depth.tolist(), context.tolist())):
+            some = (depth == name[0]) & (context == name[1])
+            known[name] = np.zeros((2, 256))
+            known[name][:, heap[some]] = share[some], estimate[some]
+        piece, found = gathered(rows)
+        values = piece.code_lengths(known).astype(np.float32)
+        lengths = [squeeze(values[np.searchsorted(piece.levels[DEPTH].entries, g)].view(np.uint32)) for g in found]
+        return pa.table([rows.column("block"), rows.column("step"), rows.column("range"),
+                         pa.array(lengths, pa.binary())], schema=answer_arrow)
+
+    answers = (requests.groupBy("range").cogroup(given.groupBy("range")).applyInArrow(downward, answer_shape))
     shape = T.StructType.fromDDL("scored long, measures array<double>")
     arrow = to_arrow_schema(shape)
 
     def summed(rows: pa.Table, found: pa.Table) -> pa.Table:
         blocks, sums = [], []
         for row in rows.to_pylist():  # one row per block
-            data, sizes, trained = own(row)
-            g, _ = distinct(data, sizes, trained)
-            lengths = np.concatenate([np.zeros(0, np.float32), *(
-                unsqueeze(x).astype(np.uint32).view(np.float32)
-                for x in found.sort_by("bucket").column("lengths").to_pylist())])
-            starts, text, out = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes), np.zeros(len(sizes))
-            for a in range(0, len(data), STEP):
-                mine = grams(data, starts, a, min(len(data), a + STEP))
-                order = np.argsort(mine)  # looked up in order, the table is read once
-                out += np.bincount(text[a:a + STEP][order], lengths[np.searchsorted(g, mine[order])], len(sizes))
+            sizes = np.array(row["sizes"], np.int64)
+            text, out, at = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), np.zeros(len(sizes)), 0
+            for number, g, _ in steps(row):
+                mine = found.filter(pa.compute.equal(found.column("step"), number)).sort_by("range")
+                lengths = np.concatenate([unsqueeze(x).astype(np.uint32).view(np.float32)
+                                          for x in mine.column("lengths").to_pylist()])
+                order = np.argsort(g)
+                g = g[order]
+                which = np.cumsum(np.r_[False, g[1:] != g[:-1]])
+                out += np.bincount(text[at:at + len(g)][order], lengths[which], len(sizes))
+                at += len(g)
             blocks.append(row["block"])
             sums.append(out.tolist())
         return pa.table([pa.array(blocks, pa.int64()), pa.array(sums, pa.list_(pa.float64()))], schema=arrow)
 
     out = stored(heads.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(summed, shape), "scores")
-    release(requests)
+    release(requests, parts)
     return out

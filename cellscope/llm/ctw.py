@@ -8,10 +8,9 @@ half, over all depths. After training, the mixture that the tree holds for a
 context is one number per byte: the table of code lengths that texts are scored
 with.
 
-The tree that ``score`` uses is in ``bytetree``: whole bytes, ``bytetree.DEPTH``
-deep, its counts in Spark tables that grow with the corpus. ``ContextTree`` is a
-tree in memory over folded symbols (the byte before, and one of 32 classes for
-the two bytes before that); no query uses it.
+Contexts are whole bytes, up to ``bytetree.DEPTH`` of them (the order of the
+model); the counts of the tree lie in Spark tables that grow with the corpus, see
+``bytetree``.
 """
 
 from __future__ import annotations
@@ -22,198 +21,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytetree import pack
+from .bytetree import RANGE_GRAMS, SAMPLED, pack
 from .bytetree import scores as bytetree_scores
 from .common import id_type, stored
 from .terms import blocks, per_document, summed
 
-CLASSES = 32
-ROWS = 256 * CLASSES * CLASSES
-
-
-def byte_classes() -> np.ndarray:
-    """32 classes of bytes: other, blank, newline, digit, punctuation, first
-    byte of a long character, and the 26 letters."""
-    table = np.zeros(256, np.int64)
-    for byte in range(256):
-        char = chr(byte)
-        if byte in (32, 9):
-            table[byte] = 1
-        elif byte in (10, 11, 12, 13):
-            table[byte] = 2
-        elif char in "0123456789":
-            table[byte] = 3
-        elif 33 <= byte < 127 and not char.isalpha():
-            table[byte] = 4
-        elif byte >= 192:
-            table[byte] = 5
-        elif byte < 128 and char.isalpha():
-            table[byte] = 6 + ord(char.lower()) - ord("a")
-    return table
-
-
-def contexts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The context number of each byte: ((byte before) * 32 + class) * 32 +
-    class. ``starts`` are the first bytes of texts; what lies before a text is
-    byte 0."""
-    classes = byte_classes().astype(np.int32)
-    n = len(data)
-    before = np.zeros((3, n), np.uint8)
-    for back in (1, 2, 3):
-        before[back - 1, back:] = data[:-back] if n > back else data[:0]
-        for near in range(back):  # the bytes less than ``back`` into a text
-            at = starts + near
-            before[back - 1, at[at < n]] = 0
-    return (before[0].astype(np.int32) * CLASSES + classes[before[1]]) * CLASSES + classes[before[2]]
-
-
-def joined(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All bytes, and the first and end of each text that has any."""
-    sizes = np.array([len(r) for r in raws], np.int64)
-    ends = np.cumsum(sizes)
-    return np.frombuffer(b"".join(raws), np.uint8), ends - sizes, ends
-
-
-def log_gamma(x: np.ndarray) -> np.ndarray:
-    """Of x >= 0.5, by Stirling's series after eight steps up."""
-    steps = np.ones_like(x)
-    for step in range(8):
-        steps *= x + step
-    y = x + 8
-    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) - np.log(steps)
-
-
-def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    """Log of the Krichevsky-Trofimov probability of the counts."""
-    out = np.zeros(zeros.shape)
-    some = zeros + ones > 0
-    z, o = zeros[some], ones[some]
-    out[some] = log_gamma(z + 0.5) + log_gamma(o + 0.5) - np.log(np.pi) - log_gamma(z + o + 1)
-    return out
-
-
-def node_counts(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per context (rows of 256 byte counts): how often 0 and 1 came at each of
-    the 255 nodes, numbered like a heap from 1."""
-    zeros, ones = np.zeros(counts.shape), np.zeros(counts.shape)
-    for level in range(8):
-        halves = counts.reshape(len(counts), 1 << level, 2, -1).sum(axis=3)
-        zeros[:, 1 << level:2 << level], ones[:, 1 << level:2 << level] = halves[:, :, 0], halves[:, :, 1]
-    return zeros, ones
-
-
-def group_sums(values: np.ndarray, groups: np.ndarray) -> np.ndarray:
-    """Rows summed by ``groups`` (sorted numbers from 0, none missing)."""
-    return np.add.reduceat(values, np.flatnonzero(np.r_[True, np.diff(groups) != 0]), axis=0)
-
-
-class Level:
-    """Contexts of one depth: what each node estimates for a 1, the log of its
-    weighted probability, and the share that its own estimate has in it."""
-
-    def __init__(self, counts: np.ndarray, below: np.ndarray | None):
-        zeros, ones = node_counts(counts)
-        alone = log_kt(zeros, ones)
-        self.one = (ones + 0.5) / (zeros + ones + 1)
-        if below is None:
-            self.weighted, self.share = alone, np.ones(alone.shape)
-        else:
-            self.weighted = np.logaddexp(alone, below) - np.log(2)
-            self.share = np.exp(alone - np.log(2) - self.weighted)
-
-
-class Subtree:
-    """All contexts after one byte: depths 3 (leaves), 2 and 1."""
-
-    def __init__(self, rows: np.ndarray, symbols: np.ndarray, counts: np.ndarray):
-        leaves, place = np.unique(rows, return_inverse=True)
-        table = np.zeros((len(leaves), 256))
-        np.add.at(table, (place, symbols), counts)
-        middle, self.up = np.unique(leaves // CLASSES, return_inverse=True)
-        self.paths = [leaves, middle, middle[:1] // CLASSES]
-        above = group_sums(table, self.up)
-        self.counts = above.sum(axis=0, keepdims=True)
-        leaf = Level(table, None)
-        half = Level(above, group_sums(leaf.weighted, self.up))
-        top = Level(self.counts, half.weighted.sum(axis=0, keepdims=True))
-        self.levels = [leaf, half, top]
-
-    def mixed(self, one: np.ndarray, left: np.ndarray) -> list[np.ndarray]:
-        """log10 byte probabilities per depth (3, 2, 1), given what the root
-        mixes in and what weight it leaves. A context that was not seen gives
-        even odds to the weight left for it."""
-        out = []
-        for level, up in zip(self.levels[::-1], (np.zeros(1, np.int64), np.zeros(len(self.paths[1]), np.int64),
-                                                 self.up)):
-            one, left = one[up] + left[up] * level.share * level.one, left[up] * (1 - level.share)
-            out.append(byte_logs(one + left / 2))
-        return out[::-1]
-
-
-def byte_logs(one: np.ndarray) -> np.ndarray:
-    """log10 probability of each byte from its eight decisions."""
-    total, byte = np.zeros((len(one), 256), np.float32), np.arange(256)
-    for level in range(8):
-        node, bit = (1 << level) + (byte >> (8 - level)), (byte >> (7 - level)) & 1
-        total += np.log10(np.where(bit == 1, one[:, node], 1 - one[:, node]))
-    return total
-
-
-class ContextTree:
-    """The mixed code lengths of every byte in every context: ``table`` has a
-    row for each context that was seen, at any depth; ``index`` gives each
-    possible context the row of its longest seen part."""
-
-    def __init__(self, rows: np.ndarray, symbols: np.ndarray, counts: np.ndarray):
-        """Counts of (context, byte), sorted by context. One subtree is in
-        memory at a time, so they are built twice: for the root, which needs
-        the weights of all, and then for the code lengths."""
-        first = rows // CLASSES**2
-        edges = np.flatnonzero(np.r_[True, np.diff(first) != 0, True]) if len(rows) else np.zeros(1, np.int64)
-        parts = [slice(a, b) for a, b in zip(edges, edges[1:])]
-        root_counts, below = np.zeros((1, 256)), np.zeros((1, 256))
-        for part in parts:
-            tree = Subtree(rows[part], symbols[part], counts[part])
-            root_counts += tree.counts
-            below += tree.levels[2].weighted
-        root = Level(root_counts, below)
-        one, left = root.share * root.one, 1 - root.share
-        tables, used = [byte_logs(one + left / 2)], 1
-        self.index = np.zeros(ROWS, np.int32)
-        for part in parts:
-            tree = Subtree(rows[part], symbols[part], counts[part])
-            bits = tree.mixed(one, left)
-            for depth in (2, 1, 0):
-                span = CLASSES**depth
-                for at, path in enumerate(tree.paths[depth]):
-                    self.index[path * span:(path + 1) * span] = used + at
-                used += len(bits[depth])
-                tables.append(bits[depth])
-        self.table = np.concatenate(tables)
-
-    def totals(self, raws: list[bytes]) -> np.ndarray:
-        """log10 probability of each text, about a megabyte at a time; only
-        the bytes before it matter to a part of a long text."""
-        out, held, size, step = np.zeros(len(raws)), [], 0, 1 << 20
-        for number, raw in enumerate(raws):
-            for start in range(0, len(raw), step):
-                held.append((number, raw[max(0, start - 3):start + step], min(3, start)))
-                size += step if len(raw) > step else len(raw)
-                if size >= step:
-                    self._add(out, held)
-                    held, size = [], 0
-        self._add(out, held)
-        return out
-
-    def _add(self, out: np.ndarray, held: list[tuple[int, bytes, int]]) -> None:
-        if not held:
-            return
-        data, starts, ends = joined([raw for _, raw, _ in held])
-        values = self.table[self.index[contexts(data, starts)], data]
-        sums = np.concatenate([np.zeros(1), np.cumsum(values, dtype=np.float64)])
-        skip = np.array([s for _, _, s in held])
-        np.add.at(out, np.array([n for n, _, _ in held]), sums[ends] - sums[starts + skip])
-
 
 def lowered(text: str) -> bytes:
     return text.encode().lower()
@@ -228,7 +40,7 @@ END = b""  # the end of a text, a token that no word equals
 
 
 def score(df: DataFrame, folds: int = 7, held_fold: int = 2, id_col: str = "doc_id",
-          text_col: str = "text") -> DataFrame:
+          text_col: str = "text", range_grams: int = RANGE_GRAMS, sampled: int = SAMPLED) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known,
     train_tokens, base_score, score, n_bytes, bits_per_byte.
 
@@ -239,7 +51,9 @@ def score(df: DataFrame, folds: int = 7, held_fold: int = 2, id_col: str = "doc_
     remainder than ``held_fold``. Null and empty texts: one token (the end),
     score 0, no bits per byte. A null id counts as the empty text. Repeated rows
     train and score each for itself. Without training texts every token is
-    unknown and every byte costs eight bits. Other columns are not read.
+    unknown and every byte costs eight bits. An empty table gives no rows; texts
+    without a byte make no tree. Other columns are not read. ``range_grams`` and
+    ``sampled`` say into what pieces the work is cut, not what comes out.
     """
     spark = df.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -251,7 +65,7 @@ def score(df: DataFrame, folds: int = 7, held_fold: int = 2, id_col: str = "doc_
                    train=lambda ids, texts: training(ids, folds, held_fold),
                    packed=lambda texts: pack([lowered(t) for t in texts]), name="words")
     found = bytetree_scores(table.where("bucket IS NULL").select("block", "doc_ids", "sizes", "packed"),
-                            lambda ids: training(ids, folds, held_fold), buckets)
+                            lambda ids: training(ids, folds, held_fold), buckets, range_grams, sampled)
     vocabulary = (table.where("bucket IS NOT NULL")
                   .select("block", "bucket", F.posexplode(F.arrays_zip("terms", "train_counts")).alias("at", "t"))
                   .select("block", "bucket", "at", "t.terms", "t.train_counts"))

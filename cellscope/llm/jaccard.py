@@ -12,12 +12,14 @@ share many shingles, so they share some among the rarest of each:
 The size at which sets become heavy is chosen by cost, from the number of keys
 that sets of each size would emit and the lengths of the lists they would scan.
 
-Only components are wanted, so a list is not expanded into pairs. Its members
-are verified against one pivot each, twice; a list whose members are then in one
-component is done. What is left is dealt into blocks of bounded size, each
-guest (a member outside the list's largest component) against all members: first
-by parity bitmaps, whose differing bits bound the differing shingles from below,
-then, if they let a pair through, by scanning the inverted lists of the block.
+Only components are wanted, so lists are not expanded into pairs. Lists with the
+same pivot, the member of least hash, become one. Members are verified against a
+pivot; a list whose members are then in one component is done. The others are
+dealt into blocks of bounded size, each guest (a member outside the list's
+largest component) against all members. Parity bitmaps, whose differing bits
+bound the differing shingles from below, say which pairs may be alike; a spanning
+forest of these is verified. Where a pair of it fails, the sets concerned are
+verified in full, by scanning the inverted lists of their block.
 
 Before that, sets leave that cannot have a partner: those of whose shingles too
 few occur in any other set. Shingles are counted in hash ranges; a block of
@@ -46,7 +48,8 @@ BLOCK_BYTES, BLOCK_ROWS, RANGE_BYTES = 8 << 20, 20_000, 24 << 20
 SUBSET, KEY_COST = 2, 8
 #: Members and guests of a verified block.
 MEMBERS = 512
-#: Bits of a set's parity bitmap (a power of two).
+#: Bits of the parity bitmap of a set of up to half as many shingles; larger
+#: sets have twice, four times, ... as many.
 BITMAP = 2048
 #: Words of which a worker remembers the hash.
 WORDS = 1 << 18
@@ -217,10 +220,14 @@ def candidates(table: DataFrame, size: int, percent: int) -> DataFrame:
             ends = np.cumsum(head["lengths"]).tolist()
             sets = [shingles(data[e - n:e], size, hashes) for n, e in zip(head["lengths"], ends)]
             every = np.unique(np.concatenate([np.zeros(0, np.uint64), *map(short, sets)]))
+            shared = np.append(every[df > 1], ~np.uint64(0))  # few against all, so looked up in cache
+            times = np.append(df[df > 1], np.uint8(1))
             for own in sets:
-                counts = df[np.searchsorted(every, short(own))]
-                if (counts > 1).sum() < least_overlap(len(own), percent):
+                at = np.searchsorted(shared, short(own))
+                found = shared[at] == short(own)
+                if found.sum() < least_overlap(len(own), percent):
                     continue
+                counts = np.where(found, times[at], np.uint8(1))
                 order = np.lexsort((own, counts))
                 digest = xxhash.xxh3_128_intdigest(own.tobytes())
                 for c, v in zip(out, (signed(digest >> 64), signed(digest & (1 << 64) - 1), len(own),
@@ -238,8 +245,36 @@ def candidates(table: DataFrame, size: int, percent: int) -> DataFrame:
 def bitmap(own: np.ndarray) -> bytes:
     """A bit is 1 if an odd number of the set's shingles fall on it. The sets of
     two bitmaps differ in at least as many shingles as the bitmaps in bits."""
-    counts = np.bincount((own & np.uint64(BITMAP - 1)).astype(np.int64), minlength=BITMAP)
-    return np.packbits(counts & 1).tobytes()
+    size = max(BITMAP, 1 << (2 * len(own) - 1).bit_length())
+    counts = np.bincount((own & np.uint64(size - 1)).astype(np.int64), minlength=size)
+    return np.packbits(counts & 1, bitorder="little").tobytes()
+
+
+def folded(bits: bytes, size: int) -> np.ndarray:
+    """The bitmap of ``size`` bytes of the same set."""
+    return np.bitwise_xor.reduce(np.frombuffer(bits, np.uint64).reshape(-1, size // 8), axis=0)
+
+
+class Bitmaps:
+    """Bitmaps of several sizes, compared at the smaller size of a pair."""
+
+    def __init__(self, bits: list[bytes]):
+        own = np.array([len(b) for b in bits])
+        self.own, self.tables = own, {}
+        for size in np.unique(own).tolist():
+            at = np.flatnonzero(own >= size)
+            self.tables[size] = at, np.stack([folded(bits[i], size) for i in at])
+
+    def apart(self, one: int) -> np.ndarray:
+        """In how many bits each bitmap differs from this one."""
+        out = np.zeros(len(self.own), np.int64)
+        for size, (at, table) in self.tables.items():
+            if size > self.own[one]:
+                break
+            differing = np.bitwise_count(table ^ table[np.searchsorted(at, one)]).sum(axis=1, dtype=np.int64)
+            chosen = self.own[at] == size if size < self.own[one] else slice(None)
+            out[at[chosen]] = differing[chosen]
+        return out
 
 
 def rare(n: int, df: np.ndarray, percent: int, together: int) -> slice:
@@ -312,39 +347,44 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def pivot_links(lists: DataFrame, sets: DataFrame, percent: int, turn: int) -> DataFrame:
-    """(a, b): verified links of members to a pivot of one of their lists. Every
-    list has the member of least hash as pivot, every member asks the pivot that
-    most of its lists have, so there is one verification per member."""
-    order = F.xxhash64(F.lit(turn), "node")
-    pivots = lists.groupBy("key").agg(F.min(F.struct(order.alias("h"), "node", "n")).alias("pivot"))
-    sized = F.expr(f"100 * least(n, pivot.n) >= {percent} * greatest(n, pivot.n)")
-    asked = (lists.join(pivots, "key").where(sized & (F.col("node") != F.col("pivot.node")))
-             .groupBy("node", F.col("pivot.node").alias("pivot")).count()
-             .groupBy("node").agg(F.max(F.struct("count", "pivot")).alias("most"))
-             .select("node", F.col("most.pivot").alias("pivot")))
-    pairs = (asked.join(sets.select("node", "tokens"), "node")
-             .join(sets.select(F.col("node").alias("pivot"), F.col("tokens").alias("others")), "pivot"))
+def by_pivot(lists: DataFrame) -> DataFrame:
+    """The lists, those with the same pivot (member of least hash) as one, whose
+    key it is. All members are still together with all that they were with."""
+    pivots = lists.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(1), "node").alias("h"), "node")).alias("pivot"))
+    return stored(lists.join(pivots, "key").select(F.col("pivot.node").alias("key"), "node", "n").distinct(), "lists")
+
+
+def pivot_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """(a, b): each member with one pivot, that of its largest list."""
+    sizes = lists.groupBy("key").agg(F.count("*").alias("members"),
+                                     F.max(F.when(F.col("key") == F.col("node"), F.col("n"))).alias("m"))
+    sized = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)")
+    return (lists.join(sizes, "key").where(sized & (F.col("node") != F.col("key")))
+            .groupBy("node").agg(F.max(F.struct("members", "key")).alias("largest"))
+            .select(F.col("node").alias("a"), F.col("largest.key").alias("b")))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that are alike."""
+    both = (pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a")
+            .join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b"))
 
     def work(batches):
         for batch in batches:
             good = [alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(
-                batch.column("tokens").to_pylist(), batch.column("others").to_pylist())]
+                batch.column("x").to_pylist(), batch.column("y").to_pylist())]
             mask = pa.array(good, pa.bool_())
-            yield {"a": batch.column("node").filter(mask), "b": batch.column("pivot").filter(mask)}
+            yield {"a": batch.column("a").filter(mask), "b": batch.column("b").filter(mask)}
 
-    return stored(map_batches(pairs.select("node", "pivot", "tokens", "others"), work, "a long, b long"), "links")
+    return stored(map_batches(both.select("a", "b", "x", "y"), work, "a long, b long"), "links")
 
 
 def open_lists(lists: DataFrame, found: DataFrame) -> DataFrame:
-    """(key, node, n, component) of the lists with more than one component; of
-    lists with the same members one."""
-    known = lists.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    state = known.groupBy("key").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"),
-        F.expr("bit_xor(xxhash64(node))").alias("x"), F.sum(F.xxhash64(F.lit(1), "node").cast("decimal(38,0)")).alias("s"))
-    keys = state.where("low <> high").groupBy("members", "x", "s").agg(F.min("key").alias("key"))
-    return stored(known.join(keys.select("key"), "key"), "open-lists")
+    """(key, node, n, component) of the lists with more than one component."""
+    known = (lists.select("key", "node", "n").join(found, "node", "left")
+             .withColumn("component", F.coalesce("component", "node")))
+    state = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    return stored(known.join(state.where("low <> high").select("key"), "key"), "open-lists")
 
 
 def dealt(lists: DataFrame) -> DataFrame:
@@ -366,31 +406,36 @@ def dealt(lists: DataFrame) -> DataFrame:
         F.max("guest").alias("guest"))
 
 
-def thinned(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The lists, without the members that by their bitmaps can't be alike any
-    member of another component."""
+def maybe_alike(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(key, a, b): members of a list that may be alike by their bitmaps, as a
+    spanning forest over the list's components: whatever pairs of its blocks may
+    be alike, these connect the same components."""
     ship(lists.sparkSession)
-    shape = T.StructType.fromDDL("key long, node long")
+    shape = T.StructType.fromDDL("key long, a long, b long")
     arrow = to_arrow_schema(shape)
 
     def work(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("node")
         nodes, sizes = rows.column("node").to_numpy(), rows.column("n").to_numpy()
-        component = rows.column("component").to_numpy()
-        bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint64).reshape(len(nodes), -1)
-        kept = np.zeros(len(nodes), bool)
-        for guest in np.flatnonzero(rows.column("guest").to_numpy(zero_copy_only=False)):
-            both = sizes + sizes[guest]
-            apart = np.bitwise_count(bits ^ bits[guest]).sum(axis=1, dtype=np.int64)
-            near = (200 * (both - apart) >= 2 * percent * (both + apart)) & (component != component[guest])
-            if near.any():
-                kept |= near
-                kept[guest] = True
-        return pa.table([rows.column("key").filter(pa.array(kept)), pa.array(nodes[kept])], schema=arrow)
+        _, component = np.unique(rows.column("component").to_numpy(), return_inverse=True)
+        bitmaps = Bitmaps(rows.column("bits").to_pylist())
+        forest = Forest(component.max() + 1)
+        a, b = [], []
+        for guest in np.flatnonzero(rows.column("guest").to_numpy(zero_copy_only=False)).tolist():
+            both, apart = sizes + sizes[guest], bitmaps.apart(guest)
+            near = np.flatnonzero(100 * (both - apart) >= percent * (both + apart))
+            roots = forest.roots(component[near])
+            others, first = np.unique(roots, return_index=True)
+            for other in first[others != forest.roots(component[[guest]])[0]].tolist():
+                forest.join(component[[guest]], component[near[[other]]])
+                a.append(nodes[guest])
+                b.append(nodes[near[other]])
+        return pa.table([pa.array(np.full(len(a), rows.column("key")[0].as_py()), pa.int64()),
+                         pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=arrow)
 
     groups = dealt(lists).join(sets.select("node", "n", "bits"), "node")
-    kept = (groups.select("key", "block", "part", "node", "component", "guest", "n", "bits")
-            .groupBy("key", "block", "part").applyInArrow(work, shape).distinct())
-    return stored(kept.join(sets.select("node", "n"), "node"), "thin-lists")
+    return stored(groups.select("key", "block", "part", "node", "component", "guest", "n", "bits")
+                  .groupBy("key", "block", "part").applyInArrow(work, shape), "maybe-alike")
 
 
 def rest_links(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -433,14 +478,18 @@ def rest_links(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def linked_sets(sets: DataFrame, percent: int) -> DataFrame:
     """(node, component) of the sets that are linked to another one, but for
     the set that names a component."""
-    lists = listed(sets, percent, chosen_boundary(sets, percent))
-    edges = pivot_links(lists, sets, percent, 1)
+    every = listed(sets, percent, chosen_boundary(sets, percent))
+    lists = by_pivot(every)
+    edges = verified(pivot_pairs(lists, percent), sets, percent)
     still = open_lists(lists, components(edges))
-    edges = edges.unionByName(pivot_links(still.select("key", "node", "n"), sets, percent, 2))
+    pairs = maybe_alike(still, sets, percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    edges = edges.unionByName(verified(pairs.distinct(), sets, percent))
+    # Lists in which a pair failed: others may connect the same components.
     found = components(edges)
-    still = thinned(open_lists(still.select("key", "node", "n"), found), sets, percent)
-    edges = edges.unionByName(rest_links(open_lists(still, found), sets, percent))
-    release(lists)
+    still = open_lists(still, found)
+    failed = maybe_alike(still, sets, percent).select("key").distinct()
+    edges = edges.unionByName(rest_links(still.join(failed, "key"), sets, percent))
+    release(every, lists)
     return components(edges)
 
 

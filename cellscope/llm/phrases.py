@@ -49,8 +49,8 @@ class Container:
     """Phrases under a common prefix: what follows it (``rest`` words, packed
     into one number, 0 where there is none) -> count."""
 
-    def __init__(self, rest: int):
-        self.rest, self.counts, self.children = rest, {}, None
+    def __init__(self, rest: int, burst: int):
+        self.rest, self.burst, self.counts, self.children = rest, burst, {}, None
 
     def add(self, keys: list[int], counts: list[int]) -> int:
         """Counts sorted keys; returns the number of new entries."""
@@ -61,7 +61,7 @@ class Container:
         for k, c in zip(keys, counts):
             own[k] = get(k, 0) + c
         new = len(own) - before
-        if len(own) > BURST and self.rest > 1:
+        if len(own) > self.burst and self.rest > 1:
             self.children, self.counts = {}, {}
             ordered = sorted(own)
             self.passed_down(ordered, [own[k] for k in ordered])
@@ -76,7 +76,7 @@ class Container:
                 end += 1
             child = self.children.get(word)
             if child is None:
-                child = self.children[word] = Container(self.rest - 1)
+                child = self.children[word] = Container(self.rest - 1, self.burst)
             new += child.add([k & inside for k in keys[at:end]], counts[at:end])
             at = end
         return new
@@ -96,8 +96,8 @@ class Container:
 class Trie:
     """The phrases of one language in one task."""
 
-    def __init__(self, rest: int):
-        self.rest, self.roots, self.entries, self.total = rest, {}, 0, 0
+    def __init__(self, rest: int, burst: int):
+        self.rest, self.burst, self.roots, self.entries, self.total = rest, burst, {}, 0, 0
         self.forget()
 
     def forget(self) -> None:
@@ -128,7 +128,7 @@ class Trie:
         for word, a, b in zip(first[edges[:-1]].tolist(), edges[:-1].tolist(), edges[1:].tolist()):
             subtree = self.roots.get(word)
             if subtree is None:
-                subtree = self.roots[word] = Container(self.rest)
+                subtree = self.roots[word] = Container(self.rest, self.burst)
             self.entries += subtree.add(rest[a:b], counts[a:b])
 
     def spilled(self, keep: int):
@@ -162,28 +162,30 @@ def pair_hashes(lang: str, first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def probes(hashes: np.ndarray) -> list[np.ndarray]:
-    """The filter's bits of each hash."""
+def probes(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
+    """The bits of each hash in a filter of ``bits`` (a power of two)."""
     step = (hashes >> np.uint64(33)) | np.uint64(1)
-    return [(hashes + np.uint64(i) * step) & np.uint64((1 << FILTER_BITS) - 1) for i in range(PROBES)]
+    return [(hashes + np.uint64(i) * step) & np.uint64(bits - 1) for i in range(PROBES)]
 
 
 def pair_filter(pairs: DataFrame) -> np.ndarray:
     """The filter (bits in 64-bit words) of the phrases of two words in
     ``pairs`` (lang, phrase)."""
+    size = 1 << FILTER_BITS
+
     def work(batches):
         for batch in batches:
             bits = [np.zeros(0, np.uint64)]
             for lang, phrase in zip(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist()):
                 a, b = (np.array([xxhash.xxh64_intdigest(w)], np.uint64) for w in phrase.encode().split(b" "))
-                bits += probes(pair_hashes(lang, a, b))
+                bits += probes(pair_hashes(lang, a, b), size)
             bits = np.unique(np.concatenate(bits))
             yield {"word": (bits >> np.uint64(6)).astype(np.int64),
                    "bits": (np.uint64(1) << (bits & np.uint64(63))).view(np.int64)}
 
     words = map_batches(pairs.select("lang", "phrase"), work, "word long, bits long").groupBy("word").agg(
-        F.expr("bit_or(bits)").alias("bits")).toArrow()  # at most 2**FILTER_BITS / 64 rows
-    out = np.zeros((1 << FILTER_BITS) // 64, np.uint64)
+        F.expr("bit_or(bits)").alias("bits")).toArrow()  # at most size / 64 rows
+    out = np.zeros(size // 64, np.uint64)
     out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
     return out
 
@@ -209,7 +211,7 @@ def long_phrases(trie: Trie, a: np.ndarray, lang: str, frequent: np.ndarray, lon
     first, second = pairs >> WORD_BITS, pairs & LOW
     hashes = trie.word_hashes()
     good = (first > 0) & (second > 0)
-    for bit in probes(pair_hashes(lang, hashes[first], hashes[second])):
+    for bit in probes(pair_hashes(lang, hashes[first], hashes[second]), 64 * len(frequent)):
         good &= (frequent[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
     starts = np.flatnonzero(good[pair])  # where a phrase of n words starts
     ranks = pair[starts]
@@ -247,6 +249,7 @@ def counted(texts: DataFrame, longest: int, frequent: np.ndarray | None = None)
     the language. With one: of the phrases of three to ``longest`` words."""
     shared = None if frequent is None else texts.sparkSession.sparkContext.broadcast(frequent)
     rest = 1 if frequent is None else longest - 1
+    burst, held, words, step = BURST, HELD, WORDS, STEP
 
     def work(batches):
         tries: dict[str, Trie] = {}
@@ -271,26 +274,27 @@ def counted(texts: DataFrame, longest: int, frequent: np.ndarray | None = None)
         def add(lang, raws):
             trie = tries.get(lang)
             if trie is None:
-                trie = tries[lang] = Trie(rest)
+                trie = tries[lang] = Trie(rest, burst)
             a = np.concatenate([trie.numbers(raws), np.zeros(1, np.int64)])
             if shared is None:
                 short_phrases(trie, a)
             else:
                 long_phrases(trie, a, lang, shared.value, longest)
 
-        for batch in slices(batches, max_bytes=STEP):
+        for batch in slices(batches, max_bytes=step):
             by_lang: dict[str, list[bytes]] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
                 by_lang.setdefault(lang, []).append(text.encode())
             for lang, raws in by_lang.items():
                 add(lang, raws)
-            if sum(t.entries for t in tries.values()) > HELD or len(tries) > BURST:
-                yield from spill(HELD // 2 if len(tries) <= BURST else 0)
-            if sum(len(t.words) for t in tries.values()) > WORDS or len(tries) > BURST:
+            many = len(tries) > burst  # languages
+            if sum(t.entries for t in tries.values()) > held:
+                yield from spill(held // 2)
+            if many or sum(len(t.words) for t in tries.values()) > words:
                 yield from spill(0)
                 for lang, trie in list(tries.items()):
                     trie.forget()
-                    if len(tries) > BURST:
+                    if many:
                         if trie.total:
                             yield {"lang": [lang], "phrase": [""], "f": [trie.total]}
                         del tries[lang]
