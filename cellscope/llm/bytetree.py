@@ -333,7 +333,7 @@ def scores(heads: DataFrame, trained_of, least_ranges: int, range_grams: int = R
     def chosen(batches):
         for row in blocks(batches):
             for _, g, _ in steps(row):
-                some = g[g * np.uint64(0x9E3779B97F4A7C15) < np.uint64((1 << 64) // sampled)]
+                some = g[g * np.uint64(0x9E3779B97F4A7C15) < np.uint64(((1 << 64) - 1) // sampled)]
                 yield {"gram": np.unique(some).view(np.int64)}
 
     sample = map_batches(heads, chosen, "gram long").toArrow().column("gram").to_numpy().view(np.uint64)

@@ -1,6 +1,7 @@
 """Repeats, language model, SimHash, line dedup, token counts and exact dedup
 against brute force, and on odd tables."""
 
+import functools
 import hashlib
 import math
 import random
@@ -16,7 +17,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cellscope.llm import components, counts, ctw, exact, lines, queries, repeats, simhash
+from cellscope.llm import bytetree, components, counts, ctw, exact, lines, queries, repeats, simhash
 from llm_cases import EDGE_ROWS, SF, documents, frame  # noqa: F401  (fixtures)
 
 JSON = P.path("byte_bpe_50k.json")
@@ -113,12 +114,12 @@ def brute_long(rows):
 
 def brute_mixture(texts):
     """A function (text) -> log10 probability, straight from the definition."""
-    classes, count = ctw.byte_classes(), Counter()
+    depth, count = bytetree.DEPTH, Counter()
 
     def paths(raw):
         for k, byte in enumerate(raw):
-            h = [raw[k - j] if k >= j else 0 for j in (1, 2, 3)]
-            yield byte, ((), (h[0],), (h[0], classes[h[1]]), (h[0], classes[h[1]], classes[h[2]]))
+            h = tuple(raw[k - j] if k >= j else 0 for j in range(1, depth + 1))
+            yield byte, [h[:d] for d in range(depth + 1)]
 
     children = defaultdict(set)
     for raw in texts:
@@ -136,8 +137,9 @@ def brute_mixture(texts):
         a, b = count[z, node, 0], count[z, node, 1]
         return math.lgamma(a + .5) + math.lgamma(b + .5) - math.log(math.pi) - math.lgamma(a + b + 1)
 
+    @functools.cache
     def weighted(z, node):
-        if len(z) == 3:
+        if len(z) == depth:
             return kt(z, node)
         return math.log(.5) + np.logaddexp(kt(z, node), sum(weighted(c, node) for c in children[z, node]))
 
@@ -147,7 +149,7 @@ def brute_mixture(texts):
             a, b = count[z, node, 0], count[z, node, 1]
             if not a + b:
                 return out + left / 2
-            share = 1 if len(z) == 3 else math.exp(math.log(.5) + kt(z, node) - weighted(z, node))
+            share = 1 if len(z) == depth else math.exp(math.log(.5) + kt(z, node) - weighted(z, node))
             out += left * share * (b + .5) / (a + b + 1)
             left *= 1 - share
         return out
@@ -165,28 +167,47 @@ def brute_mixture(texts):
     return score
 
 
-def test_context_tree_equals_its_definition():
-    texts = [b"abracadabra abracadabra", b"hello hello world", b"", b"a", "é ñ é ñ".encode()]
-    data, starts, _ = ctw.joined(texts)
-    cells, n = np.unique(ctw.contexts(data, starts) * 256 + data, return_counts=True)
-    tree = ctw.ContextTree(cells.astype(np.int64) // 256, cells % 256, n.astype(float))
-    asked = texts + [b"abrazzz", "hello abra é".encode()]
-    want = brute_mixture(texts)
-    assert np.allclose(tree.totals(asked), [want(t) for t in asked], rtol=1e-5)
-    probabilities = (10.0 ** tree.table.astype(float)).sum(axis=1)
-    assert np.allclose(probabilities, 1, atol=1e-4)
-    nothing = ctw.ContextTree(*(np.zeros(0, np.int64),) * 2, np.zeros(0))
-    assert np.allclose(nothing.totals([b"abc", b""]), [24 * math.log10(.5), 0])
-
-
-def test_long_texts_score_as_a_whole():
-    rng = random.Random(3)
-    raw = bytes(rng.choice(b"abc ") for _ in range((1 << 20) + 77))
-    data, starts, _ = ctw.joined([raw])
-    cells, n = np.unique(ctw.contexts(data, starts) * 256 + data, return_counts=True)
-    tree = ctw.ContextTree(cells.astype(np.int64) // 256, cells % 256, n.astype(float))
-    straight = tree.table[tree.index[ctw.contexts(data, starts)], data].sum(dtype=float)
-    assert math.isclose(tree.totals([b"x", raw, b""])[1], straight, rel_tol=1e-9)
+def score_rows(n, seed=1):
+    rng = random.Random(seed)
+    words = ["the", "of", "Hello", "abracadabra", "é", "ñandú", "x", "\x00\x01", "\n", "zz zz"]
+    return [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 14)))) for i in range(n)] + [
+        (n, None), (n + 1, ""), (n + 2, "a"), (n + 3, "the of the of " * 40), (n + 3, "never seen QQQ")]
+
+
+@pytest.mark.parametrize("range_grams,sampled", [(10**9, 1 << 30), (200, 2), (12, 1)])
+def test_scores_equal_the_definition(spark, range_grams, sampled):
+    # One range, several, and so many that every context is cut.
+    rows = score_rows(60)
+    lowered = [(i, (t or "").encode().lower()) for i, t in rows]
+    want = brute_mixture([t for i, t in lowered if zlib.crc32(str(i).encode()) % 7 != 2])
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = ctw.score(df, range_grams=range_grams, sampled=sampled).collect()
+    key = lambda r: (r[0], r[1])
+    for (i, n, score), (j, m, brute) in zip(sorted(((r.doc_id, r.n_bytes, r.score) for r in got), key=key),
+                                            sorted(((i, len(t), want(t)) for i, t in lowered), key=key)):
+        assert (i, n) == (j, m) and math.isclose(score, brute, rel_tol=1e-5, abs_tol=1e-5)
+
+
+def test_grams_do_not_reach_over_texts():
+    texts = [b"abcdefghijkl", b"", b"xy", b"z", b"0123456789"]
+    sizes = np.array([len(t) for t in texts])
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    starts = np.cumsum(sizes) - sizes
+    want = []
+    for t in texts:
+        for k, byte in enumerate(t):
+            near = [t[k - j] if k >= j else 0 for j in range(1, bytetree.DEPTH + 1)]
+            want.append(int.from_bytes(bytes(near) + bytes([byte]), "big"))
+    for step in (3, 5, 100):
+        got = [bytetree.grams(data, starts, a, min(len(data), a + step)) for a in range(0, len(data), step)]
+        assert np.concatenate(got).tolist() == want
+
+
+def test_krichevsky_trofimov_of_small_and_large_counts():
+    zeros, ones = np.array([0, 1, 5, 127, 128, 10**6, 3 * 10**9]), np.array([0, 0, 127, 127, 3, 10**7, 1])
+    want = [math.lgamma(a + .5) + math.lgamma(b + .5) - math.log(math.pi) - math.lgamma(a + b + 1)
+            for a, b in zip(zeros.tolist(), ones.tolist())]
+    assert np.allclose(bytetree.log_kt(zeros, ones), want, rtol=1e-8, atol=1e-9)
 
 
 def brute_base(rows):
@@ -219,6 +240,8 @@ def test_scores_on_odd_rows(frame):
     matches_base(got, brute_base(EDGE_ROWS))
     assert all(r.score == 0 and r.bits_per_byte is None for r in got if not r.n_bytes)
     assert ctw.score(frame(EDGE_ROWS).limit(0)).collect() == []
+    empty = [(1, None), (2, ""), (None, "")]
+    assert [(r.n_tokens, r.score, r.bits_per_byte) for r in ctw.score(frame(empty)).collect()] == [(1, 0, None)] * 3
     held = [(i, "only held out") for i in range(40) if zlib.crc32(str(i).encode()) % 7 == 2]
     for r in ctw.score(frame(held)).collect():
         assert r.train_tokens == r.n_known == 0 and math.isclose(r.bits_per_byte, 8, rel_tol=1e-6)
