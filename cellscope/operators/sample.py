@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
 
-# The first 4 hex digits of the sampling key: 65,536 buckets.
+# Hex digits of the sampling key that the histogram tells apart: 65,536 buckets.
 _BUCKET_HEX = 4
 
 
@@ -46,46 +46,49 @@ def sampling_key(seed: int | str, sub: Column | str = S.SUBSCRIBER_ID) -> Column
     return F.md5(F.concat(F.lit(f"{seed}:"), c))
 
 
+def _is_sampled(users: DataFrame, n: int, seed: int | str) -> Column:
+    """Whether a row's SUBSCRIBER_ID is among the ``n`` of ``users`` with the
+    smallest sampling key: one comparison with the n-th key, a scalar.
+
+    A histogram of the keys' first digits (65,536 buckets whatever the number
+    of users, uniform by construction) says which bucket holds the n-th key and
+    which key of it that is; only that bucket's keys are put in order. Fewer than
+    ``n`` users: all of them.
+    """
+    bucket = F.substring("_key", 1, _BUCKET_HEX)
+    keyed = (users.select(S.SUBSCRIBER_ID).filter(F.col(S.SUBSCRIBER_ID).isNotNull()).distinct()
+             .select(S.SUBSCRIBER_ID, sampling_key(seed).alias("_key")))
+    sizes = keyed.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("size"))
+    nothing = F.struct(F.lit(0).cast("bigint").alias("before"), F.lit(None).cast("string").alias("bucket"))
+
+    def pass_bucket(state: Column, entry: Column) -> Column:
+        with_it = state["before"] + entry["size"]
+        return (F.when(state["bucket"].isNotNull(), state)
+                .when(with_it >= n, F.struct(state["before"].alias("before"), entry["bucket"].alias("bucket")))
+                .otherwise(F.struct(with_it.alias("before"), F.lit(None).cast("string").alias("bucket"))))
+
+    at = F.aggregate(F.sort_array(F.collect_list(F.struct("bucket", "size"))), nothing, pass_bucket)
+    boundary = sizes.agg(at.alias("at"))
+    inside = keyed.filter(bucket == boundary.select("at.bucket").scalar())
+    in_order = F.sort_array(F.collect_list(F.struct("_key", S.SUBSCRIBER_ID)))
+    nth = F.lit(n) - boundary.select("at.before").scalar()
+    last = inside.agg(in_order.alias("keys")).select(F.get("keys", (nth - 1).cast("int"))).scalar()
+    own = F.struct(sampling_key(seed).alias("_key"), F.col(S.SUBSCRIBER_ID))
+    return F.col(S.SUBSCRIBER_ID).isNotNull() & F.coalesce(own <= last, F.lit(True))
+
+
 def sample_users(users: DataFrame, n: int, seed: int | str = 42) -> DataFrame:
     """The ``n`` distinct non-null SUBSCRIBER_IDs of ``users`` with the
     smallest sampling key (ties by id): a seeded uniform sample without
-    replacement, the same on every run and in any SQL engine with md5.
-
-    Exact top-n without funnelling all users through one task: users are
-    bucketed by the first hex digits of the key (uniform by construction,
-    so no bucket is hot), the bucket sizes (at most 65,536 rows, whatever
-    the data size) give each bucket's offset, buckets starting after the
-    n-th user are dropped, and a ranking within the remaining buckets
-    settles the boundary bucket.
-    """
+    replacement, the same on every run and in any SQL engine with md5."""
     if n <= 0:
         return users.select(S.SUBSCRIBER_ID).limit(0)
-    key = sampling_key(seed)
-    keyed = (users.select(S.SUBSCRIBER_ID)
-             .filter(F.col(S.SUBSCRIBER_ID).isNotNull())
-             .distinct()
-             .select(S.SUBSCRIBER_ID, key.alias("_key"))
-             # Never null (md5 of a non-null id). Saying so keeps the join below
-             # from adding a not-null filter to one of the two uses of this
-             # table, so both stay identical and its exchange is reused.
-             .withColumn("_bucket", F.coalesce(
-                 F.conv(F.substring("_key", 1, _BUCKET_HEX), 16, 10).cast("int"), F.lit(0))))
-    sizes = keyed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_size"))
-    # A window over the bucket table only (<= 65,536 rows): bounded.
-    before = F.sum("_size").over(Window.orderBy("_bucket")
-                                 .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = (sizes.select("_bucket", F.coalesce(before, F.lit(0)).alias("_before"))
-               .filter(F.col("_before") < n))
-    rank_in_bucket = F.row_number().over(
-        Window.partitionBy("_bucket").orderBy("_key", S.SUBSCRIBER_ID))
-    return (keyed.join(F.broadcast(offsets), "_bucket")
-            .withColumn("_rank", F.col("_before") + rank_in_bucket)
-            .filter(F.col("_rank") <= n)
-            .select(S.SUBSCRIBER_ID))
+    return users.select(S.SUBSCRIBER_ID).filter(_is_sampled(users, n, seed)).distinct()
 
 
 def user_sample(records: DataFrame, n: int, seed: int | str = 42) -> DataFrame:
-    """All records of ``n`` sampled users (see ``sample_users``). The sample's
-    size is known when it has been computed, so the adaptive planner decides
-    whether it is broadcast for the semi join."""
-    return records.join(sample_users(records, n, seed), S.SUBSCRIBER_ID, "left_semi")
+    """All records of ``n`` sampled users (see ``sample_users``): a filter of
+    the records by the n-th key, without a join."""
+    if n <= 0:
+        return records.limit(0)
+    return records.filter(_is_sampled(records, n, seed))

@@ -9,15 +9,19 @@ import io
 
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions.calendar import enrich
 from ..operators import (appearance_counts, audit_parquet, class_counts, daily_presence,
-                         residents_per_cell, top_location)
+                         residents_per_cell, spatial_appearance, top_location)
+from ..operators import spatial_stages as spatial_tables
+from ..operators.spatial import SLOT_COUNTS
 from ..session import scratch_dir, store_of
-from ..sinks import read_csv, versioned_path, write_csv
+from ..sinks import (read_csv, versioned_path, whole_version, whole_versions, write_csv,
+                     write_intermediates)
 from ..sources import demo, list_files, read_adjacency, read_cdr, read_cells
 
 ONE_SECOND = dt.timedelta(seconds=1)
@@ -86,17 +90,48 @@ def csv_single_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def csv_versioned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Locations written under two versions of one layout and read back by
-    version: a version never holds another's rows."""
+    """Locations written under two versions of one layout, then a version whose
+    second result can't be written; read back are all results of the versions
+    that are there: a version never holds another's rows, and of the failed one
+    nothing is seen."""
     root = scratch_dir(spark, "versions")
-    loc = top_location(appearance_counts(daily_presence(enrich(_raw(spark, sf_dir)))))
-    both = None
-    for version, cls in enumerate((S.HOME_HOUR, S.WORK_HOUR), start=1):
-        path = versioned_path(root, "tc", version, "locations.csv")
-        write_csv(class_counts(loc, cls), path)
-        back = read_csv(spark, path, {S.MAX_APPEARANCE_COUNT: "bigint"}).withColumn("VERSION", F.lit(version))
-        both = back if both is None else both.unionByName(back)
-    return both
+    loc = top_location(appearance_counts(daily_presence(enrich(_raw(spark, sf_dir))))).persist()
+    try:
+        for version, cls in enumerate((S.HOME_HOUR, S.WORK_HOUR), start=1):
+            with whole_version(spark, versioned_path(root, "tc", version)) as staged:
+                staged.write_csv(class_counts(loc, cls), "locations.csv")
+        try:
+            with whole_version(spark, versioned_path(root, "tc", 3)) as staged:
+                staged.write_csv(loc, "locations.csv")
+                staged.write_csv(loc, "locations.csv")  # is there already
+        except AnalysisException:
+            pass
+        both = None
+        for version, names in whole_versions(spark, root, "tc").items():
+            for name in names:
+                back = read_csv(spark, versioned_path(root, "tc", version, name), {S.MAX_APPEARANCE_COUNT: "bigint"})
+                back = back.withColumn("VERSION", F.lit(int(version)))
+                both = back if both is None else both.unionByName(back)
+        return both
+    finally:
+        loc.unpersist()
+
+
+def spatial_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stage tables of the spatial job, dumped as CSV and read back, one
+    below the other under their names; a table's missing columns are null."""
+    root = scratch_dir(spark, "stages")
+    counts = appearance_counts(daily_presence(enrich(_raw(spark, sf_dir))))
+    adjacency = demo.adjacency_from_nations(demo.load(spark, sf_dir, "nation"))
+    tables = spatial_tables(counts, spatial_appearance(counts, adjacency), adjacency)
+    write_intermediates(tables, root)
+    together = None
+    for name in tables:
+        back = read_csv(spark, f"{root}/{name}", {c: "bigint" for c in (S.APPEARANCE_COUNT, *SLOT_COUNTS)
+                                                  if c in tables[name].columns})
+        back = back.withColumn("STAGE", F.lit(name))
+        together = back if together is None else together.unionByName(back, allowMissingColumns=True)
+    return together
 
 
 def rowless_file(footer_bytes: int) -> bytes:

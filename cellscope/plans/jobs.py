@@ -21,7 +21,7 @@ from ..operators import (appearance_counts, audit_parquet, cells_as_text, class_
                          hourly_trajectory, regional_records, residents_map, residents_per_cell,
                          spatial_appearance, spatial_stages, top_location, user_sample)
 from ..session import ensure_checkpoint_dir
-from ..sinks import read_csv, versioned_path, write_csv, write_intermediates
+from ..sinks import read_csv, versioned_path, whole_version
 from ..sources import read_adjacency, read_cdr, read_cells
 
 # Layout of the original data root and result names.
@@ -48,12 +48,18 @@ def _locations_out(loc: DataFrame) -> DataFrame:
     return loc.select(S.SUBSCRIBER_ID, S.INDEX_1KM, S.MAX_APPEARANCE_COUNT)
 
 
+def _read_back(spark: SparkSession, path: str, df: DataFrame, casts: dict[str, str] = COUNTS) -> DataFrame:
+    """What was written of ``df``, so that using a job's result later reads the
+    result and computes nothing again."""
+    return read_csv(spark, path, {c: t for c, t in casts.items() if c in df.columns})
+
+
 def _written(df: DataFrame, path: str, single_file: bool, mode: str,
              casts: dict[str, str] = COUNTS) -> DataFrame:
-    """Write ``df`` and hand back what was written, so that using a job's
-    result later reads the result and computes nothing again."""
-    write_csv(df, path, single_file=single_file, mode=mode)
-    return read_csv(df.sparkSession, path, {c: t for c, t in casts.items() if c in df.columns})
+    """One result as a version of its own, read back."""
+    with whole_version(df.sparkSession, path, mode) as staged:
+        staged.write_csv(df, single_file=single_file)
+    return _read_back(df.sparkSession, path, df, casts)
 
 
 def home_work_job(spark: SparkSession, data_root: str, version: str | int = 1,
@@ -68,39 +74,42 @@ def home_work_job(spark: SparkSession, data_root: str, version: str | int = 1,
 
     Writes under ``{out_root}/output/{tc|sc}/{version}/``: per class the
     locations and the subscribers per cell, then the merged home-work table
-    (``single_file`` for one part file). Returns the written tables. Files to
-    leave out are named by ``exclude`` (path suffixes).
+    (``single_file`` for one part file). The version appears whole or not at
+    all. Returns the written tables. Files to leave out are named by ``exclude``
+    (path suffixes).
     """
     out_root = out_root or data_root
-    family = "sc" if spatial else "tc"
+    out = versioned_path(out_root, "sc" if spatial else "tc", version)
     casts = SPATIAL_COUNTS if spatial else COUNTS
     cdr = read_cdr(spark, paths or cdr_dirs(data_root), exclude=exclude, weeks=weeks)
     held = [appearance_counts(daily_presence(cdr))]
-    if spatial:
-        if adjacency is None:
-            adjacency = read_adjacency(spark, f"{data_root.rstrip('/')}/{ADJACENCY_FILE}")
-        if debug:
-            held[0] = held[0].persist(StorageLevel.MEMORY_AND_DISK)
-        held.append(spatial_appearance(held[0], adjacency, weight))
-        if debug:
-            held[1] = held[1].persist(StorageLevel.MEMORY_AND_DISK)
-            write_intermediates(spatial_stages(held[0], held[1], adjacency),
-                                versioned_path(out_root, family, version, "debug"), mode)
-    loc = top_location(held[-1], one_per_subscriber).persist(StorageLevel.MEMORY_AND_DISK)
+    written: dict[str, tuple[DataFrame, tuple[str, ...]]] = {}
     try:
-        results = {}
-        for hw, sub in CLASS_DIRS.items():
-            per_class = class_counts(loc, hw)
-            results[hw] = _written(_locations_out(per_class), versioned_path(
-                out_root, family, version, sub, LOCATIONS_CSV), False, mode, casts)
-            results[f"{hw}_PER_CELL"] = _written(residents_per_cell(per_class), versioned_path(
-                out_root, family, version, sub, CELL_COUNTS_CSV), False, mode)
-        # With ties kept the cell columns are arrays; CSV gets them as text.
-        results["home_work"] = _written(cells_as_text(home_work(loc, one_per_subscriber)), versioned_path(
-            out_root, family, version, HOME_WORK_CSV), single_file, mode, casts)
-        return results
+        with whole_version(spark, out, mode) as staged:
+            if spatial:
+                if adjacency is None:
+                    adjacency = read_adjacency(spark, f"{data_root.rstrip('/')}/{ADJACENCY_FILE}")
+                if debug:
+                    held[0] = held[0].persist(StorageLevel.MEMORY_AND_DISK)
+                held.append(spatial_appearance(held[0], adjacency, weight))
+                if debug:
+                    held[1] = held[1].persist(StorageLevel.MEMORY_AND_DISK)
+                    for name, table in spatial_stages(held[0], held[1], adjacency).items():
+                        staged.write_csv(table, "debug", name)
+            held.append(top_location(held[-1], one_per_subscriber).persist(StorageLevel.MEMORY_AND_DISK))
+            loc = held[-1]
+            for hw, sub in CLASS_DIRS.items():
+                per_class = class_counts(loc, hw)
+                written[hw] = _locations_out(per_class), (sub, LOCATIONS_CSV)
+                written[f"{hw}_PER_CELL"] = residents_per_cell(per_class), (sub, CELL_COUNTS_CSV)
+            # With ties kept the cell columns are arrays; CSV gets them as text.
+            written["home_work"] = cells_as_text(home_work(loc, one_per_subscriber)), (HOME_WORK_CSV,)
+            for name, (df, parts) in written.items():
+                staged.write_csv(df, *parts, single_file=single_file and name == "home_work")
+        return {name: _read_back(spark, "/".join((out, *parts)), df, casts)
+                for name, (df, parts) in written.items()}
     finally:
-        for df in (loc, *held):
+        for df in held:
             df.unpersist()
 
 
@@ -121,17 +130,19 @@ def residents_map_job(spark: SparkSession, data_root: str,
     ties = ties.persist(StorageLevel.MEMORY_AND_DISK)
     names = {S.HOME_HOUR: ("HomeYearOutput.csv", "SumHome.csv", "homeRecidentCount.csv"),
              S.WORK_HOUR: ("WorkYearOutput.csv", "SumWork.csv", "workRecidentCount.csv")}
+    written: dict[str, DataFrame] = {}
+    for hw, (loc_csv, sum_csv, map_csv) in names.items():
+        per_class = class_counts(ties, hw)
+        residents = residents_per_cell(per_class)
+        written[loc_csv] = _locations_out(per_class).withColumnRenamed(S.MAX_APPEARANCE_COUNT, S.MAX_APEARENCE_COUNT)
+        written[sum_csv] = residents.withColumnRenamed(S.LOCATION_ID, S.INDEX_1KM)
+        written[map_csv] = residents_map(residents, centres)
     try:
-        results = {}
-        for hw, (loc_csv, sum_csv, map_csv) in names.items():
-            per_class = class_counts(ties, hw)
-            residents = residents_per_cell(per_class)
-            located = _locations_out(per_class).withColumnRenamed(S.MAX_APPEARANCE_COUNT, S.MAX_APEARENCE_COUNT)
-            write_csv(located, f"{out}/{loc_csv}", single_file=single_file, mode=mode)
-            write_csv(residents.withColumnRenamed(S.LOCATION_ID, S.INDEX_1KM),
-                      f"{out}/{sum_csv}", single_file=single_file, mode=mode)
-            results[hw] = _written(residents_map(residents, centres), f"{out}/{map_csv}", single_file, mode)
-        return results
+        with whole_version(spark, out, mode, names=list(written)) as staged:
+            for name, df in written.items():
+                staged.write_csv(df, name, single_file=single_file)
+        return {hw: _read_back(spark, f"{out}/{map_csv}", written[map_csv])
+                for hw, (_, _, map_csv) in names.items()}
     finally:
         ties.unpersist()
 

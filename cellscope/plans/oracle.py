@@ -152,6 +152,30 @@ _RESIDENTS_TIES = """
   (SELECT HW_TIME_FILTER, INDEX_1KM AS LOCATION_ID, CAST(count(*) AS BIGINT) AS COUNT_IN_1KM_CELL
    FROM ties GROUP BY HW_TIME_FILTER, INDEX_1KM)"""
 
+
+
+def _spatial_stages() -> str:
+    """The stage tables by the four lookups: neighbours, then the counts in the
+    first one to four of them, then those with 0 for null."""
+    names = [f"ADJ_{i}_APPEARANCE_COUNT" for i in (1, 2, 3, 4)]
+    lookups = "\n".join(
+        f"  LEFT JOIN counts a{i} ON a{i}.INDEX_1KM = adj.ADJ_{i} AND a{i}.SUBSCRIBER_ID = c.SUBSCRIBER_ID"
+        f" AND a{i}.HW_TIME_FILTER = c.HW_TIME_FILTER" for i in (1, 2, 3, 4))
+    found = f"""
+(SELECT c.*, adj.ADJ_1, adj.ADJ_2, adj.ADJ_3, adj.ADJ_4,
+        {", ".join(f"a{i}.APPEARANCE_COUNT AS {n}" for i, n in enumerate(names, 1))}
+ FROM counts c LEFT JOIN adj ON c.INDEX_1KM = adj.ADJ_INDEX_1KM
+{lookups}) joined"""
+    stages = {"appearanceJoinedAdjacentCell": ["CAST(NULL AS BIGINT)"] * 4}
+    for upto in (1, 2, 3, 4):
+        stages[f"adj_{upto}"] = names[:upto] + ["CAST(NULL AS BIGINT)"] * (4 - upto)
+    stages["na_filled"] = [f"coalesce({n}, 0)" for n in names]
+    return "\nUNION ALL\n".join(
+        f"SELECT '{stage}' AS STAGE, HW_TIME_FILTER, SUBSCRIBER_ID, INDEX_1KM, APPEARANCE_COUNT, "
+        f"ADJ_1, ADJ_2, ADJ_3, ADJ_4, {', '.join(f'{e} AS {n}' for e, n in zip(columns, names))} FROM {found}"
+        for stage, columns in stages.items())
+
+
 _BODIES = {
     "cdr_enriched": "SELECT * FROM cdr",
     "cdr_week_range": f"SELECT * FROM cdr WHERE WEEK_OF_YEAR BETWEEN {P.WEEKS[0]} AND {P.WEEKS[1]}",
@@ -185,6 +209,7 @@ FROM {_RESIDENTS_TIES} r JOIN cells c ON r.LOCATION_ID = c.LOCATION_ID""",
 SELECT HW_TIME_FILTER, INDEX_1KM AS LOCATION_ID, CAST(count(*) AS BIGINT) AS COUNT_IN_1KM_CELL,
        CAST(1 AS BIGINT) AS PART_FILES
 FROM top1 GROUP BY HW_TIME_FILTER, INDEX_1KM""",
+    "spatial_stages": _spatial_stages(),
     "csv_versioned": """
 SELECT SUBSCRIBER_ID, INDEX_1KM, MAX_APPEARANCE_COUNT,
        CASE HW_TIME_FILTER WHEN 'HOME_HOUR' THEN 1 ELSE 2 END AS VERSION

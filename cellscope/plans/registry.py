@@ -94,6 +94,7 @@ QUERIES: dict[str, Query] = {
     "cells_source": fixtures.cells_source,
     "csv_single_file": fixtures.csv_single_file,
     "csv_versioned": fixtures.csv_versioned,
+    "spatial_stages": fixtures.spatial_stages,
     "cdr_excluding_files": fixtures.cdr_excluding_files,
     "unreadable_files": fixtures.unreadable_files,
 }
