@@ -1,9 +1,9 @@
 """Phrase collocations by HAT-trie counting.
 
-A task counts phrases in a trie over local word numbers: under the root a
-subtree for each first word, whose phrases lie in one hash container until it
-grows beyond ``BURST`` entries and bursts into containers by the next word. When
-the trie holds ``HELD`` entries, whole subtrees, largest first, are spilled as
+A task counts phrases in a trie over local word numbers. Hash containers hang
+under ranges of first words (in the second pass: of first word pairs, two levels
+at once); one that grows beyond ``BURST`` entries bursts into two at its median.
+When the trie holds ``HELD`` entries, whole subtrees, largest first, are spilled as
 sorted runs of (phrase, count). Spark's exchange merges the runs of all tasks;
 it deals them out by the whole phrase, because a partition per first word would
 be as large as the commonest word makes it.
@@ -17,10 +17,11 @@ frequent is missed.
 
 from __future__ import annotations
 
-import re
+import bisect
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,85 +30,97 @@ from pyspark.sql.window import Window
 from .common import map_batches, release, slices, stored
 from .terms import Terms
 
-#: What ends a piece of text; no word holds one of these bytes.
-ENDS = re.compile(rb"[.,;:!?\x0A-\x0D]+")
+#: What ends a piece of text; no word holds one of these bytes, so all become
+#: ``MARK``, a word of its own.
 MARK = b"."
+ENDS = bytes.maketrans(b".,;:!?\x0a\x0b\x0c\x0d", MARK * 10)
 #: Entries of a container that bursts, of a trie, and words of a task's table.
-BURST, HELD, WORDS = 1 << 12, 500_000, 200_000
+BURST, HELD, WORDS = 1 << 14, 600_000, 200_000
 #: Bytes of text counted at once; rows of a spilled batch.
-STEP, SPILL_ROWS = 1 << 20, 20_000
+STEP, SPILL_ROWS = 1 << 20, 50_000
 #: The filter of frequent pairs: bits (as a power of two) and probes.
 FILTER_BITS, PROBES = 26, 3
 #: Rows of one language and task in the last rounds of the ranking: fan-in.
 FAN_IN = 32
 
-WORD_BITS = 32
-LOW = (1 << WORD_BITS) - 1
-
-
-class Container:
-    """Phrases under a common prefix: what follows it (``rest`` words, packed
-    into one number, 0 where there is none) -> count."""
-
-    def __init__(self, rest: int, burst: int):
-        self.rest, self.burst, self.counts, self.children = rest, burst, {}, None
-
-    def add(self, keys: list[int], counts: list[int]) -> int:
-        """Counts sorted keys; returns the number of new entries."""
-        if self.children is not None:
-            return self.passed_down(keys, counts)
-        own, before = self.counts, len(self.counts)
-        get = own.get
-        for k, c in zip(keys, counts):
-            own[k] = get(k, 0) + c
-        new = len(own) - before
-        if len(own) > self.burst and self.rest > 1:
-            self.children, self.counts = {}, {}
-            ordered = sorted(own)
-            self.passed_down(ordered, [own[k] for k in ordered])
-        return new
-
-    def passed_down(self, keys: list[int], counts: list[int]) -> int:
-        shift = WORD_BITS * (self.rest - 1)
-        new, at, inside = 0, 0, (1 << shift) - 1
-        while at < len(keys):
-            word, end = keys[at] >> shift, at
-            while end < len(keys) and keys[end] >> shift == word:
-                end += 1
-            child = self.children.get(word)
-            if child is None:
-                child = self.children[word] = Container(self.rest - 1, self.burst)
-            new += child.add([k & inside for k in keys[at:end]], counts[at:end])
-            at = end
-        return new
-
-    def run(self, prefix: int = 0) -> list[tuple[int, int]]:
-        """(packed rest, count) in order."""
-        if self.children is None:
-            return [(prefix | k, self.counts[k]) for k in sorted(self.counts)]
-        shift = WORD_BITS * (self.rest - 1)
-        return [entry for word in sorted(self.children)
-                for entry in self.children[word].run(prefix | word << shift)]
-
-    def __len__(self) -> int:
-        return len(self.counts) if self.children is None else sum(map(len, self.children.values()))
+#: A phrase is one number: its prefix (number of the first word or pair) in the
+#: upper half; in the lower one 0, the number of the next word, or ``PAIR`` and
+#: the number of the next pair.
+HALF, PAIR = 32, 1 << 31
+LOW = (1 << HALF) - 1
+
+
+class Containers:
+    """The trie: hash containers (phrase -> count), each under a range of
+    prefixes that begins where ``starts`` says."""
+
+    def __init__(self, burst: int):
+        self.burst, self.starts, self.tables, self.entries = burst, [0], [{}], 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        """Counts phrases, in order."""
+        edges = np.searchsorted(keys, np.array(self.starts[1:], np.int64) << HALF)
+        edges = [0, *edges.tolist(), len(keys)]
+        keys, counts, full = keys.tolist(), counts.tolist(), []
+        for number, own in enumerate(self.tables):
+            get, before = own.get, len(own)
+            for k, c in zip(keys[edges[number]:edges[number + 1]], counts[edges[number]:edges[number + 1]]):
+                own[k] = get(k, 0) + c
+            self.entries += len(own) - before
+            if len(own) > self.burst:
+                full.append(self.starts[number])
+        for start in full:
+            self.burst_at(start)
+
+    def burst_at(self, start: int) -> None:
+        """Containers of at most ``burst`` entries, or of one prefix, in place
+        of one."""
+        number = bisect.bisect_left(self.starts, start)
+        own = self.tables[number]
+        ordered = sorted(own)
+        middle = ordered[len(ordered) // 2] >> HALF
+        if middle == ordered[0] >> HALF:  # the lower half is one prefix
+            middle += 1
+        cut = bisect.bisect_left(ordered, middle << HALF)
+        if len(own) <= self.burst or cut == len(ordered):
+            return
+        self.starts.insert(number + 1, middle)
+        self.tables[number:number + 1] = [{k: own[k] for k in ordered[:cut]}, {k: own[k] for k in ordered[cut:]}]
+        self.burst_at(middle)
+        self.burst_at(start)
+
+    def spilled(self, keep: int):
+        """Sorted runs (phrases, counts) of whole containers, largest first,
+        until at most ``keep`` entries are left."""
+        for number in sorted(range(len(self.tables)), key=lambda i: -len(self.tables[i])):
+            own = self.tables[number]
+            if self.entries <= keep or not own:
+                return
+            keys = np.fromiter(own, np.int64, len(own))
+            counts = np.fromiter(own.values(), np.int64, len(own))
+            self.entries -= len(own)
+            self.tables[number] = {}
+            order = np.argsort(keys)
+            yield keys[order], counts[order]
 
 
 class Trie:
-    """The phrases of one language in one task."""
+    """The phrases of one language in one task: the numbers of words and pairs,
+    and the containers."""
 
-    def __init__(self, rest: int, burst: int):
-        self.rest, self.burst, self.roots, self.entries, self.total = rest, burst, {}, 0, 0
+    def __init__(self, burst: int):
+        self.total, self.containers = 0, Containers(burst)
         self.forget()
 
     def forget(self) -> None:
-        self.words = Terms()
-        self.words[MARK] = 0
+        """New tables of words and pairs, once everything is spilled."""
+        self.words, self.pairs = Terms({MARK: 0}), Terms()
         self.hashes = np.zeros(1, np.uint64)
+        self.tables = pa.array([], pa.binary()), np.zeros(0, np.int64)
 
     def numbers(self, raws: list[bytes]) -> np.ndarray:
         """Word numbers, 0 between pieces and texts."""
-        tokens = ENDS.sub(b" . ", b"\n".join(raws).lower()).split()
+        tokens = b"\n".join(raws).lower().translate(ENDS).replace(MARK, b" . ").split()
         return np.fromiter(map(self.words.__getitem__, tokens), np.int64, len(tokens))
 
     def word_hashes(self) -> np.ndarray:
@@ -118,39 +131,26 @@ class Trie:
                 map(xxhash.xxh64_intdigest, new), np.uint64, len(new))])
         return self.hashes
 
-    def add(self, first: np.ndarray, rest: np.ndarray | list[int], counts: np.ndarray) -> None:
-        """Counts phrases sorted by (first word, rest)."""
-        if not len(first):
-            return
-        edges = np.flatnonzero(np.r_[True, first[1:] != first[:-1], True])
-        rest = rest if isinstance(rest, list) else rest.tolist()
-        counts = counts.tolist()
-        for word, a, b in zip(first[edges[:-1]].tolist(), edges[:-1].tolist(), edges[1:].tolist()):
-            subtree = self.roots.get(word)
-            if subtree is None:
-                subtree = self.roots[word] = Container(self.rest, self.burst)
-            self.entries += subtree.add(rest[a:b], counts[a:b])
-
-    def spilled(self, keep: int):
-        """Sorted runs (phrases, counts) of whole subtrees, largest first, until
-        at most ``keep`` entries are left."""
-        spelled = list(self.words)
-        order = sorted(self.roots, key=lambda w: -len(self.roots[w])) if keep else list(self.roots)
-        for word in order:
-            if self.entries <= keep:
-                return
-            run = self.roots.pop(word).run()
-            self.entries -= len(run)
-            head = spelled[word]
-            if self.rest == 1:
-                phrases = [head + b" " + spelled[k] if k else head for k, _ in run]
-            else:
-                phrases = [b" ".join([head, *(spelled[w] for w in self.unpacked(k))]) for k, _ in run]
-            yield phrases, [c for _, c in run]
-
-    def unpacked(self, rest: int) -> list[int]:
-        words = [rest >> WORD_BITS * place & LOW for place in range(self.rest - 1, -1, -1)]
-        return [w for w in words if w]
+    def spelled(self, keys: np.ndarray, of_pairs: bool) -> pa.Array:
+        """The phrases of these numbers as text."""
+        if [len(self.words), len(self.pairs)] != [len(t) for t in self.tables]:
+            self.tables = (pa.array(list(self.words), pa.binary()),
+                           np.fromiter(self.pairs, np.int64, len(self.pairs)))
+        words, pairs = self.tables
+        prefix, rest = keys >> HALF, keys & LOW
+        out, order = [], []
+        for longer in (False, True):
+            at = np.flatnonzero((rest >= PAIR) == longer if of_pairs else (rest > 0) == longer)
+            parts = [pairs[prefix[at]] >> HALF, pairs[prefix[at]] & LOW] if of_pairs else [prefix[at]]
+            if of_pairs and longer:
+                second = pairs[rest[at] - PAIR]
+                parts += [second >> HALF, second & LOW]
+            elif of_pairs or longer:
+                parts.append(rest[at])
+            out.append(pc.binary_join_element_wise(*(words.take(pa.array(p)) for p in parts), b" "))
+            order.append(at)
+        back = np.argsort(np.concatenate(order))
+        return pa.concat_arrays(out).take(pa.array(back)).cast(pa.string())
 
 
 def pair_hashes(lang: str, first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -193,54 +193,34 @@ def pair_filter(pairs: DataFrame) -> np.ndarray:
 def short_phrases(trie: Trie, a: np.ndarray) -> None:
     """Counts words and pairs of the numbers ``a``."""
     first, second = a[:-1], a[1:]
-    pairs, n = np.unique((first << WORD_BITS | second)[(first > 0) & (second > 0)], return_counts=True)
+    pairs, n = np.unique((first << HALF | second)[(first > 0) & (second > 0)], return_counts=True)
     words = np.bincount(a)
     words[0] = 0
     own = np.flatnonzero(words)
-    keys = np.concatenate([own << WORD_BITS, pairs])
+    keys = np.concatenate([own << HALF, pairs])
     order = np.argsort(keys, kind="stable")
-    keys, n = keys[order], np.concatenate([words[own], n])[order]
     trie.total += int(words.sum())
-    trie.add(keys >> WORD_BITS, keys & LOW, n)
+    trie.containers.add(keys[order], np.concatenate([words[own], n])[order])
 
 
 def long_phrases(trie: Trie, a: np.ndarray, lang: str, frequent: np.ndarray, longest: int) -> None:
     """Counts phrases of three to ``longest`` words, all of whose pairs pass
     the filter."""
-    pairs, pair = np.unique(a[:-1] << WORD_BITS | a[1:], return_inverse=True)
-    first, second = pairs >> WORD_BITS, pairs & LOW
+    pairs, which = np.unique(a[:-1] << HALF | a[1:], return_inverse=True)
+    first, second = pairs >> HALF, pairs & LOW
     hashes = trie.word_hashes()
     good = (first > 0) & (second > 0)
     for bit in probes(pair_hashes(lang, hashes[first], hashes[second]), 64 * len(frequent)):
         good &= (frequent[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
-    starts = np.flatnonzero(good[pair])  # where a phrase of n words starts
-    ranks = pair[starts]
-    first, n = first[ranks], 2
-    rest: list[tuple] = [(second[ranks],)]
-    entries = []
-    while n < longest and len(starts):
-        after = np.searchsorted(starts, starts + 1)
-        more = (after < len(starts)) & (starts[np.minimum(after, len(starts) - 1)] == starts + 1)
-        # The next word is the last one of the phrase that starts one word later.
-        last = rest[-1][-1][after[more]]
-        kept = [part[more] for part in rest[-1]] + [last]
-        starts, ranks, first, n = starts[more], ranks[more], first[more], n + 1
-        if not len(starts):
-            break
-        _, at, ranks, counts = np.unique(ranks << WORD_BITS | last, return_index=True, return_inverse=True,
-                                         return_counts=True)
-        rest.append(tuple(kept))
-        entries.append((first[at], [part[at] for part in kept], counts))
-    found: list[tuple[int, int, int]] = []
-    for heads, parts, counts in entries:
-        packed = [0] * len(heads)
-        for place, part in enumerate(parts):
-            shift = WORD_BITS * (trie.rest - 1 - place)
-            packed = [p | w << shift for p, w in zip(packed, part.tolist())]
-        found += zip(heads.tolist(), packed, counts.tolist())
-    found.sort()
-    trie.add(np.array([f for f, _, _ in found], np.int64), [r for _, r, _ in found],
-             np.array([c for _, _, c in found], np.int64))
+    number = np.zeros(len(pairs), np.int64)
+    number[good] = np.fromiter(map(trie.pairs.__getitem__, pairs[good].tolist()), np.int64, int(good.sum()))
+    good, pair = good[which], number[which]
+    three = np.flatnonzero(good[:-1] & good[1:])
+    keys = [pair[three] << HALF | a[three + 2]]
+    if longest > 3:
+        four = three[np.flatnonzero(good[np.minimum(three + 2, len(good) - 1)] & (three + 2 < len(good)))]
+        keys.append(pair[four] << HALF | PAIR | pair[four + 2])
+    trie.containers.add(*np.unique(np.concatenate(keys), return_counts=True))
 
 
 def counted(texts: DataFrame, longest: int, frequent: np.ndarray | None = None) -> DataFrame:
@@ -248,33 +228,23 @@ def counted(texts: DataFrame, longest: int, frequent: np.ndarray | None = None)
     filter: of words and pairs, and under phrase '' the number of all words of
     the language. With one: of the phrases of three to ``longest`` words."""
     shared = None if frequent is None else texts.sparkSession.sparkContext.broadcast(frequent)
-    rest = 1 if frequent is None else longest - 1
     burst, held, words, step = BURST, HELD, WORDS, STEP
 
     def work(batches):
         tries: dict[str, Trie] = {}
 
-        def out(lang, phrases, counts):
-            for start in range(0, len(phrases), SPILL_ROWS):
-                some = phrases[start:start + SPILL_ROWS]
-                yield {"lang": [lang] * len(some), "phrase": pa.array(some, pa.string()),
-                       "f": counts[start:start + SPILL_ROWS]}
-
         def spill(keep):
-            for lang, trie in list(tries.items()):
-                phrases, counts = [], []
-                for run, n in trie.spilled(keep // len(tries)):
-                    phrases += run
-                    counts += n
-                    if len(phrases) >= SPILL_ROWS:
-                        yield from out(lang, phrases, counts)
-                        phrases, counts = [], []
-                yield from out(lang, phrases, counts)
+            for lang, trie in tries.items():
+                for keys, counts in trie.containers.spilled(keep // len(tries)):
+                    for start in range(0, len(keys), SPILL_ROWS):
+                        some = slice(start, start + SPILL_ROWS)
+                        yield {"lang": pa.repeat(lang, len(keys[some])), "f": counts[some],
+                               "phrase": trie.spelled(keys[some], shared is not None)}
 
         def add(lang, raws):
             trie = tries.get(lang)
             if trie is None:
-                trie = tries[lang] = Trie(rest, burst)
+                trie = tries[lang] = Trie(burst)
             a = np.concatenate([trie.numbers(raws), np.zeros(1, np.int64)])
             if shared is None:
                 short_phrases(trie, a)
@@ -288,9 +258,9 @@ def counted(texts: DataFrame, longest: int, frequent: np.ndarray | None = None)
             for lang, raws in by_lang.items():
                 add(lang, raws)
             many = len(tries) > burst  # languages
-            if sum(t.entries for t in tries.values()) > held:
+            if sum(t.containers.entries for t in tries.values()) > held:
                 yield from spill(held // 2)
-            if many or sum(len(t.words) for t in tries.values()) > words:
+            if many or sum(len(t.words) + len(t.pairs) for t in tries.values()) > words:
                 yield from spill(0)
                 for lang, trie in list(tries.items()):
                     trie.forget()

@@ -276,15 +276,23 @@ def test_spills_bursts_and_full_word_tables_change_nothing(spark, monkeypatch):
     assert found_collocations(df, min_count=4) == want
 
 
-def test_container_bursts_and_keeps_its_run():
-    tree, flat = phrases.Container(3, 1000), {}
+def test_containers_burst_and_keep_their_runs():
+    trie, flat = phrases.Containers(100), Counter()
     rng = random.Random(1)
-    for _ in range(6):
-        keys = sorted({rng.randrange(9) << 64 | rng.randrange(50) << 32 | rng.randrange(60) for _ in range(3000)})
-        tree.add(keys, [2] * len(keys))
-        for k in keys:
-            flat[k] = flat.get(k, 0) + 2
-    assert tree.children is not None and len(tree) == len(flat) and tree.run() == sorted(flat.items())
+    for _ in range(8):
+        keys = sorted({rng.choice([3, 4, 5, rng.randrange(1000)]) << 32 | rng.randrange(900) for _ in range(900)})
+        trie.add(np.array(keys), np.full(len(keys), 2))
+        flat.update(dict.fromkeys(keys, 2))
+    assert trie.entries == len(flat) == sum(map(len, trie.tables)) and len(trie.tables) > 10
+    for start, stop, table in zip(trie.starts, trie.starts[1:] + [10**9], trie.tables):
+        assert all(start <= k >> 32 < stop for k in table)
+        assert len(table) <= 100 or len({k >> 32 for k in table}) == 1
+    some = dict(kv for keys, counts in trie.spilled(1000) for kv in zip(keys.tolist(), counts.tolist()))
+    assert 0 < trie.entries <= 1000
+    for keys, counts in trie.spilled(0):
+        assert (np.diff(keys) > 0).all()
+        some |= dict(zip(keys.tolist(), counts.tolist()))
+    assert some == flat and trie.entries == 0
 
 
 def test_collocations_match_sql(spark):
