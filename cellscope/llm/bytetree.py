@@ -6,8 +6,8 @@ depth are ranges, so the tree of a whole corpus is a sorted table of grams and
 their training counts, cut into ranges of about ``RANGE_GRAMS``. It grows with
 the corpus and is never gathered.
 
-1. Each step of a block's texts asks for its distinct grams (``requests``);
-   grams of texts that only are scored ask with count 0.
+1. Each block of texts asks for its distinct grams (``requests``), put together
+   from small steps; grams of texts that only are scored ask with count 0.
 2. Bottom-up: a range has the weights of all contexts that lie within it. Of the
    contexts that a cut runs through, at most ``2 * (DEPTH + 1)`` a range, it gives
    its share of the counts and weights; Spark adds the shares up by (context,
@@ -41,7 +41,7 @@ DEPTH = 7
 #: Asked grams of a range, about, and the share of grams that cuts are chosen from.
 RANGE_GRAMS, SAMPLED = 1 << 20, 1 << 16
 #: Bytes of a block's text whose grams are sorted at once.
-STEP = 4 << 20
+STEP = 1 << 20
 
 
 def pack(raws: list[bytes]) -> bytes:
@@ -104,6 +104,24 @@ def merged(found: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return g[first], np.add.reduceat(n, first) if len(g) else n
 
 
+class Merging:
+    """Distinct grams of many steps, of which as few are held as can be: sets
+    of about the same size are merged, as in a counter."""
+
+    def __init__(self):
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, grams: np.ndarray, counts: np.ndarray) -> None:
+        self.held.append((grams, counts))
+        while len(self.held) > 1 and 2 * len(self.held[-1][0]) > len(self.held[-2][0]):
+            self.held[-2:] = [merged(*zip(*self.held[-2:]))]
+
+    def all(self) -> tuple[np.ndarray, np.ndarray]:
+        while len(self.held) > 1:
+            self.held[-2:] = [merged(*zip(*self.held[-2:]))]
+        return self.held[0] if self.held else merged([], [])
+
+
 def log_gamma(x: np.ndarray) -> np.ndarray:
     """Of x >= 0.5, by Stirling's series after eight steps up."""
     steps = np.ones_like(x)
@@ -318,12 +336,12 @@ def scores(heads: DataFrame, trained_of, least_ranges: int, range_grams: int = R
         return unpack(row["packed"]), np.array(row["sizes"], np.int64), trained_of(row["doc_ids"])
 
     def steps(row: dict):
-        """Of each step of a block: its number, grams, and which are counted."""
+        """Of each step of a block: where it begins, grams, and which are counted."""
         data, sizes, trained = own(row)
-        starts, used = np.cumsum(sizes) - sizes, np.repeat(trained, sizes)
-        for number, a in enumerate(range(0, len(data), STEP)):
+        ends = np.cumsum(sizes)
+        for a in range(0, len(data), STEP):
             b = min(len(data), a + STEP)
-            yield number, grams(data, starts, a, b), used[a:b]
+            yield a, grams(data, ends - sizes, a, b), trained[np.searchsorted(ends, np.arange(a, b), "right")]
 
     def blocks(batches):
         for batch in batches:
@@ -336,22 +354,25 @@ def scores(heads: DataFrame, trained_of, least_ranges: int, range_grams: int = R
                 some = g[g * np.uint64(0x9E3779B97F4A7C15) < np.uint64(((1 << 64) - 1) // sampled)]
                 yield {"gram": np.unique(some).view(np.int64)}
 
-    sample = map_batches(heads, chosen, "gram long").toArrow().column("gram").to_numpy().view(np.uint64)
-    cuts = chosen_cuts(sample, float(len(sample)) * sampled, range_grams, least_ranges)
+    sample = stored(map_batches(heads, chosen, "gram long"), "sample")
+    grams_of = sample.toArrow().column("gram").to_numpy().view(np.uint64)
+    cuts = chosen_cuts(grams_of, float(len(grams_of)) * sampled, range_grams, least_ranges)
 
     def asked(batches):
         for row in blocks(batches):
-            for number, g, used in steps(row):
-                g, n = distinct(g, used)
-                ends = np.r_[0, np.searchsorted(g, cuts), len(g)]
-                which = np.flatnonzero(np.diff(ends))
-                for start in range(0, len(which), 64):
-                    some = which[start:start + 64]
-                    yield {"block": [row["block"]] * len(some), "step": [number] * len(some), "range": some,
-                           "grams": [squeeze_grams(g[ends[r]:ends[r + 1]]) for r in some],
-                           "counts": [squeeze(n[ends[r]:ends[r + 1]]) for r in some]}
-
-    requests = stored(map_batches(heads, asked, "block long, step int, range int, grams binary, counts binary"),
+            every = Merging()
+            for _, g, used in steps(row):
+                every.add(*distinct(g, used))
+            g, n = every.all()
+            ends = np.r_[0, np.searchsorted(g, cuts), len(g)]
+            which = np.flatnonzero(np.diff(ends))
+            for start in range(0, len(which), 64):
+                some = which[start:start + 64]
+                yield {"block": [row["block"]] * len(some), "range": some,
+                       "grams": [squeeze_grams(g[ends[r]:ends[r + 1]]) for r in some],
+                       "counts": [squeeze(n[ends[r]:ends[r + 1]]) for r in some]}
+
+    requests = stored(map_batches(heads, asked, "block long, range int, grams binary, counts binary"),
                       "requests")
 
     def gathered(rows: pa.Table) -> tuple[Range, list[np.ndarray]]:
@@ -372,13 +393,14 @@ def scores(heads: DataFrame, trained_of, least_ranges: int, range_grams: int = R
                            for c, f in zip(columns, list(part_arrow)[1:]))], schema=part_arrow)
 
     parts = stored(requests.groupBy("range").applyInArrow(upward, part_shape), "parts")
+    release(sample)
     nodes, keys = put_together(parts), ["depth", "context", "heap"]
     wanted = parts.select("range", *keys)
     # Contexts of at most one byte are in many ranges; they have at most 257 * 255 nodes.
     given = (wanted.where("depth <= 1").join(F.broadcast(nodes.where("depth <= 1")), keys)
              .unionByName(wanted.where("depth > 1").join(nodes.where("depth > 1"), keys)))
 
-    answer_shape = T.StructType.fromDDL("block long, step int, range int, lengths binary")
+    answer_shape = T.StructType.fromDDL("block long, range int, lengths binary")
     answer_arrow = to_arrow_schema(answer_shape)
 
     def downward(rows: pa.Table, shared: pa.Table) -> pa.Table:
@@ -394,8 +416,8 @@ def scores(heads: DataFrame, trained_of, least_ranges: int, range_grams: int = R
         piece, found = gathered(rows)
         values = piece.code_lengths(known).astype(np.float32)
         lengths = [squeeze(values[np.searchsorted(piece.levels[DEPTH].entries, g)].view(np.uint32)) for g in found]
-        return pa.table([rows.column("block"), rows.column("step"), rows.column("range"),
-                         pa.array(lengths, pa.binary())], schema=answer_arrow)
+        return pa.table([rows.column("block"), rows.column("range"), pa.array(lengths, pa.binary())],
+                        schema=answer_arrow)
 
     answers = (requests.groupBy("range").cogroup(given.groupBy("range")).applyInArrow(downward, answer_shape))
     shape = T.StructType.fromDDL("scored long, measures array<double>")
@@ -404,17 +426,18 @@ def scores(heads: DataFrame, trained_of, least_ranges: int, range_grams: int = R
     def summed(rows: pa.Table, found: pa.Table) -> pa.Table:
         blocks, sums = [], []
         for row in rows.to_pylist():  # one row per block
-            sizes = np.array(row["sizes"], np.int64)
-            text, out, at = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), np.zeros(len(sizes)), 0
-            for number, g, _ in steps(row):
-                mine = found.filter(pa.compute.equal(found.column("step"), number)).sort_by("range")
-                lengths = np.concatenate([unsqueeze(x).astype(np.uint32).view(np.float32)
-                                          for x in mine.column("lengths").to_pylist()])
-                order = np.argsort(g)
-                g = g[order]
-                which = np.cumsum(np.r_[False, g[1:] != g[:-1]])
-                out += np.bincount(text[at:at + len(g)][order], lengths[which], len(sizes))
-                at += len(g)
+            ends = np.cumsum(np.array(row["sizes"], np.int64))
+            out, every = np.zeros(len(ends)), Merging()
+            for _, g, used in steps(row):
+                every.add(*distinct(g, used))
+            every = every.all()[0]
+            lengths = np.concatenate([np.zeros(0, np.float32), *(
+                unsqueeze(x).astype(np.uint32).view(np.float32)
+                for x in found.sort_by("range").column("lengths").to_pylist())])
+            for a, g, _ in steps(row):
+                order = np.argsort(g)  # looked up in order, the table is read once
+                text = np.searchsorted(ends, np.arange(a, a + len(g)), "right")
+                out += np.bincount(text[order], lengths[np.searchsorted(every, g[order])], len(ends))
             blocks.append(row["block"])
             sums.append(out.tolist())
         return pa.table([pa.array(blocks, pa.int64()), pa.array(sums, pa.list_(pa.float64()))], schema=arrow)
