@@ -1,13 +1,15 @@
 """Line deduplication by a deletion-neighbourhood join.
 
-Two lines are alike if their words are equal, or if both have at least
-``edit_words`` words and one inserted, deleted or replaced word turns one into
-the other. All variants of a line with one word deleted are emitted as hashed
-keys and equal keys are joined; a key names the place of the deleted word, so
-that lines with the same key are within the bound. Candidates are verified on
-their words, and the earliest line stays.
-
-A line of n words has n variants, so lines without any partner leave first:
+Two lines are alike if their words are equal, or if one inserted, deleted or
+replaced unit turns one into the other. The units of a line are its words, if it
+has at least ``edit_units``, else its characters (words joined by a blank), if
+these are as many; lines with fewer characters are alike only if equal. So one
+unit in ten may differ, in a footer line as in a paragraph. All variants of a line
+with one unit deleted are emitted as hashed keys and equal keys are joined; a key
+names the place of the deleted unit, so that lines with the same key are within
+the bound. Candidates are verified on their units, and the earliest line stays.
+
+A line of n units has n variants, so lines without any partner leave first:
 variants with a whole half, then a whole eighth, deleted find the lines, and
 then the parts of them, in which another line differs.
 """
@@ -21,9 +23,8 @@ from pyspark.sql import functions as F
 from .common import (KEY, id_type, keyed, map_batches, release, rewritten, rows_with_keys, slices,
                      stored, with_row)
 
-#: Lines with fewer words are alike only if equal: one word of ten is a
-#: similarity of 0.9.
-EDIT_WORDS = 10
+#: Least units of a line of which one may differ: a similarity of 0.9.
+EDIT_UNITS = 10
 #: Parts of a line that are deleted whole, in the rounds before single words.
 HALVES, EIGHTHS = 2, 8
 
@@ -36,6 +37,17 @@ def words_of(line: bytes) -> list[bytes]:
     return line.split()
 
 
+def units_of(line: bytes, edit_units: int) -> list[bytes]:
+    """What may be edited: the words of a line, or the characters of one with
+    too few words; none of one with too few characters. A character is marked by
+    a tab, which no word holds, so the two kinds never meet."""
+    words = line.split()
+    if len(words) >= edit_units:
+        return words
+    characters = b" ".join(words).decode()
+    return [b"\t" + c.encode() for c in characters] if len(characters) >= edit_units else []
+
+
 def part_keys(words: list[bytes], parts: int) -> list[tuple[int, int]]:
     """(key, place) of the variants with one of ``parts`` parts deleted. Parts
     are laid out for ``m`` words, the shorter length of a pair: this line's own
@@ -90,7 +102,7 @@ def within_one(a: list[bytes], b: list[bytes]) -> bool:
     return max(len(a), len(b)) - same - tail <= 1
 
 
-def all_lines(docs: DataFrame, kind: str, edit_words: int) -> DataFrame:
+def all_lines(docs: DataFrame, kind: str, edit_units: int) -> DataFrame:
     """One row per line with words: its place, 128-bit hash, and the keys of
     the variants without a half."""
     def work(batches):
@@ -102,9 +114,9 @@ def all_lines(docs: DataFrame, kind: str, edit_words: int) -> DataFrame:
                     if not words:
                         continue
                     digest = xxhash.xxh3_128_intdigest(b" ".join(words))
+                    units = words if len(words) >= edit_units else units_of(line, edit_units)
                     for c, v in zip(out, (doc, k1, k2, number, signed(digest >> 64), signed(digest & (1 << 64) - 1),
-                                          [k for k, _ in part_keys(words, HALVES)]
-                                          if len(words) >= edit_words else None)):
+                                          [k for k, _ in part_keys(units, HALVES)] if units else None)):
                         out[c].append(v)
             yield out
 
@@ -136,9 +148,9 @@ def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return map_batches(joined, work, f"pos {place}, words binary").dropDuplicates(["pos"])
 
 
-def near_pairs(docs: DataFrame, distinct: DataFrame) -> DataFrame:
+def near_pairs(docs: DataFrame, distinct: DataFrame, edit_units: int) -> DataFrame:
     """(pos, earlier): first places of distinct lines that an earlier line is
-    within one word of."""
+    within one unit of."""
     place = distinct.schema["pos"].dataType.simpleString()
     halves = distinct.where("keys IS NOT NULL").select("pos", F.explode(F.array_distinct("keys")).alias("key"))
     wanted = shared_keys(halves).select("pos").distinct()
@@ -150,7 +162,7 @@ def near_pairs(docs: DataFrame, distinct: DataFrame) -> DataFrame:
                 some = batch.slice(start, 500)
                 places, keys, parts = [], [], []
                 for pos, words in zip(some.column("pos").to_pylist(), some.column("words").to_pylist()):
-                    for key, part in part_keys(words_of(words), EIGHTHS):
+                    for key, part in part_keys(units_of(words, edit_units), EIGHTHS):
                         places.append(pos), keys.append(key), parts.append(part)
                 yield {"pos": places, "key": keys, "part": parts}
 
@@ -163,7 +175,7 @@ def near_pairs(docs: DataFrame, distinct: DataFrame) -> DataFrame:
                 some = batch.slice(start, 500)
                 places, keys, kinds = [], [], []
                 for pos, words, parts in zip(*(some.column(c).to_pylist() for c in ("pos", "words", "parts"))):
-                    for key, kind in word_keys(words_of(words), parts, EIGHTHS):
+                    for key, kind in word_keys(units_of(words, edit_units), parts, EIGHTHS):
                         places.append(pos), keys.append(key), kinds.append(kind)
                 yield {"pos": places, "key": keys, "kind": kinds}
 
@@ -181,7 +193,7 @@ def near_pairs(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     def verify(batches):
         import pyarrow as pa
         for batch in batches:
-            good = [within_one(words_of(a), words_of(b)) for a, b in zip(
+            good = [within_one(units_of(a, edit_units), units_of(b, edit_units)) for a, b in zip(
                 batch.column("words").to_pylist(), batch.column("earlier_words").to_pylist())]
             yield dict(zip(("pos", "earlier"), (batch.column(c).filter(pa.array(good, pa.bool_()))
                                                 for c in ("pos", "earlier"))))
@@ -191,16 +203,16 @@ def near_pairs(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     return out
 
 
-def removed_lines(df: DataFrame, edit_words: int, id_col: str, text_col: str) -> DataFrame:
+def removed_lines(df: DataFrame, edit_units: int, id_col: str, text_col: str) -> DataFrame:
     """(k1, k2, lines): numbers of the lines that an earlier line is alike."""
     docs = keyed(df, id_col, text_col)
-    lines = stored(all_lines(docs, id_type(df, id_col), edit_words), "all-lines")
+    lines = stored(all_lines(docs, id_type(df, id_col), edit_units), "all-lines")
     distinct = stored(lines.groupBy("h1", "h2").agg(
         F.min(F.struct("doc_id", "k1", "k2", "line")).alias("pos"), F.first("keys").alias("keys"),
         F.count("*").alias("n")), "distinct-lines")
     copies = (lines.join(distinct.where("n > 1").select("h1", "h2", "pos"), ["h1", "h2"])
               .where("k1 <> pos.k1 OR k2 <> pos.k2 OR line <> pos.line").select("k1", "k2", "line"))
-    near = near_pairs(docs, distinct).select("pos.k1", "pos.k2", "pos.line")
+    near = near_pairs(docs, distinct, edit_units).select("pos.k1", "pos.k2", "pos.line")
     gone = stored(copies.unionByName(near), "gone-lines")
     release(lines, distinct)
     # A document's own line numbers: bounded by its length.
@@ -222,7 +234,7 @@ def cut_lines(rows: DataFrame, gone: DataFrame, df: DataFrame) -> DataFrame:
                        with_row(df, "new_text string, n_lines long, n_removed long"))
 
 
-def line_dedup(df: DataFrame, edit_words: int = EDIT_WORDS, id_col: str = "doc_id",
+def line_dedup(df: DataFrame, edit_units: int = EDIT_UNITS, id_col: str = "doc_id",
                text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_lines, n_removed, kept (text).
 
@@ -231,16 +243,17 @@ def line_dedup(df: DataFrame, edit_words: int = EDIT_WORDS, id_col: str = "doc_i
     not that one is removed itself. Lines without words stay. Null text counts
     as empty (no lines). Null ids come first; rows with the same id are ordered
     by a hash of their text; identical rows count as one and lose the same
-    lines. Other columns are not read.
+    lines. A text without a line break is one line, alike another within one
+    word, however long it is. Other columns are not read.
     """
     base = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    made = cut_lines(rows_with_keys(base, "doc_id", "text"), removed_lines(df, edit_words, id_col, text_col), base)
+    made = cut_lines(rows_with_keys(base, "doc_id", "text"), removed_lines(df, edit_units, id_col, text_col), base)
     return made.select("row.doc_id", "n_lines", "n_removed", F.col("new_text").alias("kept"))
 
 
-def without_duplicate_lines(df: DataFrame, edit_words: int = EDIT_WORDS, id_col: str = "doc_id",
+def without_duplicate_lines(df: DataFrame, edit_units: int = EDIT_UNITS, id_col: str = "doc_id",
                             text_col: str = "text") -> DataFrame:
     """The rows of ``df``, all columns, with the lines cut out of the text. A
     document that loses every line stays, with an empty text."""
-    made = cut_lines(rows_with_keys(df, id_col, text_col), removed_lines(df, edit_words, id_col, text_col), df)
+    made = cut_lines(rows_with_keys(df, id_col, text_col), removed_lines(df, edit_units, id_col, text_col), df)
     return rewritten(df, made, text_col)

@@ -44,6 +44,19 @@ def brute_repeats(texts, length):
     return out
 
 
+def test_shorter_passages_are_reported_and_stay(spark):
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared = [word(n) for n in (30, 59, 60, 61, 90, 150)]
+    texts = [word(50) + rng.choice(shared) + word(rng.randint(0, 40)) + rng.choice(shared) for _ in range(40)]
+    texts += [None, "", word(200), texts[3], texts[3]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in repeats.remove_repeats(df, length=60, passage=25).collect()}
+    for i, (long, short) in enumerate(zip(brute_repeats(texts, 60), brute_repeats(texts, 25))):
+        r = got[i]
+        assert (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept), r.n_passage) == (*long, short[1])
+
+
 @pytest.mark.parametrize("length,alphabet", [(16, "ab é"), (50, "abcdefgh é"), (40, "ab")])
 def test_repeats_equal_brute_force(spark, length, alphabet):
     rng = random.Random(length)
@@ -92,18 +105,18 @@ def test_repeats_on_odd_rows(frame):
         repeats.remove_repeats(empty, 8)
 
 
-def brute_long(rows):
+def brute_long(rows, length=400):
     """The edge rows have one text that repeats within itself: a brute force
     by hashes instead of strings."""
     raws = [(t or "").encode() for _, t in rows]
-    seen = Counter(hash(r[i:i + 400]) for r in raws for i in range(len(r) - 399))
+    seen = Counter(hash(r[i:i + length]) for r in raws for i in range(len(r) - length + 1))
     out = []
     for r in raws:
         cover = np.zeros(len(r) + 1, np.int64)
-        for i in range(len(r) - 399):
-            if seen[hash(r[i:i + 400])] > 1:
+        for i in range(len(r) - length + 1):
+            if seen[hash(r[i:i + length])] > 1:
                 cover[i] += 1
-                cover[i + 400] -= 1
+                cover[i + length] -= 1
         cover = np.cumsum(cover)[:len(r)] > 0
         spans = int((np.diff(np.r_[0, cover.astype(int)]) == 1).sum())
         out.append((len(r), int(cover.sum()), spans, np.frombuffer(r, np.uint8)[~cover].tobytes()))
@@ -366,19 +379,42 @@ def word_distance(a, b):
     return last[-1]
 
 
-def brute_lines(docs, edit_words):
+def lines_alike(w, v, units):
+    """Equal words; or of enough words, or else of enough characters, one is
+    inserted, deleted or replaced."""
+    if w == v:
+        return True
+    if min(len(w), len(v)) >= units:
+        return abs(len(w) - len(v)) <= 1 and word_distance(w, v) <= 1
+    if max(len(w), len(v)) >= units:
+        return False
+    x, y = (b" ".join(line).decode() for line in (w, v))
+    return min(len(x), len(y)) >= units and abs(len(x) - len(y)) <= 1 and word_distance(x, y) <= 1
+
+
+def brute_lines(docs, units):
     found = [(i, n, line.encode().split()) for i, t in docs for n, line in enumerate((t or "").split("\n"))]
     found, gone = [x for x in found if x[2]], set()
     for at, (i, n, w) in enumerate(found):
-        if any(w == v or min(len(w), len(v)) >= edit_words and abs(len(w) - len(v)) <= 1
-               and word_distance(w, v) <= 1 for _, _, v in found[:at]):
+        if any(lines_alike(w, v, units) for _, _, v in found[:at]):
             gone.add((i, n))
     return {i: "\n".join(x for n, x in enumerate((t or "").split("\n")) if (i, n) not in gone) for i, t in docs}
 
 
-@pytest.mark.parametrize("edit_words", [4, 10])
-def test_lines_equal_brute_force(spark, edit_words):
-    rng = random.Random(edit_words)
+@pytest.mark.parametrize("a,b,alike", [
+    ("Copyright 2021 Foo", "Copyright 2022 Foo", True), ("All rights reserved", "All rights reserved.", True),
+    ("All rights reserved", "All rightsreserved", True), ("Überschrift zwei", "Überschrift drei", False),
+    ("Überschriften", "Uberschriften", True), ("page 1", "page 2", False), ("a b c d e", "a b c d f", False),
+    ("next page x", "last page x", False)])
+def test_short_lines_differ_by_a_character(spark, a, b, alike):
+    df = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")
+    got = {r.doc_id: r.kept for r in lines.line_dedup(df).collect()}
+    assert got == {1: a, 2: "" if alike else b} == brute_lines([(1, a), (2, b)], 10)
+
+
+@pytest.mark.parametrize("units", [4, 10])
+def test_lines_equal_brute_force(spark, units):
+    rng = random.Random(units)
     few = "a b c d e".split()
 
     def line():
@@ -401,8 +437,8 @@ def test_lines_equal_brute_force(spark, edit_words):
         (i, "\n".join(edited(rng.choice(pool)) if rng.random() < .7 else " ".join(line())
                       for _ in range(rng.randint(1, 8)))) for i in range(3, 90)]
     df = spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, line int")
-    got = {r.doc_id: r.kept for r in lines.line_dedup(df, edit_words=edit_words).collect()}
-    assert got == brute_lines(docs, edit_words)
+    got = {r.doc_id: r.kept for r in lines.line_dedup(df, edit_units=units).collect()}
+    assert got == brute_lines(docs, units)
 
 
 def test_within_one_word():

@@ -1,5 +1,6 @@
 """The pipeline's stages against brute force, each on its own input."""
 
+import random
 import subprocess
 import sys
 from collections import Counter, defaultdict
@@ -9,9 +10,9 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from cellscope.llm import lines, quality
+from cellscope.llm import quality
 from llm_cases import EDGE_ROWS, SF
-from test_corpus_operators import JSON, brute_components, brute_fingerprint, brute_long
+from test_corpus_operators import JSON, brute_components, brute_fingerprint, brute_long, lines_alike
 
 ROOT = Path(__file__).resolve().parents[2]
 COLUMNS = list(corpus_pipeline.COLUMNS)
@@ -59,14 +60,14 @@ def test_line_stage(stages):
         left = []
         for line in r.text.split("\n"):
             words = tuple(line.encode().split())
-            alike = words in seen or len(words) >= lines.EDIT_WORDS and any(
-                lines.within_one(list(words), list(v)) for n in (-1, 0, 1) for v in by_size[len(words) + n]
-                if len(v) >= lines.EDIT_WORDS)
+            size = len(words) if len(words) >= 10 else -len(b" ".join(words).decode()) - 10
+            alike = words in seen or any(lines_alike(list(words), list(v), 10)
+                                         for n in (-1, 0, 1) for v in by_size[size + n])
             if not words or not alike:
                 left.append(line)
             if words and words not in seen:
                 seen.add(words)
-                by_size[len(words)].append(words)
+                by_size[size].append(words)
         want[r.doc_id] = "\n".join(left)
     got = by_id(after)
     assert {i: r.text for i, r in got.items()} == want
@@ -83,10 +84,29 @@ def test_simhash_stage(stages):
 
 def test_repeats_stage(stages):
     before, after, _ = stages["repeated_passages"]
-    want = {r.doc_id: w[3].decode(errors="ignore") for r, w in zip(before, brute_long([(r.doc_id, r.text) for r in before]))}
+    brute = brute_long([(r.doc_id, r.text) for r in before], corpus_pipeline.PASSAGE)
+    want = {r.doc_id: w[3].decode(errors="ignore") for r, w in zip(before, brute)}
+    want = {r.doc_id: want[r.doc_id] for r in before if want[r.doc_id].split() or not r.text.split()}
     assert {i: r.text for i, r in by_id(after).items()} == want
 
 
+def test_passages_of_fifty_words_go_and_other_words_stay(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(3, 7)))
+    passages = [" ".join(word() for _ in range(n)) for n in (51, 55, 60)]
+    own = {i: [" ".join(word() for _ in range(40)) for _ in (1, 2)] for i in range(12)}
+    rows = [(i, f"{a} {passages[i % 3]} {b}" if i < 9 else f"{a} {b}") for i, (a, b) in own.items()]
+    rows += [(20, passages[0]), (21, ""), (22, None), (23, "  ")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r for r in corpus_pipeline.repeated_passages(spark, docs, SF).collect()}
+    assert set(got) == {i for i, _ in rows} - {20}  # of 20 no word is left
+    for i, (a, b) in own.items():
+        assert not any(p in got[i].text for p in passages) and a in got[i].text and b in got[i].text
+        assert got[i].n_chars == len(got[i].text)
+    assert (got[21].text, got[22].text, got[23].text) == ("", None, "  ")
+
+
 def test_packing_stage(stages):
     before, after, columns = stages["packing"]
     assert {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"} <= set(columns)
