@@ -148,7 +148,9 @@ def train(x: np.ndarray, y: np.ndarray, held: np.ndarray, ridge: float = 1e-4, s
 def fit(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_id: str, label_col: str,
         fit_rows: int = FIT_ROWS) -> Classifier | None:
     """The classifier, or None when a label has no rows. At most
-    ``2 * fit_rows`` ids are broadcast and as many feature rows collected."""
+    ``2 * fit_rows`` ids are broadcast and as many feature rows collected: of
+    several rows with one id the text of least hash is fitted, however many they
+    are."""
     chosen = None
     known = (labels.select(F.col(label_id).alias("label_id"), F.col(label_col).cast("int").alias("label"))
              .where("label_id IS NOT NULL AND label IN (0, 1)").groupBy("label_id").agg(F.max("label").alias("label")))
@@ -156,8 +158,11 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_id:
         some = known.where(F.col("label") == label).orderBy(F.xxhash64("label_id"), "label_id").limit(fit_rows)
         chosen = some if chosen is None else chosen.unionAll(some)
     texts = two_columns(df, id_col, text_col)
-    rows = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select(
-        "label", (F.pmod(F.xxhash64(F.lit("fold"), "label_id"), F.lit(HOLD_OUT)) == 0).alias("held"), "text")
+    least = F.min(F.struct(F.xxhash64("text").alias("hash"), "text"))  # merges before it is shuffled
+    rows = (texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
+            .groupBy("label_id", "label").agg(least.alias("least")).select(
+                "label", (F.pmod(F.xxhash64(F.lit("fold"), "label_id"), F.lit(HOLD_OUT)) == 0).alias("held"),
+                F.col("least.text").alias("text")))
 
     def vectors(batches):
         buckets = WordBuckets()
