@@ -23,8 +23,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = repeats.remove_repeats(table(spark, sf_dir, "documents"), length=400)
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents"), length=400, passage=250)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"),
+                        "n_passage")
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,30 +89,35 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op7_simhash, op8_line_dedup, op9_token_counts, op10_exact_dedup, op11_jaccard_join, op12_whitening, op13_collocations)}
 
 ORACLE_SQL: dict[str, str] = {
-    # Every byte position's string, in hexadecimal digits, by its hash.
+    # Every byte position's string, in hexadecimal digits, by its hash; first the
+    # 400-byte strings, then what 250-byte strings cover.
     "op1_suffix_array_dedup": """
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
 ), g AS (
-  SELECT r, p, md5(substr(h, 2 * p + 1, 800)) AS m
-  FROM (SELECT r, h, unnest(range(0, greatest(length(h) // 2 - 399, 0))) AS p FROM d)
+  SELECT len, r, p, md5(substr(h, 2 * p + 1, 2 * len)) AS m
+  FROM (SELECT len, r, h, unnest(range(0, greatest(length(h) // 2 - len + 1, 0))) AS p
+        FROM d, (SELECT unnest([400, 250]) AS len))
 ), repeated AS (
-  SELECT r, p FROM (SELECT r, p, count(*) OVER (PARTITION BY m) AS n FROM g) WHERE n > 1
+  SELECT len, r, p FROM (SELECT len, r, p, count(*) OVER (PARTITION BY len, m) AS n FROM g) WHERE n > 1
 ), opened AS (
-  SELECT r, p, CASE WHEN p - lag(p) OVER (PARTITION BY r ORDER BY p) <= 400 THEN 0 ELSE 1 END AS o FROM repeated
+  SELECT len, r, p, CASE WHEN p - lag(p) OVER (PARTITION BY len, r ORDER BY p) <= len THEN 0 ELSE 1 END AS o
+  FROM repeated
 ), spans AS (
-  SELECT r, s, min(p) AS a, max(p) + 400 AS b
-  FROM (SELECT r, p, sum(o) OVER (PARTITION BY r ORDER BY p) AS s FROM opened) GROUP BY r, s
+  SELECT len, r, s, min(p) AS a, max(p) + len AS b
+  FROM (SELECT len, r, p, sum(o) OVER (PARTITION BY len, r ORDER BY p) AS s FROM opened) GROUP BY len, r, s
+), passages AS (
+  SELECT r, CAST(sum(b - a) AS BIGINT) AS n_passage FROM spans WHERE len = 250 GROUP BY r
 ), kept AS (
   SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last,
          string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head
   FROM (SELECT spans.*, d.h, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS before
-        FROM spans JOIN d USING (r)) GROUP BY r
+        FROM spans JOIN d USING (r) WHERE len = 400) GROUP BY r
 )
 SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
-       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, coalesce(n_passage, 0) AS n_passage,
        sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
-FROM d LEFT JOIN kept USING (r)""",
+FROM d LEFT JOIN kept USING (r) LEFT JOIN passages USING (r)""",
     "op10_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256

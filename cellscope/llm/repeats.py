@@ -300,20 +300,47 @@ def cut_out(raw: bytes, ranges: list[tuple[int, int]], length: int) -> tuple[lis
     return [tuple(r) for r in runs], b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2]))
 
 
-def with_ranges(df: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
-    """The rows of ``df`` as struct ``row``, with text and repeated ranges."""
+def grouped(ranges: DataFrame, name: str = "ranges") -> DataFrame:
+    """(k1, k2, ranges) of the texts that have any."""
+    return ranges.groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "last")).alias(name))
+
+
+def checked(length: int) -> int:
     if length < 16:
         raise ValueError("repeated strings have at least 16 bytes")
-    ranges = repeated_ranges(keyed(df, id_col, text_col), length)
-    grouped = ranges.groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
-    rows = rows_with_keys(df, id_col, text_col)
-    return rows.join(grouped, ["k1", "k2"], "left")
+    return length
+
+
+def with_ranges(df: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
+    """The rows of ``df`` as struct ``row``, with text and repeated ranges."""
+    ranges = repeated_ranges(keyed(df, id_col, text_col), checked(length))
+    return rows_with_keys(df, id_col, text_col).join(grouped(ranges), ["k1", "k2"], "left")
+
 
+def passages(docs: DataFrame, length: int) -> DataFrame:
+    """(k1, k2, n_passage, longest): bytes that ``length``-byte strings which
+    start elsewhere too cover in a text, and in its longest run of them."""
+    def work(batches):
+        for batch in batches:
+            runs = [cut_out(b"", [(r["first"], r["last"]) for r in ranges], length)[0]
+                    for ranges in batch.column("ranges").to_pylist()]
+            yield {"k1": batch.column("k1"), "k2": batch.column("k2"),
+                   "n_passage": [sum(b - a for a, b in own) for own in runs],
+                   "longest": [max(b - a for a, b in own) for own in runs]}
 
-def remove_repeats(df: DataFrame, length: int = 400, id_col: str = "doc_id",
+    return stored(map_batches(grouped(repeated_ranges(docs, checked(length))), work,
+                              f"{KEY}, n_passage long, longest long"), "passages")
+
+
+def remove_repeats(df: DataFrame, length: int = 400, passage: int = 250, id_col: str = "doc_id",
                    text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, spans
-    (array of start, end), kept (bytes).
+    (array of start, end), kept (bytes), n_passage.
+
+    ``n_passage`` counts the bytes that shorter repeated strings, of ``passage``
+    bytes (about 50 words), cover; these are only reported, not removed. A string
+    of ``length`` bytes repeats only where its shorter ones do, so the long ones
+    are looked for in the texts that have a long enough run of short ones.
 
     Every byte covered by a ``length``-byte string of the same or another text
     that also starts elsewhere is removed; strings are judged on the input.
@@ -322,8 +349,14 @@ def remove_repeats(df: DataFrame, length: int = 400, id_col: str = "doc_id",
     enough. Null ids give a row each; other columns are not read.
     """
     kind = df.schema[id_col].dataType.simpleString()
-    rows = with_ranges(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")),
-                       "doc_id", "text", length).select(F.col("row.doc_id").alias("doc_id"), "text", "ranges")
+    base = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    docs = keyed(base, "doc_id", "text")
+    short = passages(docs, min(passage, length))
+    long = docs.join(short.where(F.col("longest") >= length).select("k1", "k2"), ["k1", "k2"], "left_semi")
+    found = short.select("k1", "k2", "n_passage").join(
+        grouped(repeated_ranges(long, checked(length))), ["k1", "k2"], "left")
+    rows = (rows_with_keys(base, "doc_id", "text").join(found, ["k1", "k2"], "left")
+            .select(F.col("row.doc_id").alias("doc_id"), "text", "ranges", "n_passage"))
 
     def work(batches):
         for batch in slices(batches, max_rows=500):
@@ -334,10 +367,11 @@ def remove_repeats(df: DataFrame, length: int = 400, id_col: str = "doc_id",
                    "n_removed": [len(r) - len(kept) for r, (_, kept) in zip(raws, cuts)],
                    "n_spans": [len(runs) for runs, _ in cuts],
                    "spans": [[{"start": a, "end": b} for a, b in runs] for runs, _ in cuts],
-                   "kept": [kept for _, kept in cuts]}
+                   "kept": [kept for _, kept in cuts],
+                   "n_passage": [n or 0 for n in batch.column("n_passage").to_pylist()]}
 
     return map_batches(rows, work, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, "
-                                   "spans array<struct<start:long,end:long>>, kept binary")
+                                   "spans array<struct<start:long,end:long>>, kept binary, n_passage long")
 
 
 def without_repeats(df: DataFrame, length: int = 400, id_col: str = "doc_id",
