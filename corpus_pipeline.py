@@ -10,7 +10,7 @@ out by every stage.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellscope.llm import lines, packing, quality, repeats, simhash
@@ -19,9 +19,14 @@ from cellscope.llm.common import stored
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def recounted(docs: DataFrame) -> DataFrame:
-    """The columns of ``documents``, n_chars after a stage that changed texts."""
-    return docs.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+def recounted(docs: DataFrame, *more: str) -> DataFrame:
+    """The columns of ``documents``, n_chars after a stage that changed texts,
+    and ``more``."""
+    return docs.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS, *more)
+
+
+def has_words() -> Column:
+    return F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,9 +45,17 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return simhash.one_of_each(docs.select(*COLUMNS), shingle=3, distance=2)
 
 
+#: Bytes of a repeated passage: about 50 words.
+PASSAGE = 250
+
+
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the 400-byte strings that occur elsewhere too."""
-    return recounted(repeats.without_repeats(docs.select(*COLUMNS), length=400))
+    """The documents without the passages of about 50 words or more that occur
+    elsewhere too. A document goes if this takes its last word; one that has
+    words left, or lost none, stays."""
+    had_words = docs.select(*COLUMNS, has_words().alias("had_words"))
+    cut = recounted(repeats.without_repeats(had_words, length=PASSAGE), "had_words")
+    return cut.where(~F.col("had_words") | has_words()).select(*COLUMNS)
 
 
 def harmonic_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
