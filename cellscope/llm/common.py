@@ -67,16 +67,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(*tables: DataFrame) -> None:
-    """Delete stored tables that nothing reads any more, and let Spark clear
-    the shuffle files of jobs that are over (it does so after a collection of
-    the driver's garbage)."""
+    """Delete stored tables that nothing reads any more, and the shuffle files
+    of jobs that are over."""
     for df in tables:
         context = df.sparkSession.sparkContext
         for name in df.inputFiles()[:1]:
             folder = context._jvm.org.apache.hadoop.fs.Path(name).getParent()
             folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
     for df in tables[:1]:
-        df.sparkSession.sparkContext._jvm.System.gc()
+        sweep(df.sparkSession)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of jobs that are over. It does so
+    after a collection of the driver's garbage, by default every half hour, in
+    which a chain of jobs would fill the disks."""
+    spark.sparkContext._jvm.System.gc()
 
 
 def clear(spark: SparkSession) -> None:

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import id_type, map_batches, partition_number, release, ship, slices, stored, two_columns
+from .common import id_type, map_batches, partition_number, release, ship, slices, stored, sweep, two_columns
 from .components import components
 from .simhash import Forest
 
@@ -235,8 +235,10 @@ def candidates(table: DataFrame, size: int, percent: int) -> DataFrame:
                     out[c].append(v)
         return pa.table([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
+    answers = stored(counted(table), "shingle-counts")
+    sweep(table.sparkSession)  # the shuffled shingles are the most that lies on disk
     heads = table.where("range IS NULL").select("block", "lengths", "packed")
-    found = heads.groupBy("block").cogroup(counted(table).groupBy("block")).applyInArrow(work, shape)
+    found = heads.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(work, shape)
     distinct = found.groupBy("k1", "k2").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"),
                                              F.first("df").alias("df"), F.first("bits").alias("bits"))
     return stored(distinct.withColumn("node", F.monotonically_increasing_id()), "sets")

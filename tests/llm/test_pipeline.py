@@ -94,7 +94,9 @@ def test_passages_of_fifty_words_go_and_other_words_stay(spark):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(3, 7)))
     passages = [" ".join(word() for _ in range(n)) for n in (51, 55, 60)]
-    own = {i: [" ".join(word() for _ in range(40)) for _ in (1, 2)] for i in range(12)}
+    # Around a passage every text goes on with a letter of its own.
+    own = {i: [f"{' '.join(word() for _ in range(40))} {chr(65 + i)}",
+               f"{chr(65 + i)} {' '.join(word() for _ in range(40))}"] for i in range(12)}
     rows = [(i, f"{a} {passages[i % 3]} {b}" if i < 9 else f"{a} {b}") for i, (a, b) in own.items()]
     rows += [(20, passages[0]), (21, ""), (22, None), (23, "  ")]
     docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows],
