@@ -146,8 +146,9 @@ def url_filter(df: DataFrame, rules: Iterable[tuple[str, str]], id_col: str = "p
 
     ``rules`` are (rule, 'allow' or 'block') with a rule like ``net/``. The
     models learn from the URLs that rules decide. Null and empty URLs have
-    empty host and path and score 0; with no labelled URLs of either kind every
-    score and the threshold are 0, which allows. Repeated rows and null ids give
+    empty host and path; their score is that of the end symbol, which both models
+    have learned after the URLs' last characters. With no labelled URLs of either
+    kind every score and the threshold are 0, which allows. Repeated rows and null ids give
     a row each; other columns are not read.
     """
     host, path = host_and_path(F.col("url"))

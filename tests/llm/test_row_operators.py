@@ -12,6 +12,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from cellscope.llm import bpe, packing, quality, queries, tokens, urls
@@ -234,6 +235,19 @@ def test_quality_statistics_and_held_out_accuracy(spark, documents):
     assert total and right / total >= 0.9
 
 
+def test_a_hot_labelled_id_is_fitted_once(spark, documents):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    hot = labels.where("quality = 0").orderBy("doc_id").first().doc_id
+    rows = documents.select("doc_id", "text")
+    # A third of all rows have one id, with many texts; that of least hash is fitted.
+    copies = spark.range(100).selectExpr(f"{hot}L AS doc_id", "concat('copy number ', id, repeat(' and more', 60)) AS text")
+    many = rows.unionByName(copies)
+    first = many.where(f"doc_id = {hot}").orderBy(F.xxhash64("text")).limit(1)
+    one = rows.where(f"doc_id <> {hot}").unionByName(first)
+    a, b = (quality.fit(df, labels, "doc_id", "text", "doc_id", "quality") for df in (many, one))
+    assert np.array_equal(a.weights, b.weights) and (a.bias, a.slope, a.shift) == (b.bias, b.slope, b.shift)
+
+
 def test_quality_on_odd_rows(spark, frame):
     df = frame(EDGE_ROWS + [(9, "a b c a b c\na b c a b c\n\n")])
     labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (2, None)], "doc_id long, quality int")
