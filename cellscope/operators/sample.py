@@ -68,10 +68,10 @@ def _is_sampled(users: DataFrame, n: int, seed: int | str) -> Column:
                 .otherwise(F.struct(with_it.alias("before"), F.lit(None).cast("string").alias("bucket"))))
 
     at = F.aggregate(F.sort_array(F.collect_list(F.struct("bucket", "size"))), nothing, pass_bucket)
-    boundary = sizes.agg(at.alias("at"))
-    inside = keyed.filter(bucket == boundary.select("at.bucket").scalar())
+    boundary = sizes.agg(at.alias("at")).scalar()
+    inside = keyed.filter(bucket == boundary["bucket"])
     in_order = F.sort_array(F.collect_list(F.struct("_key", S.SUBSCRIBER_ID)))
-    nth = F.lit(n) - boundary.select("at.before").scalar()
+    nth = F.lit(n) - boundary["before"]
     last = inside.agg(in_order.alias("keys")).select(F.get("keys", (nth - 1).cast("int"))).scalar()
     own = F.struct(sampling_key(seed).alias("_key"), F.col(S.SUBSCRIBER_ID))
     return F.col(S.SUBSCRIBER_ID).isNotNull() & F.coalesce(own <= last, F.lit(True))
