@@ -125,7 +125,7 @@ def test_bitmaps_bound_the_difference():
     for own in list(sets):
         sets.append(np.unique(np.concatenate([own[rng.random(len(own)) < .8], own[:20] + np.uint64(1)])))
     bitmaps = jaccard.Bitmaps([jaccard.bitmap(s) for s in sets])
-    assert len(bitmaps.tables) == 3
+    assert len(bitmaps.tables) > 2
     for i, a in enumerate(sets):
         differing = bitmaps.apart(i)
         for j, b in enumerate(sets):
