@@ -6,12 +6,14 @@ depth are ranges, so the tree of a whole corpus is a sorted table of grams and
 their training counts, cut into ranges of about ``RANGE_GRAMS``. It grows with
 the corpus and is never gathered.
 
-1. Each block of texts asks for its distinct grams (``requests``), put together
-   from small steps; grams of texts that only are scored ask with count 0.
-2. Bottom-up: a range has the weights of all contexts that lie within it. Of the
-   contexts that a cut runs through, at most ``2 * (DEPTH + 1)`` a range, it gives
-   its share of the counts and weights; Spark adds the shares up by (context,
-   node), one depth after the other (``put_together``).
+1. Each block of texts asks for its distinct grams, sorted in runs; grams of
+   texts that only are scored ask with count 0.
+2. Bottom-up: a range puts the requests together once and is stored as one row:
+   its distinct grams, their counts, and which of them each block asked for. It
+   has the weights of all contexts that lie within it. Of the contexts that a cut
+   runs through, at most ``2 * (DEPTH + 1)`` a range, it gives its share of the
+   counts and weights; Spark adds the shares up by (context, node), one depth
+   after the other (``put_together``).
 3. Top-down: a range gets the nodes of its cut contexts back by a join, mixes
    all depths and answers every request with the gram's code length; the block
    sums them per text.
@@ -40,12 +42,13 @@ from .terms import squeeze, unsqueeze
 DEPTH = 7
 #: Asked grams of a range, about, and the share of grams that cuts are chosen from.
 RANGE_GRAMS, SAMPLED = 1 << 20, 1 << 16
-#: Bytes of a block's text whose grams are sorted at once.
-STEP = 1 << 20
+#: Bytes of a block's text whose grams are looked up at once, and of those that
+#: are sorted at once (in place: eight bytes each).
+STEP, RUN = 1 << 20, 12 << 20
 
 
 def pack(raws: list[bytes]) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(raws))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(raws))
 
 
 def unpack(packed: bytes) -> np.ndarray:
@@ -62,6 +65,17 @@ def unsqueeze_grams(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
+def squeeze_counts(counts: np.ndarray) -> bytes:
+    """Sums of many blocks may pass 32 bits."""
+    planes = counts.astype("<i8").view(np.uint8).reshape(-1, 8).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unsqueeze_counts(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<i8").ravel()
+
+
 def grams(data: np.ndarray, starts: np.ndarray, a: int, b: int) -> np.ndarray:
     """Of the bytes a to b; what lies before a text (``starts``) is byte 0."""
     before = min(a, DEPTH)
@@ -83,16 +97,25 @@ def firsts(ordered: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.zeros(0, np.int64)
 
 
-def distinct(found: np.ndarray, trained: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct grams in order and how often training texts have them."""
-    some = np.sort(found[trained])
-    first = firsts(some)
-    n, some = np.diff(np.append(first, len(some))), some[first]
-    every = np.sort(np.concatenate([some, found[~trained]]))
-    every = every[firsts(every)]
-    counts = np.zeros(len(every), np.int64)
-    counts[np.searchsorted(every, some)] = n
-    return every, counts
+def texts_of(ends: np.ndarray, a: int, b: int) -> np.ndarray:
+    """Of the bytes a to b: the number of the text that each is in."""
+    first, last = np.searchsorted(ends, (a, b - 1), "right")
+    return np.repeat(np.arange(first, last + 1), np.diff(np.r_[a, ends[first:last], b]))
+
+
+def distinct(counted: np.ndarray, scored: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams of both in order and how often ``counted`` has them. The
+    arrays are sorted in place."""
+    counted.sort()
+    first = firsts(counted)
+    n, some = np.diff(np.append(first, len(counted))), counted[first]
+    scored.sort()
+    more = scored[firsts(scored)]
+    at = np.searchsorted(some, more)
+    new = np.ones(len(more), bool)
+    inside = at < len(some)
+    new[inside] = some[at[inside]] != more[inside]
+    return np.insert(some, at[new], more[new]), np.insert(n, at[new], 0)
 
 
 def merged(found: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -104,22 +127,30 @@ def merged(found: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return g[first], np.add.reduceat(n, first) if len(g) else n
 
 
+def united(found: list[np.ndarray]) -> tuple[np.ndarray]:
+    """``merged`` without counts."""
+    g = np.concatenate([np.zeros(0, np.uint64), *found])
+    g.sort()
+    return g[firsts(g)],
+
+
 class Merging:
-    """Distinct grams of many steps, of which as few are held as can be: sets
-    of about the same size are merged, as in a counter."""
+    """Distinct grams of many runs (put together by ``merged`` or ``united``), of
+    which as few are held as can be: sets of about the same size are merged, as
+    in a counter."""
 
-    def __init__(self):
-        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+    def __init__(self, merge=merged):
+        self.merge, self.held = merge, []
 
-    def add(self, grams: np.ndarray, counts: np.ndarray) -> None:
-        self.held.append((grams, counts))
+    def add(self, *found: np.ndarray) -> None:
+        self.held.append(found)
         while len(self.held) > 1 and 2 * len(self.held[-1][0]) > len(self.held[-2][0]):
-            self.held[-2:] = [merged(*zip(*self.held[-2:]))]
+            self.held[-2:] = [self.merge(*zip(*self.held[-2:]))]
 
-    def all(self) -> tuple[np.ndarray, np.ndarray]:
+    def all(self) -> tuple[np.ndarray, ...]:
         while len(self.held) > 1:
-            self.held[-2:] = [merged(*zip(*self.held[-2:]))]
-        return self.held[0] if self.held else merged([], [])
+            self.held[-2:] = [self.merge(*zip(*self.held[-2:]))]
+        return self.held[0]
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -335,13 +366,27 @@ def scores(heads: DataFrame, trained_of, least_ranges: int, range_grams: int = R
     def own(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return unpack(row["packed"]), np.array(row["sizes"], np.int64), trained_of(row["doc_ids"])
 
-    def steps(row: dict):
-        """Of each step of a block: where it begins, grams, and which are counted."""
-        data, sizes, trained = own(row)
+    def steps(data: np.ndarray, sizes: np.ndarray, start: int, stop: int):
+        """Of each step of a block's bytes from start to stop: grams and the
+        numbers of the texts that they are in."""
         ends = np.cumsum(sizes)
-        for a in range(0, len(data), STEP):
-            b = min(len(data), a + STEP)
-            yield a, grams(data, ends - sizes, a, b), trained[np.searchsorted(ends, np.arange(a, b), "right")]
+        for a in range(start, stop, STEP):
+            b = min(stop, a + STEP)
+            yield grams(data, ends - sizes, a, b), texts_of(ends, a, b)
+
+    def runs(data: np.ndarray, sizes: np.ndarray, trained: np.ndarray):
+        """Grams of each run of a block's bytes: those that are counted and,
+        behind them in the same array, the others; and how many are counted."""
+        for start in range(0, max(1, len(data)), RUN):
+            stop = min(len(data), start + RUN)
+            run, front, back = np.empty(stop - start, np.uint64), 0, stop - start
+            for g, text in steps(data, sizes, start, stop):
+                used = trained[text]
+                counted, others = g[used], g[~used]
+                run[front:front + len(counted)] = counted
+                run[back - len(others):back] = others
+                front, back = front + len(counted), back - len(others)
+            yield run, front
 
     def blocks(batches):
         for batch in batches:
@@ -350,7 +395,8 @@ def scores(heads: DataFrame, trained_of, least_ranges: int, range_grams: int = R
 
     def chosen(batches):
         for row in blocks(batches):
-            for _, g, _ in steps(row):
+            data, sizes, _ = own(row)
+            for g, _ in steps(data, sizes, 0, len(data)):
                 some = g[g * np.uint64(0x9E3779B97F4A7C15) < np.uint64(((1 << 64) - 1) // sampled)]
                 yield {"gram": np.unique(some).view(np.int64)}
 
@@ -361,8 +407,9 @@ def scores(heads: DataFrame, trained_of, least_ranges: int, range_grams: int = R
     def asked(batches):
         for row in blocks(batches):
             every = Merging()
-            for _, g, used in steps(row):
-                every.add(*distinct(g, used))
+            for run, front in runs(*own(row)):
+                every.add(*distinct(run[:front], run[front:]))
+                del run
             g, n = every.all()
             ends = np.r_[0, np.searchsorted(g, cuts), len(g)]
             which = np.flatnonzero(np.diff(ends))
@@ -372,29 +419,35 @@ def scores(heads: DataFrame, trained_of, least_ranges: int, range_grams: int = R
                        "grams": [squeeze_grams(g[ends[r]:ends[r + 1]]) for r in some],
                        "counts": [squeeze(n[ends[r]:ends[r + 1]]) for r in some]}
 
-    requests = stored(map_batches(heads, asked, "block long, range int, grams binary, counts binary"),
-                      "requests")
+    requests = map_batches(heads, asked, "block long, range int, grams binary, counts binary")
 
-    def gathered(rows: pa.Table) -> tuple[Range, list[np.ndarray]]:
-        found = [unsqueeze_grams(g) for g in rows.column("grams").to_pylist()]
-        counts = [unsqueeze(n).astype(np.int64) for n in rows.column("counts").to_pylist()]
-        return Range(*merged(found, counts), *bounds(cuts, rows.column("range")[0].as_py())), found
-
-    part_shape = T.StructType.fromDDL(
-        "range int, depth int, context long, heap long, zeros long, ones long, below double")
-    part_arrow = to_arrow_schema(part_shape)
+    part_ddl = "depth int, context long, heap long, zeros long, ones long, below double"
+    range_ddl = "grams binary, counts binary, blocks array<long>, places array<binary>"
+    part_arrow, range_arrow = (to_arrow_schema(T.StructType.fromDDL(f"range int, {ddl}"))
+                               for ddl in (part_ddl, range_ddl))
+    both_shape = T.StructType.fromDDL(f"range int, {part_ddl}, {range_ddl}")
+    both_arrow = to_arrow_schema(both_shape)
 
     def upward(rows: pa.Table) -> pa.Table:
+        """One row of the range itself and the rows of what it adds outside."""
         number = rows.column("range")[0].as_py()
-        found = gathered(rows)[0].parts()
-        columns = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0)] * 6
-        return pa.table([pa.array(np.full(len(columns[0]), number), pa.int32()),
-                         *(pa.array(c.astype(f.type.to_pandas_dtype()), f.type)
-                           for c, f in zip(columns, list(part_arrow)[1:]))], schema=part_arrow)
-
-    parts = stored(requests.groupBy("range").applyInArrow(upward, part_shape), "parts")
-    release(sample)
+        found = [unsqueeze_grams(g) for g in rows.column("grams").to_pylist()]
+        g, n = merged(found, [unsqueeze(n).astype(np.int64) for n in rows.column("counts").to_pylist()])
+        places = [squeeze(np.diff(np.searchsorted(g, some), prepend=0)) for some in found]
+        whole = pa.table([[number], [squeeze_grams(g)], [squeeze_counts(n)], [rows.column("block").to_pylist()],
+                          [places]], schema=range_arrow)
+        del found
+        parts = Range(g, n, *bounds(cuts, number)).parts()
+        columns = [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0)] * 6
+        outside = pa.table([pa.array(np.full(len(columns[0]), number), pa.int32()),
+                            *(pa.array(c.astype(f.type.to_pandas_dtype()), f.type)
+                              for c, f in zip(columns, list(part_arrow)[1:]))], schema=part_arrow)
+        return pa.concat_tables([both_arrow.empty_table(), whole, outside], promote_options="default")
+
+    ranges = stored(requests.groupBy("range").applyInArrow(upward, both_shape), "ranges")
+    parts = ranges.where("depth IS NOT NULL")
     nodes, keys = put_together(parts), ["depth", "context", "heap"]
+    release(sample)  # and the requests' shuffle, whose job ended a while ago
     wanted = parts.select("range", *keys)
     # Contexts of at most one byte are in many ranges; they have at most 257 * 255 nodes.
     given = (wanted.where("depth <= 1").join(F.broadcast(nodes.where("depth <= 1")), keys)
@@ -406,6 +459,7 @@ def scores(heads: DataFrame, trained_of, least_ranges: int, range_grams: int = R
     def downward(rows: pa.Table, shared: pa.Table) -> pa.Table:
         if not rows.num_rows:
             return answer_arrow.empty_table()
+        row = rows.to_pylist()[0]  # one row per range
         known: dict[tuple[int, int], np.ndarray] = {}
         depth, context, heap, share, estimate = (shared.column(c).to_numpy()
                                                  for c in (*keys, "share", "estimate"))
@@ -413,35 +467,41 @@ def scores(heads: DataFrame, trained_of, least_ranges: int, range_grams: int = R
             some = (depth == name[0]) & (context == name[1])
             known[name] = np.zeros((2, 256))
             known[name][:, heap[some]] = share[some], estimate[some]
-        piece, found = gathered(rows)
-        values = piece.code_lengths(known).astype(np.float32)
-        lengths = [squeeze(values[np.searchsorted(piece.levels[DEPTH].entries, g)].view(np.uint32)) for g in found]
-        return pa.table([rows.column("block"), rows.column("range"), pa.array(lengths, pa.binary())],
-                        schema=answer_arrow)
-
-    answers = (requests.groupBy("range").cogroup(given.groupBy("range")).applyInArrow(downward, answer_shape))
+        piece = Range(unsqueeze_grams(row["grams"]), unsqueeze_counts(row["counts"]), *bounds(cuts, row["number"]))
+        values = piece.code_lengths(known).astype(np.float32).view(np.uint32)
+        lengths = [squeeze(values[np.cumsum(unsqueeze(p), dtype=np.int64)]) for p in row["places"]]
+        return pa.table([pa.array(row["blocks"], pa.int64()), pa.array([row["number"]] * len(lengths), pa.int32()),
+                         pa.array(lengths, pa.binary())], schema=answer_arrow)
+
+    answers = (ranges.where("grams IS NOT NULL").select(F.col("range").alias("number"), "grams", "counts", "blocks", "places")
+               .groupBy("number").cogroup(given.groupBy("range")).applyInArrow(downward, answer_shape))
     shape = T.StructType.fromDDL("scored long, measures array<double>")
     arrow = to_arrow_schema(shape)
 
     def summed(rows: pa.Table, found: pa.Table) -> pa.Table:
         blocks, sums = [], []
         for row in rows.to_pylist():  # one row per block
-            ends = np.cumsum(np.array(row["sizes"], np.int64))
-            out, every = np.zeros(len(ends)), Merging()
-            for _, g, used in steps(row):
-                every.add(*distinct(g, used))
-            every = every.all()[0]
+            data, sizes, trained = own(row)
+            out, merging = np.zeros(len(sizes)), Merging(united)
+            for run, _ in runs(data, sizes, trained):
+                run.sort()
+                merging.add(run[firsts(run)])
+                del run
+            every, = merging.all()
             lengths = np.concatenate([np.zeros(0, np.float32), *(
                 unsqueeze(x).astype(np.uint32).view(np.float32)
                 for x in found.sort_by("range").column("lengths").to_pylist())])
-            for a, g, _ in steps(row):
-                order = np.argsort(g)  # looked up in order, the table is read once
-                text = np.searchsorted(ends, np.arange(a, a + len(g)), "right")
-                out += np.bincount(text[order], lengths[np.searchsorted(every, g[order])], len(ends))
+            for g, text in steps(data, sizes, 0, len(data)):
+                order = np.argsort(g)  # looked up in order, each once, the table is read once
+                g = g[order]
+                first, own_lengths = firsts(g), np.empty(len(g), np.float32)
+                own_lengths[order] = np.repeat(lengths[np.searchsorted(every, g[first])],
+                                               np.diff(np.append(first, len(g))))
+                out += np.bincount(text, own_lengths, len(sizes))
             blocks.append(row["block"])
             sums.append(out.tolist())
         return pa.table([pa.array(blocks, pa.int64()), pa.array(sums, pa.list_(pa.float64()))], schema=arrow)
 
     out = stored(heads.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(summed, shape), "scores")
-    release(requests, parts)
+    release(ranges)
     return out

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from .common import id_type, map_batches
-from .terms import blocks, per_document, summed
+from .terms import blocks, one_by_one, per_document, summed
 from .tokens import ChunkTable, special_tokens
 
 
@@ -63,7 +63,7 @@ def token_counts(df: DataFrame, tokenizer_path: str, pattern: str, limit: int =
     """
     spark = df.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table = blocks(df, lambda: pretokens(tokenizer_path, pattern), buckets, id_col, text_col,
+    table = blocks(df, lambda: one_by_one(pretokens(tokenizer_path, pattern)), buckets, id_col, text_col,
                    name="pretokens")
 
     def count(batches):

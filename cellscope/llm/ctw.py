@@ -18,13 +18,15 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetree import RANGE_GRAMS, SAMPLED, pack
 from .bytetree import scores as bytetree_scores
-from .common import id_type, stored
-from .terms import blocks, per_document, summed
+from .common import id_type, stored, sweep
+from .terms import Terms, blocks, per_document, summed
 
 
 def lowered(text: str) -> bytes:
@@ -39,6 +41,17 @@ def training(ids: list, folds: int, held_fold: int) -> np.ndarray:
 END = b""  # the end of a text, a token that no word equals
 
 
+def word_numbers(texts: list[str], terms: Terms) -> list[np.ndarray]:
+    """Local numbers of each text's tokens: its lower-cased words, then the end."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.large_string())))
+    per_text = pc.list_value_length(split).to_numpy()
+    found = split.flatten().dictionary_encode()
+    known = np.array([terms[w] for w in found.dictionary.cast(pa.large_binary()).to_pylist()], np.int64)
+    numbers, end = known[found.indices.to_numpy()], terms[END]
+    # White space at a text's ends leaves empty strings, which are no words.
+    return [np.append(own[own != end], end) for own in np.split(numbers, np.cumsum(per_text)[:-1])]
+
+
 def score(df: DataFrame, folds: int = 7, held_fold: int = 2, id_col: str = "doc_id",
           text_col: str = "text", range_grams: int = RANGE_GRAMS, sampled: int = SAMPLED) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known,
@@ -58,10 +71,7 @@ def score(df: DataFrame, folds: int = 7, held_fold: int = 2, id_col: str = "doc_
     spark = df.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def numbers(text, terms):
-        return [terms[w] for w in lowered(text).split()] + [terms[END]]
-
-    table = blocks(df, lambda: numbers, buckets, id_col, text_col,
+    table = blocks(df, lambda: word_numbers, buckets, id_col, text_col,
                    train=lambda ids, texts: training(ids, folds, held_fold),
                    packed=lambda texts: pack([lowered(t) for t in texts]), name="words")
     found = bytetree_scores(table.where("bucket IS NULL").select("block", "doc_ids", "sizes", "packed"),
@@ -73,6 +83,7 @@ def score(df: DataFrame, folds: int = 7, held_fold: int = 2, id_col: str = "doc_
     totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"),
                         F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
     n, v = int(totals.n), int(totals.v)
+    sweep(spark)  # of what only the tree and the counts have shuffled
     values = (vocabulary.select("block", "bucket", "at", "terms").join(counts, "terms")
               .select("block", "bucket", "at", F.col("c").alias("value")))
 

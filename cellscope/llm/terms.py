@@ -59,6 +59,11 @@ class Terms(dict):
         return number
 
 
+def one_by_one(numbers_of: Callable) -> Callable:
+    """For ``blocks``, a function that numbers the terms of a single text."""
+    return lambda texts, terms: [np.asarray(numbers_of(t, terms), np.int64) for t in texts]
+
+
 def frequencies(numbers: list[np.ndarray], kinds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (document, term) pairs in order: pairs per document, term, count."""
     sizes = [len(n) for n in numbers]
@@ -75,8 +80,8 @@ def blocks(df: DataFrame, numberer: Callable, buckets: int, id_col: str, text_co
     """The stored block table: block, bucket (null in the row of frequencies),
     doc_ids, sizes, packed, per_doc, numbers, counts, terms, train_counts.
 
-    ``numberer()`` makes a function (text, Terms) -> local term numbers of the
-    text. ``train(ids, texts)`` says which documents of a block count in
+    ``numberer()`` makes a function (texts of a block, Terms) -> arrays of the
+    local term numbers of each text. ``train(ids, texts)`` says which documents of a block count in
     ``train_counts``; ``packed(texts)`` is kept with the block.
     """
     kind = id_type(df, id_col)
@@ -90,7 +95,7 @@ def blocks(df: DataFrame, numberer: Callable, buckets: int, id_col: str, text_co
             ids = [i for batch in held for i in batch.column("doc_id").to_pylist()]
             texts = [t for batch in held for t in batch.column("text").to_pylist()]
             terms = Terms()
-            numbers = [np.asarray(numbers_of(t, terms), np.int64) for t in texts]
+            numbers = numbers_of(texts, terms)
             kinds = len(terms)
             # Terms are numbered bucket by bucket.
             spelled = list(terms)

@@ -216,6 +216,51 @@ def test_grams_do_not_reach_over_texts():
         assert np.concatenate(got).tolist() == want
 
 
+def test_distinct_grams_and_their_counts():
+    rng = np.random.default_rng(5)
+    for n, m in ((0, 0), (0, 9), (9, 0), (300, 200), (300, 1), (1, 300)):
+        a, b = (rng.integers(0, 50, k).astype(np.uint64) << np.uint64(58) for k in (n, m))
+        want = {g: 0 for g in b.tolist()} | dict(Counter(a.tolist()))
+        got = bytetree.distinct(a.copy(), b.copy())
+        assert dict(zip(*(x.tolist() for x in got))) == want and got[0].tolist() == sorted(want)
+        assert bytetree.united([np.unique(a), np.unique(b)])[0].tolist() == sorted(want)
+
+
+def test_texts_of_bytes():
+    ends = np.cumsum([3, 0, 0, 5, 1, 0, 4])
+    want = [0] * 3 + [3] * 5 + [4] + [6] * 4
+    for a in range(13):
+        for b in range(a + 1, 14):
+            assert bytetree.texts_of(ends, a, b).tolist() == want[a:b]
+
+
+def test_word_numbers_are_those_of_the_lowered_words():
+    texts = ["", " a B  a\t", "".join(map(chr, range(300))) * 2, "\u00a0x\x85y\x1cz \x0b\x0c\r\nİ", "A"]
+    terms = ctw.Terms()
+    spelled = {}
+    for t, numbers in zip(texts, ctw.word_numbers(texts, terms)):
+        spelled[t] = [list(terms)[n] for n in numbers]
+    assert spelled == {t: ctw.lowered(t).split() + [ctw.END] for t in texts}
+
+
+def test_requests_are_put_together_once(spark, monkeypatch):
+    # They were stored as they came and shuffled twice; a range is one row now.
+    kept, whole = [], bytetree.stored
+
+    def stored(df, name):
+        out = whole(df, name)
+        kept.append(name)
+        if name == "ranges":
+            rows = out.where("grams IS NOT NULL")
+            assert rows.count() == rows.select("range").distinct().count() > 1
+        return out
+
+    monkeypatch.setattr(bytetree, "stored", stored)
+    df = spark.createDataFrame(score_rows(25), "doc_id long, text string").repartition(3)
+    ctw.score(df, range_grams=200, sampled=2).collect()
+    assert "ranges" in kept and "requests" not in kept
+
+
 def test_krichevsky_trofimov_of_small_and_large_counts():
     zeros, ones = np.array([0, 1, 5, 127, 128, 10**6, 3 * 10**7]), np.array([0, 0, 127, 127, 3, 10**7, 1])
     want = [math.lgamma(a + .5) + math.lgamma(b + .5) - math.log(math.pi) - math.lgamma(a + b + 1)
