@@ -9,6 +9,7 @@ agrees with the old one again.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterable
 from functools import lru_cache
 
@@ -16,7 +17,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from .common import id_type, map_batches, slices, two_columns
-from .tokens import ChunkTable, Generations, load_ranks, packed
+from .tokens import ChunkTable, Generations, load_ranks
+
+
+#: Chunks between blanks, and pieces of chunks, that a worker remembers at least,
+#: and at most twice as many.
+CHUNKS, PIECES = 300_000, 100_000
 
 
 class Vocabulary:
@@ -33,6 +39,10 @@ class Vocabulary:
         self.built = {token: rank for token, rank in ranks.items()
                       if len(token) == 1 or len(self.last_merge[rank]) == 2
                       and ranks.get(b"".join(self.tokens[p] for p in self.last_merge[rank])) == rank}
+        #: By token * 256 + byte, the built token that is one byte longer (of no
+        #: token: that byte).
+        self.grown = {(self.built[token[:-1]] if token[1:] else self.none) << 8 | token[-1]: rank
+                      for token, rank in self.built.items() if len(token) == 1 or token[:-1] in self.built}
         #: Whether each merge outranks the merges it needs; then merging goes
         #: through the ranks in order, which ``follows`` makes use of.
         self.ordered = all(max(self.last_merge[rank]) < rank for token, rank in self.built.items()
@@ -109,27 +119,44 @@ class PrefixTable:
 
     def _extend(self, data: bytes, stop: int) -> None:
         """Stores the last tokens of the prefixes up to ``stop``. Only one token
-        fits; as a rule it is the one before with one more byte, or else short,
-        so these are tried first."""
+        fits; as a rule it is the one before with one more byte (``grown``), or
+        else short, so these are tried first."""
         v, last = self.vocabulary, self.last
-        get, known, follows, size = v.built.get, v.verdicts.get, v.follows, v.size
-        for end in range(len(last) + 1, stop + 1):
-            start, shorter = end - 1 - size[last[-1]] if last else 0, end
-            while True:
-                token = get(data[start:end])
-                if token is not None:
-                    if not start:
-                        break
-                    pair = (last[start - 1], token)
+        grown, get, known, follows = v.grown.get, v.built.get, v.verdicts.get, v.follows
+        end, token = len(last), last[-1] if last else v.none
+        start = end - v.size[token] if last else 0
+        before = last[start - 1] if start else None
+        for byte in data[end:stop]:
+            end += 1
+            longer = grown(token << 8 | byte)
+            if longer is not None:
+                fits = True
+                if start:
+                    pair = (before, longer)
                     fits = known(pair)
                     if fits is None:
                         fits = follows(pair)
-                    if fits:
-                        break
-                shorter -= 1
-                start = shorter
+                if fits:
+                    token = longer
+                    last.append(token)
+                    continue
+            start = end
+            while True:
+                start -= 1
                 if start < 0:
-                    raise ValueError(f"no token for byte {data[end - 1]}")
+                    raise ValueError(f"no token for byte {byte}")
+                token = get(data[start:end])
+                if token is None:
+                    continue
+                if not start:
+                    break
+                pair = (last[start - 1], token)
+                fits = known(pair)
+                if fits is None:
+                    fits = follows(pair)
+                if fits:
+                    break
+            before = last[start - 1] if start else None
             last.append(token)
 
     def append(self, more: bytes) -> None:
@@ -159,10 +186,11 @@ class PrefixTable:
 
     def ids(self) -> list[int]:
         """Read back from the end: one step per token."""
-        found, end = [], len(self.last)
+        found, end, last, size = [], len(self.last), self.last, self.vocabulary.size
         while end:
-            found.append(self.last[end - 1])
-            end -= len(self.vocabulary.tokens[found[-1]])
+            token = last[end - 1]
+            found.append(token)
+            end -= size[token]
         return found[::-1]
 
 
@@ -182,6 +210,11 @@ def encode_piece(vocabulary: Vocabulary, piece: bytes) -> list[int]:
     return table.ids()
 
 
+def packed_few(ids: list[int]) -> bytes:
+    """``packed`` of a piece's ids, without making an array."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 @lru_cache(maxsize=2)
 def worker_vocabulary(path: str) -> Vocabulary:
     return Vocabulary(load_ranks(path))
@@ -192,17 +225,23 @@ def worker_table(path: str, pattern: str) -> ChunkTable:
     import regex
 
     vocabulary, pieces = worker_vocabulary(path), regex.compile(pattern).findall
-    known = Generations(150_000)
+    known = Generations(PIECES)
 
     def ids(piece: str) -> bytes:
         found = known.find(piece)
         if found is None:
-            found = packed(encode_piece(vocabulary, piece.encode()))
+            found = packed_few(encode_piece(vocabulary, piece.encode()))
             if len(piece) <= 32:
                 known.keep(piece, found)
         return found
 
-    return ChunkTable(lambda chunk: b"".join(map(ids, pieces(chunk))), b"".join)
+    def chunk_ids(chunk: str) -> bytes:
+        # A blank and ASCII letters are one match, which the chunk table keeps.
+        if chunk[:1] == " " and chunk.isascii() and chunk[1:].isalpha():
+            return packed_few(encode_piece(vocabulary, chunk.encode()))
+        return b"".join(map(ids, pieces(chunk)))
+
+    return ChunkTable(chunk_ids, b"".join, CHUNKS)
 
 
 def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",

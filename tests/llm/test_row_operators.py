@@ -79,6 +79,31 @@ def test_vocabulary_whose_merges_are_not_in_rank_order():
         assert bpe.PrefixTable(vocabulary, data).ids() == vocabulary.merge(data)
 
 
+def test_tokens_grown_by_a_byte():
+    vocabulary = bpe.worker_vocabulary(MULTI)
+    built = vocabulary.built
+    assert vocabulary.grown == {(built[t[:-1]] if len(t) > 1 else vocabulary.none) * 256 + t[-1]: rank
+                                for t, rank in built.items() if len(t) == 1 or t[:-1] in built}
+
+
+def test_packed_ids():
+    for ids in ([], [0], [1, 256, 65536, 2**32 - 1]):
+        assert bpe.packed_few(ids) == tokens.packed(ids)
+
+
+def test_words_that_come_again_are_encoded_once(monkeypatch):
+    # More words than the tables held: they were encoded again on every pass.
+    asked = []
+    monkeypatch.setattr(bpe, "encode_piece", lambda _, piece: asked.append(piece) or [len(piece)])
+    bpe.worker_table.cache_clear()
+    letters = str.maketrans("0123456789", "abcdefghij")
+    text = " ".join(str(i) for i in range(290_000)).translate(letters)
+    table = bpe.worker_table(MULTI, P.PATTERN)
+    assert table(text) == table(text)
+    bpe.worker_table.cache_clear()
+    assert len(asked) == len(set(asked)) == 290_000
+
+
 def test_bpe_query_equals_the_library(spark, documents, multi):
     texts = {r.doc_id: r.text or "" for r in documents.collect()}
     got = queries.op2_bpe(spark, SF).collect()
